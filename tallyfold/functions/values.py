@@ -16,16 +16,11 @@ WORD_START = r"(?<![\p{L}\p{N}_])"
 WORD_END = r"(?![\p{L}\p{N}_])"
 SPACE = r"[\s\p{Z}\x{0B}\x{85}]"
 
-CURRENCY = "(?:" + "|".join((*fixed.CURRENCY_CODES, "€", r"\$", "£")) + ")"
+# A currency may stand before or behind an amount, but the amount is the whole run
+# of digits and separators either way, so only the run has to be looked for.
 PRINTED_NUMBER = r"[0-9][0-9.,]{1,15}"
-AMOUNT_PATTERN = (
-    f"(?iu){CURRENCY}{SPACE}*{PRINTED_NUMBER}"
-    f"|{PRINTED_NUMBER}{SPACE}*{CURRENCY}"
-    f"|{PRINTED_NUMBER}"
-)
-CURRENCY_PATTERN = (
-    f"(?iu){WORD_START}(?:{'|'.join(fixed.CURRENCY_CODES)}){WORD_END}" + r"|€|\$|£"
-)
+# For upper-case text.
+CURRENCY_PATTERN = f"{WORD_START}(?:{'|'.join(fixed.CURRENCY_CODES)}){WORD_END}" + r"|€|\$|£"
 DAY_FIRST_PATTERN = (
     WORD_START + r"[0-9]{1,2}[./\-][0-9]{1,2}[./\-](?:19|20)[0-9]{2}" + WORD_END
 )
@@ -39,24 +34,19 @@ INVOICE_NUMBER_PATTERN = (
 )
 
 
-def words_pattern(inside: tuple, alone: tuple = ()) -> str:
-    """Case-blind pattern: words found anywhere, plus words that must stand alone."""
-    parts = list(inside)
-    if alone:
-        parts.append(f"{WORD_START}(?:{'|'.join(alone)}){WORD_END}")
-    return "(?iu)" + "|".join(parts)
-
-
-SUBTOTAL_PATTERN = words_pattern(fixed.SUBTOTAL_WORDS, fixed.SUBTOTAL_WHOLE_WORDS)
-TAX_PATTERN = words_pattern(fixed.TAX_WORDS, fixed.TAX_WHOLE_WORDS)
-TOTAL_PATTERN = words_pattern(fixed.TOTAL_WORDS, fixed.TOTAL_WHOLE_WORDS)
-
-
 def let(value: Column, use) -> Column:
     """Evaluate a value once and hand it to ``use``, also inside array lambdas."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def says(low: Column, inside: tuple, alone: tuple = ()) -> Column:
+    """Lower-case text holds one of the words, or one of those that must stand alone."""
+    found = contains_any(low, inside)
+    if alone:
+        found = found | low.rlike(f"{WORD_START}(?:{'|'.join(alone)}){WORD_END}")
+    return found
+
+
 def contains_any(text: Column, words: tuple) -> Column:
     """True when the (already lower-case) text holds one of the words."""
     return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
@@ -99,12 +89,9 @@ def _plain(body: Column) -> Column:
 
 def amounts_in(text: Column) -> Column:
     """ARRAY<STRUCT<raw, value>> of the money-like tokens of a line, in order."""
-    tokens = F.transform(
-        F.regexp_extract_all(text, F.lit(AMOUNT_PATTERN), F.lit(0)),
-        lambda hit: F.regexp_extract(hit, PRINTED_NUMBER, 0),
-    )
     parsed = F.transform(
-        tokens, lambda raw: F.struct(raw.alias("raw"), parse_decimal(raw).alias("value"))
+        F.regexp_extract_all(text, F.lit(PRINTED_NUMBER), F.lit(0)),
+        lambda raw: F.struct(raw.alias("raw"), parse_decimal(raw).alias("value")),
     )
     return F.filter(
         parsed, lambda a: (a["value"] >= 0.0) & (a["value"] <= fixed.LARGEST_AMOUNT)
@@ -204,6 +191,12 @@ def _literal_map(entries: dict) -> Column:
     return F.create_map(*[F.lit(part) for item in entries.items() for part in item])
 
 
+def iban_is_valid(code: Column) -> Column:
+    """True for a compact code of a known country with the right length and remainder."""
+    wanted = F.try_element_at(_literal_map(fixed.IBAN_LENGTHS), F.substring(code, 1, 2))
+    return F.coalesce((F.length(code) == wanted) & (mod97(code) == 1), F.lit(False))
+
+
 def iban_finding(iban: Column) -> Column:
     """STRUCT<status, severity, reason, evidence> for an account number."""
     code = compact_code(iban)

@@ -2,7 +2,7 @@
 
 The tables hold orders and texts, not invoices, so each view is derived by a
 fixed formula.  The formulas are SQL that Spark and other engines read alike;
-``view`` runs them on Spark, ``sql_of`` hands out the text.
+``Views`` runs them on Spark, ``sql_of`` hands out the text.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,15 +16,12 @@ TABLES = (
 )
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
 # --- pieces of formulas -----------------------------------------------------
 
 
-def whole(expression: str) -> str:
-    return f"CAST(floor({expression}) AS BIGINT)"
+def hundredth(x: str) -> str:
+    """Whole number of hundreds in a whole number."""
+    return f"CAST((({x}) - ({x}) % 100) / 100 AS BIGINT)"
 
 
 def money(cents: str) -> str:
@@ -33,27 +30,33 @@ def money(cents: str) -> str:
     )
 
 
-def printed_money(cents: str, style: str) -> str:
-    """Amount as printed: style 0 is 1.234,56 - style 1 is 1234.56 - style 2 is 1,234.56."""
-    units = whole(f"({cents}) / 100.0")
-    cent = f"lpad(CAST(({cents}) % 100 AS STRING), 2, '0')"
-    group = f"CASE WHEN {style} = 0 THEN '.' ELSE ',' END"
+def with_printed(source: str, style: str, cents: dict) -> str:
+    """Add to a source, per name, the printed amount ``name_text`` of cents.
 
-    def three(expression):
-        return f"lpad(CAST(({expression}) % 1000 AS STRING), 3, '0')"
+    Style 0 prints 1.234,56 - style 1 prints 1234.56 - style 2 prints 1,234.56.
+    """
+    def three(x):
+        return f"lpad(CAST(({x}) % 1000 AS STRING), 3, '0')"
 
-    thousands = whole(f"{units} / 1000.0")
-    millions = whole(f"{units} / 1000000.0")
-    grouped = (
-        f"CASE WHEN {units} >= 1000000 THEN CAST({millions} AS STRING) || ({group}) || "
-        f"{three(thousands)} || ({group}) || {three(units)} "
-        f"WHEN {units} >= 1000 THEN CAST({thousands} AS STRING) || ({group}) || {three(units)} "
-        f"ELSE CAST({units} AS STRING) END"
+    units = ", ".join(f"{hundredth(c)} AS {n}_u, ({c}) % 100 AS {n}_c" for n, c in cents.items())
+    parts = ", ".join(
+        f"CAST(({n}_u - {n}_u % 1000) / 1000 AS BIGINT) AS {n}_k" for n in cents
+    )
+    grouped = ", ".join(
+        f"CASE WHEN {n}_k >= 1000 THEN CAST(CAST(({n}_k - {n}_k % 1000) / 1000 AS BIGINT) AS STRING)"
+        f" || ',' || {three(n + '_k')} || ',' || {three(n + '_u')}"
+        f" WHEN {n}_k > 0 THEN CAST({n}_k AS STRING) || ',' || {three(n + '_u')}"
+        f" ELSE CAST({n}_u AS STRING) END || '.' || lpad(CAST({n}_c AS STRING), 2, '0') AS {n}_g"
+        for n in cents
+    )
+    texts = ", ".join(
+        f"CASE {style} WHEN 1 THEN replace({n}_g, ',', '') "
+        f"WHEN 0 THEN translate({n}_g, ',.', '.,') ELSE {n}_g END AS {n}_text"
+        for n in cents
     )
     return (
-        f"CASE WHEN {style} = 1 THEN CAST({units} AS STRING) || '.' || {cent} "
-        f"WHEN {style} = 0 THEN ({grouped}) || ',' || {cent} "
-        f"ELSE ({grouped}) || '.' || {cent} END"
+        f"(SELECT *, {texts} FROM (SELECT *, {grouped} FROM (SELECT *, {parts} FROM "
+        f"(SELECT *, {units} FROM {source}) p1) p2) p3)"
     )
 
 
@@ -104,8 +107,8 @@ FROM {orders} JOIN {customer} ON o_custkey = c_custkey"""
 
 VIEWS["v_line_cents"] = f"""
 SELECT *, net_cents + vat_cents AS gross_cents FROM (
-SELECT *, {whole('(net_cents * tax_pct + 50) / 100.0')} AS vat_cents FROM (
-SELECT *, {whole('(units * price_cents * (100 - disc_pct) + 50) / 100.0')} AS net_cents FROM (
+SELECT *, {hundredth('net_cents * tax_pct + 50')} AS vat_cents FROM (
+SELECT *, {hundredth('units * price_cents * (100 - disc_pct) + 50')} AS net_cents FROM (
 SELECT l_orderkey AS invoice_id, l_partkey, l_suppkey, l_linenumber, l_quantity,
        l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate,
        p_name AS description,
@@ -204,44 +207,53 @@ FROM {{supplier}}) s"""
 
 # One printed invoice per row: t0, t1, ... are its lines, NULL where it has none.
 SHEET_LINES = 14
-_S = "(i.invoice_id % 3)"
-_DS = "(i.invoice_id % 4)"
+_S = "(invoice_id % 3)"
+_DS = "(invoice_id % 4)"
 _DATE_LINE = (
-    f"{pick('i.invoice_id', ['Rechnungsdatum: ', 'Invoice date: ', 'Date '])} || "
-    + printed_date("i.created_on", _DS)
+    f"{pick('invoice_id', ['Rechnungsdatum: ', 'Invoice date: ', 'Date '])} || "
+    + printed_date("created_on", _DS)
 )
 _NUMBER = (
-    "CASE WHEN i.invoice_id % 10 = 0 THEN substr(CAST(i.created_on AS STRING), 1, 4) "
-    "ELSE substr(CAST(i.created_on AS STRING), 1, 4) || '-' || CAST(i.invoice_id AS STRING) END"
+    "CASE WHEN invoice_id % 10 = 0 THEN substr(CAST(created_on AS STRING), 1, 4) "
+    "ELSE substr(CAST(created_on AS STRING), 1, 4) || '-' || CAST(invoice_id AS STRING) END"
 )
-_NUMBER_LINE = f"{pick('i.invoice_id', ['Rechnung Nr.: ', 'Invoice No. INV-', 'Faktura # '])} || {_NUMBER}"
-_DUE = "CAST(i.created_on + INTERVAL '30' DAY AS DATE)"
-_DUE2 = "CAST(i.created_on + INTERVAL '45' DAY AS DATE)"
+_NUMBER_LINE = f"{pick('invoice_id', ['Rechnung Nr.: ', 'Invoice No. INV-', 'Faktura # '])} || {_NUMBER}"
+_DUE = "CAST(created_on + INTERVAL '30' DAY AS DATE)"
+_DUE2 = "CAST(created_on + INTERVAL '45' DAY AS DATE)"
+
+_SHEET_BASE = """(SELECT i.invoice_id, i.org_id, i.created_on, t.subtotal_cents, t.vat_cents,
+  t.total_cents, s.supplier_id, s.name, s.vat, s.iban
+FROM {v_invoices} i JOIN {v_total_cents} t ON i.invoice_id = t.invoice_id
+     JOIN {v_suppliers} s ON t.supplier_id = s.supplier_id)"""
+
+VIEWS["v_printed_sums"] = "SELECT * FROM " + with_printed(_SHEET_BASE + " b", _S, {
+    "subtotal": "subtotal_cents", "vat": "vat_cents", "total": "total_cents",
+    "more": "total_cents + 250",
+}) + " t"
 
 VIEWS["v_sheets"] = f"""
-SELECT i.invoice_id AS doc_id, i.org_id, i.created_on,
-  CASE WHEN i.invoice_id % 9 = 0 THEN 'Rechnung' ELSE s.name END AS t0,
-  'Musterstraße ' || CAST(s.supplier_id % 90 AS STRING) || ', ' || CAST(1000 + s.supplier_id % 9000 AS STRING) || ' Berlin' AS t1,
-  'USt-IdNr.: ' || s.vat AS t2,
-  CASE WHEN i.invoice_id % 12 = 5 THEN {_DATE_LINE} ELSE {_NUMBER_LINE} END AS t3,
-  CASE WHEN i.invoice_id % 8 = 0 THEN NULL
-       WHEN i.invoice_id % 12 = 5 THEN {_NUMBER_LINE} ELSE {_DATE_LINE} END AS t4,
-  {pick('i.invoice_id', ['Fällig am: ', 'Due date ', 'Vencimiento: ', 'FÄLLIGKEIT '])} || {printed_date(_DUE, _DS)} AS t5,
-  CASE WHEN i.invoice_id % 8 = 0 THEN 'Vervaldatum ' || {printed_date(_DUE2, _DS)}
-       WHEN i.invoice_id % 21 = 1 THEN 'Leistung 31.02.2024' END AS t6,
+SELECT invoice_id AS doc_id, org_id, created_on,
+  CASE WHEN invoice_id % 9 = 0 THEN 'Rechnung' ELSE name END AS t0,
+  'Musterstraße ' || CAST(supplier_id % 90 AS STRING) || ', ' || CAST(1000 + supplier_id % 9000 AS STRING) || ' Berlin' AS t1,
+  'USt-IdNr.: ' || vat AS t2,
+  CASE WHEN invoice_id % 12 = 5 THEN {_DATE_LINE} ELSE {_NUMBER_LINE} END AS t3,
+  CASE WHEN invoice_id % 8 = 0 THEN NULL
+       WHEN invoice_id % 12 = 5 THEN {_NUMBER_LINE} ELSE {_DATE_LINE} END AS t4,
+  {pick('invoice_id', ['Fällig am: ', 'Due date ', 'Vencimiento: ', 'FÄLLIGKEIT '])} || {printed_date(_DUE, _DS)} AS t5,
+  CASE WHEN invoice_id % 8 = 0 THEN 'Vervaldatum ' || {printed_date(_DUE2, _DS)}
+       WHEN invoice_id % 21 = 1 THEN 'Leistung 31.02.2024' END AS t6,
   'Pos Beschreibung Menge Einzelpreis Netto MwSt % MwSt Brutto' AS t7,
-  {pick('i.invoice_id', ['Zwischensumme ', 'Subtotal ', 'Sous-total '])} || {printed_money('t.subtotal_cents', _S)} AS t8,
-  {pick('i.invoice_id', ['MwSt. 19 % ', 'VAT 19 % ', 'TVA 20 % '])} || {printed_money('t.vat_cents', _S)} AS t9,
-  CASE {_S} WHEN 0 THEN 'Gesamtbetrag ' || {printed_money('t.total_cents', _S)} || ' EUR'
-       WHEN 1 THEN 'Total USD ' || {printed_money('t.total_cents', _S)}
-       ELSE 'Montant total ' || {printed_money('t.total_cents', _S)} || '€' END AS t10,
-  'Zahlbar innerhalb von 30 Tagen. IBAN ' || s.iban || CASE WHEN i.invoice_id % 10 = 3 THEN ' und mehr' ELSE '' END AS t11,
-  CASE WHEN i.invoice_id % 14 = 0 THEN 'Grand total ' || {printed_money('t.total_cents + 250', _S)} || ' GBP' END AS t12,
-  CASE WHEN i.invoice_id % 6 = 0 THEN 'Seite 2 von 2' END AS t13,
-  CAST(80 + i.invoice_id % 20 AS DOUBLE) / 100 AS conf,
-  CASE WHEN i.invoice_id % 16 = 4 THEN CAST(0.5 AS DOUBLE) ELSE CAST(0.1 AS DOUBLE) END AS left_edge
-FROM {{v_invoices}} i JOIN {{v_total_cents}} t ON i.invoice_id = t.invoice_id
-     JOIN {{v_suppliers}} s ON t.supplier_id = s.supplier_id"""
+  {pick('invoice_id', ['Zwischensumme ', 'Subtotal ', 'Sous-total '])} || subtotal_text AS t8,
+  {pick('invoice_id', ['MwSt. 19 % ', 'VAT 19 % ', 'TVA 20 % '])} || vat_text AS t9,
+  CASE {_S} WHEN 0 THEN 'Gesamtbetrag ' || total_text || ' EUR'
+       WHEN 1 THEN 'Total USD ' || total_text
+       ELSE 'Montant total ' || total_text || '€' END AS t10,
+  'Zahlbar innerhalb von 30 Tagen. IBAN ' || iban || CASE WHEN invoice_id % 10 = 3 THEN ' und mehr' ELSE '' END AS t11,
+  CASE WHEN invoice_id % 14 = 0 THEN 'Grand total ' || more_text || ' GBP' END AS t12,
+  CASE WHEN invoice_id % 6 = 0 THEN 'Seite 2 von 2' END AS t13,
+  CAST(80 + invoice_id % 20 AS DOUBLE) / 100 AS conf,
+  CASE WHEN invoice_id % 16 = 4 THEN CAST(0.5 AS DOUBLE) ELSE CAST(0.1 AS DOUBLE) END AS left_edge
+FROM {{v_printed_sums}}"""
 
 # One table row per row: c0 .. c7 are its cells.
 CELLS = 8
@@ -262,19 +274,21 @@ def _row_view(lines: str) -> str:
     blank = ", ".join(f"'' AS c{c}" for c in range(2, CELLS))
     given = "invoice_id % 4 <> 1"
 
-    def amount(cents, always=False):
-        text = printed_money(cents, _LINE_STYLE)
-        return text if always else f"CASE WHEN {given} THEN {text} ELSE '' END"
+    def amount(name):
+        return f"CASE WHEN {given} THEN {name}_text ELSE '' END"
 
+    printed = with_printed(lines, _LINE_STYLE, {
+        "price": "price_cents", "net": "net_cents", "vat": "vat_cents", "gross": "gross_cents",
+    })
     return f"""
 SELECT invoice_id AS doc_id, {_LINE_PAGE} AS page_no, 0 AS table_no,
        CAST(1 + position AS INT) AS row_no,
        CAST(position AS STRING) AS c0,
        CASE WHEN l_partkey % 50 = 7 THEN '' ELSE description END AS c1,
-       CAST(units AS STRING) AS c2, {amount('price_cents', True)} AS c3,
-       {amount('net_cents')} AS c4, CAST(tax_pct AS STRING) AS c5,
-       {amount('vat_cents')} AS c6, {amount('gross_cents')} AS c7
-FROM {lines}
+       CAST(units AS STRING) AS c2, price_text AS c3,
+       {amount('net')} AS c4, CAST(tax_pct AS STRING) AS c5,
+       {amount('vat')} AS c6, {amount('gross')} AS c7
+FROM {printed} l
 UNION ALL
 SELECT doc_id, page_no, 0 AS table_no, 1 AS row_no, {head_cells}
 FROM (SELECT invoice_id AS doc_id, 0 AS page_no FROM {{v_invoices}}
@@ -305,62 +319,6 @@ def _needs(sql: str) -> list:
     return [n for n in (*TABLES, *VIEWS) if "{" + n + "}" in sql]
 
 
-def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A view (or a driver table) as a DataFrame."""
-    if name in TABLES:
-        return table(spark, folder, name)
-    if name == "v_numbered":
-        return _numbered(spark, folder)
-    sql = VIEWS[name]
-    return spark.sql(sql, **{n: view(spark, folder, n) for n in _needs(sql)})
-
-
-def _numbered(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines with their position; an order with very many lines is numbered in pieces."""
-    return index_within(
-        view(spark, folder, "v_line_cents"), ["invoice_id"], list(LINE_ORDER),
-        ["l_linenumber", "l_partkey"], "position",
-        counted=table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("invoice_id")),
-    )
-
-
-def lines(spark: SparkSession, folder: str, numbered: bool = False) -> DataFrame:
-    """Line items; the position costs a pass of its own and comes only when asked for."""
-    name = "v_line_items" if numbered else "v_line_values"
-    return view(spark, folder, name).drop(*LINE_ORDER)
-
-
-def blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """Printed lines: one row per text block."""
-    sheets = view(spark, folder, "v_sheets")
-    printed = F.array(*[
-        F.struct(
-            F.lit(1 if n == SHEET_LINES - 1 else 0).alias("page_no"),
-            F.lit(n).alias("block_no"),
-            F.col(f"t{n}").alias("text"),
-            (F.col("left_edge") if n == 0 else F.lit(0.1)).alias("x0"),
-            F.lit(n / SHEET_LINES).alias("y0"),
-        )
-        for n in range(SHEET_LINES)
-    ])
-    return (
-        sheets.select("doc_id", "org_id", "conf", F.inline(printed))
-        .where(F.col("text").isNotNull())
-        .withColumn("x1", F.lit(0.9))
-        .withColumn("y1", F.col("y0") + F.lit(0.05))
-    )
-
-
-def cells(spark: SparkSession, folder: str) -> DataFrame:
-    """Table cells: one row per cell."""
-    row = F.array(*[
-        F.struct(F.lit(c).alias("col_no"), F.col(f"c{c}").alias("text")) for c in range(CELLS)
-    ])
-    return view(spark, folder, "v_rows").select(
-        "doc_id", "page_no", "table_no", "row_no", F.inline(row)
-    )
-
-
 def sql_of(*names: str) -> str:
     """WITH clause that defines the named views and all they need."""
     order = []
@@ -394,18 +352,13 @@ _FIELD_KIND = {
 _CENTS = {"subtotal": "subtotal_cents", "total_vat": "vat_cents", "total": "total_cents"}
 
 VIEWS["v_field_sheet"] = f"""
-SELECT i.invoice_id, i.org_id, t.subtotal_cents, t.vat_cents, t.total_cents,
-  s.name AS supplier_name, s.vat AS supplier_vat, s.iban AS iban,
-  {_NUMBER} AS invoice_number,
-  CASE WHEN i.invoice_id % 8 <> 0 THEN CAST(i.created_on AS STRING) END AS invoice_date,
+SELECT invoice_id, org_id, subtotal_cents, vat_cents, total_cents, name AS supplier_name,
+  vat AS supplier_vat, iban, {_NUMBER} AS invoice_number,
+  CASE WHEN invoice_id % 8 <> 0 THEN CAST(created_on AS STRING) END AS invoice_date,
   CAST({_DUE} AS STRING) AS due_date,
-  {pick('i.invoice_id', ['EUR', 'USD', 'EUR'])} AS currency,
-  {printed_money('t.subtotal_cents', _S)} AS subtotal,
-  {printed_money('t.vat_cents', _S)} AS total_vat,
-  {printed_money('t.total_cents', _S)} AS total
-FROM {{v_invoices}} i JOIN {{v_total_cents}} t ON i.invoice_id = t.invoice_id
-     JOIN {{v_suppliers}} s ON t.supplier_id = s.supplier_id
-WHERE i.invoice_id % 37 <> 5"""
+  {pick('invoice_id', ['EUR', 'USD', 'EUR'])} AS currency,
+  subtotal_text AS subtotal, vat_text AS total_vat, total_text AS total
+FROM {{v_printed_sums}} WHERE invoice_id % 37 <> 5"""
 
 
 def _field_parts(name: str, turn: int) -> dict:
@@ -426,27 +379,16 @@ def _field_parts(name: str, turn: int) -> dict:
     }
 
 
-def stored_fields(spark: SparkSession, folder: str) -> DataFrame:
-    """Extracted fields as stored: one row per invoice and field that has a value."""
-    entries = []
-    for turn, name in enumerate(FIELD_NAMES):
-        p = {k: F.expr(v) for k, v in _field_parts(name, turn).items()}
-        entries.append(F.struct(
-            p["field"].alias("field"),
-            F.struct(p["type"].alias("type"), p["value"].alias("value"),
-                     p["numeric"].alias("numeric"), p["iso"].alias("iso")).alias("value"),
-            p["confidence"].alias("confidence"),
-            p["method"].alias("method"),
-            p["source_text"].alias("source_text"),
-        ))
-    return (
-        view(spark, folder, "v_field_sheet")
-        .select("invoice_id", "org_id", F.inline(F.array(*entries)))
-        .where(F.col("value.value").isNotNull())
-        .withColumn("validator_status", F.lit(None).cast("string"))
-        .withColumn("validator_detail", F.lit(None).cast("map<string,string>"))
-        .withColumn("status", F.lit("accepted"))
-    )
+def blocks_sql() -> str:
+    """The printed lines for another engine, to follow ``sql_of('v_sheets')``."""
+    selects = [
+        f"SELECT doc_id, org_id, conf, {1 if n == SHEET_LINES - 1 else 0} AS page_no, "
+        f"{n} AS block_no, t{n} AS text, "
+        f"{'left_edge' if n == 0 else 'CAST(0.1 AS DOUBLE)'} AS x0, "
+        f"CAST({n} AS DOUBLE) / {SHEET_LINES} AS y0 FROM v_sheets WHERE t{n} IS NOT NULL"
+        for n in range(SHEET_LINES)
+    ]
+    return "blocks AS (" + "\nUNION ALL\n".join(selects) + ")"
 
 
 def stored_fields_sql() -> str:
@@ -471,3 +413,97 @@ FROM {events}"""
 VIEWS["v_checked"] = """
 SELECT t.*, s.iban, s.vat AS supplier_vat
 FROM {v_totals} t JOIN {v_suppliers} s ON t.supplier_id = s.supplier_id"""
+
+VIEWS["v_requests"] = f"""
+SELECT p_partkey AS request_id,
+       {pick('p_partkey', ['invoice date', 'total amount', 'item count', 'is paid', 'line items', 'buyer name', 'Deadline', 'Net weight', 'all pages', 'remarks', 'qty'])}
+       AS name,
+       CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 'for ' || p_name || CASE p_partkey % 5
+            WHEN 0 THEN ' yes/no' WHEN 1 THEN ' each one' ELSE '' END END AS description,
+       CASE p_partkey % 9 WHEN 0 THEN 'object' WHEN 4 THEN 'boolean' WHEN 5 THEN 'odd'
+            ELSE NULL END AS given
+FROM {{part}}"""
+
+# --- the views on Spark ------------------------------------------------------
+
+
+class Views:
+    """The views of one folder as DataFrames; each is built once per object."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self._built = spark, folder, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._build(name)
+        return self._built[name]
+
+    def _build(self, name: str) -> DataFrame:
+        if name in TABLES:
+            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name == "v_numbered":
+            return self._numbered()
+        return self.spark.sql(VIEWS[name], **{n: self[n] for n in _needs(VIEWS[name])})
+
+    def _numbered(self) -> DataFrame:
+        """Lines with their position; an order with very many lines is numbered in pieces."""
+        return index_within(
+            self["v_line_cents"], ["invoice_id"], list(LINE_ORDER),
+            ["l_linenumber", "l_partkey"], "position",
+            counted=self["lineitem"].select(F.col("l_orderkey").alias("invoice_id")),
+        )
+
+    def lines(self, numbered: bool = False) -> DataFrame:
+        """Line items; the position costs a pass of its own and comes only when asked for."""
+        return self["v_line_items" if numbered else "v_line_values"].drop(*LINE_ORDER)
+
+    def blocks(self) -> DataFrame:
+        """Printed lines: one row per text block."""
+        printed = F.array(*[
+            F.struct(
+                F.lit(1 if n == SHEET_LINES - 1 else 0).alias("page_no"),
+                F.lit(n).alias("block_no"),
+                F.col(f"t{n}").alias("text"),
+                (F.col("left_edge") if n == 0 else F.lit(0.1)).alias("x0"),
+                F.lit(n / SHEET_LINES).alias("y0"),
+            )
+            for n in range(SHEET_LINES)
+        ])
+        return (
+            self["v_sheets"]
+            .select("doc_id", "org_id", "conf", F.inline(printed))
+            .where(F.col("text").isNotNull())
+            .withColumns({"x1": F.lit(0.9), "y1": F.col("y0") + F.lit(0.05)})
+        )
+
+    def cells(self) -> DataFrame:
+        """Table cells: one row per cell."""
+        row = F.array(*[
+            F.struct(F.lit(c).alias("col_no"), F.col(f"c{c}").alias("text"))
+            for c in range(CELLS)
+        ])
+        return self["v_rows"].select("doc_id", "page_no", "table_no", "row_no", F.inline(row))
+
+    def stored_fields(self) -> DataFrame:
+        """Extracted fields as stored: one row per invoice and field that has a value."""
+        entries = []
+        for turn, name in enumerate(FIELD_NAMES):
+            p = {k: F.expr(v) for k, v in _field_parts(name, turn).items()}
+            entries.append(F.struct(
+                p["field"].alias("field"),
+                F.struct(p["type"].alias("type"), p["value"].alias("value"),
+                         p["numeric"].alias("numeric"), p["iso"].alias("iso")).alias("value"),
+                p["confidence"].alias("confidence"),
+                p["method"].alias("method"),
+                p["source_text"].alias("source_text"),
+            ))
+        return (
+            self["v_field_sheet"]
+            .select("invoice_id", "org_id", F.inline(F.array(*entries)))
+            .where(F.col("value.value").isNotNull())
+            .withColumns({
+                "validator_status": F.lit(None).cast("string"),
+                "validator_detail": F.lit(None).cast("map<string,string>"),
+                "status": F.lit("accepted"),
+            })
+        )

@@ -3,14 +3,21 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import checks, scoring, state
+from .. import fixed_values as fixed
+from ..functions import kinds, values
+from ..operators import checks, fields, scoring, search, state
 from . import bindings as b
 
 QUERIES = {}
 
 
 def query(function):
-    QUERIES[function.__name__] = function
+    """Register a function of the views as a query of (session, folder)."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return function(b.Views(spark, folder))
+
+    QUERIES[function.__name__] = run
     return function
 
 
@@ -29,27 +36,27 @@ def _plain(frame: DataFrame) -> DataFrame:
 
 
 @query
-def reconcile_totals(spark: SparkSession, folder: str) -> DataFrame:
+def reconcile_totals(v):
     return _amounts_shown(checks.total_checks(
-        b.view(spark, folder, "v_totals"), b.lines(spark, folder),
+        v["v_totals"], v.lines(),
         names=("subtotal", "vat_total", "grand_total"),
     ))
 
 
 @query
-def line_gross_check(spark, folder):
-    return _amounts_shown(checks.line_gross_checks(b.lines(spark, folder, numbered=True)))
+def line_gross_check(v):
+    return _amounts_shown(checks.line_gross_checks(v.lines(numbered=True)))
 
 
 @query
-def zero_rated_check(spark, folder):
+def zero_rated_check(v):
     return _plain(checks.total_checks(
-        b.view(spark, folder, "v_totals"), b.lines(spark, folder), names=("reverse_charge",)
+        v["v_totals"], v.lines(), names=("reverse_charge",)
     ))
 
 
-def _supplier_codes(spark, folder):
-    return b.view(spark, folder, "v_suppliers").select(
+def _supplier_codes(v):
+    return v["v_suppliers"].select(
         F.col("supplier_id").alias("invoice_id"), "iban", F.col("vat").alias("supplier_vat")
     )
 
@@ -62,54 +69,52 @@ def _codes_shown(frame, name, details):
 
 
 @query
-def iban_check(spark, folder):
-    found = checks.code_checks(_supplier_codes(spark, folder), only_present=False)
+def iban_check(v):
+    found = checks.code_checks(_supplier_codes(v), only_present=False)
     return _codes_shown(found, "iban", ("country", "expected", "actual", "mod97"))
 
 
 @query
-def vat_check(spark, folder):
-    found = checks.code_checks(_supplier_codes(spark, folder), only_present=False)
+def vat_check(v):
+    found = checks.code_checks(_supplier_codes(v), only_present=False)
     return _codes_shown(found, "vat_format", ("country", "value"))
 
 
-def _all_checks(spark, folder, only_present):
+def _all_checks(v, only_present):
     return checks.all_checks(
-        b.view(spark, folder, "v_checked"), b.lines(spark, folder, numbered=True), only_present
+        v["v_checked"], v.lines(numbered=True), only_present
     )
 
 
 @query
-def checks_all(spark, folder):
-    return _plain(_all_checks(spark, folder, only_present=False))
+def checks_all(v):
+    return _plain(_all_checks(v, only_present=False))
 
 
 @query
-def checks_present_only(spark, folder):
-    return _plain(_all_checks(spark, folder, only_present=True))
+def checks_present_only(v):
+    return _plain(_all_checks(v, only_present=True))
 
 
 @query
-def new_checks_only(spark, folder):
-    found = _plain(_all_checks(spark, folder, only_present=True))
+def new_checks_only(v):
+    found = _plain(_all_checks(v, only_present=True))
     stored = found.where(F.col("invoice_id") % 2 == 0)
     return checks.not_stored_yet(found, stored)
 
 
-def _deciding_checks(spark, folder):
+def _deciding_checks(v):
     """The checks some field depends on; line checks decide about no field."""
-    invoices = b.view(spark, folder, "v_checked")
+    invoices = v["v_checked"]
     return checks.total_checks(
-        invoices, b.lines(spark, folder), names=("subtotal", "vat_total", "grand_total")
+        invoices, v.lines(), names=("subtotal", "vat_total", "grand_total")
     ).unionByName(checks.code_checks(invoices, only_present=True))
 
 
 @query
-def apply_check_status(spark, folder):
-    fields = checks.apply_to_fields(
-        b.stored_fields(spark, folder), _deciding_checks(spark, folder)
-    )
-    return fields.select(
+def apply_check_status(v):
+    judged = checks.apply_to_fields(v.stored_fields(), _deciding_checks(v))
+    return judged.select(
         "invoice_id", "field", "validator_status", F.col("validator_detail")["rule"].alias("rule")
     )
 
@@ -117,32 +122,30 @@ def apply_check_status(spark, folder):
 # --- confidence and status --------------------------------------------------
 
 
-def _scored(spark, folder):
-    fields = checks.apply_to_fields(
-        b.stored_fields(spark, folder).drop("org_id"), _deciding_checks(spark, folder)
-    )
-    sheets = b.blocks(spark, folder)
-    invoices = b.view(spark, folder, "v_invoices")
+def _scored(v):
+    judged = checks.apply_to_fields(v.stored_fields().drop("org_id"), _deciding_checks(v))
+    sheets = v.blocks()
+    invoices = v["v_invoices"]
     return invoices, scoring.score_fields(
-        fields, scoring.reading_confidence(sheets), invoices, b.view(spark, folder, "v_orgs")
+        judged, scoring.reading_confidence(sheets), invoices, v["v_orgs"]
     )
 
 
 @query
-def field_confidence(spark, folder):
-    _, scored = _scored(spark, folder)
+def field_confidence(v):
+    _, scored = _scored(v)
     return scored.select("invoice_id", "field", "validator_status", "confidence", "status")
 
 
 @query
-def document_gate(spark, folder):
-    invoices, scored = _scored(spark, folder)
+def document_gate(v):
+    invoices, scored = _scored(v)
     return scoring.document_gate(invoices, scored)
 
 
 @query
-def finalize_status(spark, folder):
-    final = scoring.finalize(b.view(spark, folder, "v_invoices"))
+def finalize_status(v):
+    final = scoring.finalize(v["v_invoices"])
     audit = state.audit_events(final)
     return audit.select("org_id", "actor_type", "action", "resource", "resource_id", "delta")
 
@@ -151,20 +154,20 @@ def finalize_status(spark, folder):
 
 
 @query
-def latest_stage(spark, folder):
-    return state.newest_done(b.view(spark, folder, "v_jobs")).select(
+def latest_stage(v):
+    return state.newest_done(v["v_jobs"]).select(
         "invoice_id", "stage", "job_id", "payload"
     )
 
 
 @query
-def skip_failed(spark, folder):
-    return state.runnable(b.view(spark, folder, "v_invoices")).select("invoice_id", "status")
+def skip_failed(v):
+    return state.runnable(v["v_invoices"]).select("invoice_id", "status")
 
 
 @query
-def append_stage(spark, folder):
-    invoices = b.view(spark, folder, "v_invoices").withColumn("total_conf", F.lit(0.9))
+def append_stage(v):
+    invoices = v["v_invoices"].withColumn("total_conf", F.lit(0.9))
     claimed = state.with_status(
         invoices,
         F.when(F.col("status") == "queued", "processing").otherwise(F.col("status")),
@@ -177,3 +180,142 @@ def append_stage(spark, folder):
 
 
 # --- listing ----------------------------------------------------------------
+
+
+@query
+def invoice_list(v):
+    return search.newest_invoices(v["v_invoices"].join(
+        v["v_totals"].select("invoice_id", "total"), "invoice_id"
+    )).select(
+        "org_id", "invoice_id", "filename", "status", F.col("total").cast("double").alias("total"),
+        F.col("created_on").cast("string").alias("created_on"),
+    )
+
+
+@query
+def org_lookup(v):
+    return search.tenant(v["v_orgs"], 7).select(
+        "org_id", "name", "residency", F.col("threshold").cast("double").alias("threshold")
+    )
+
+
+# --- values and fields ------------------------------------------------------
+
+
+@query
+def amounts(v):
+    hits = values.amounts_in(F.col("text"))
+    return v.blocks().select("doc_id", "block_no", F.posexplode(hits).alias("no", "hit")).select(
+        "doc_id", "block_no", "no", "hit.raw", "hit.value"
+    )
+
+
+@query
+def dates(v):
+    hits = values.dates_in(F.col("text"))
+    return v.blocks().select("doc_id", "block_no", F.posexplode(hits).alias("no", "hit")).select(
+        "doc_id", "block_no", "no", "hit.raw", F.col("hit.day").cast("string").alias("day")
+    )
+
+
+@query
+def text_keys(v):
+    return v["documents"].select(
+        "doc_id", F.md5(values.collapse(F.col("text"))).alias("collapsed"),
+        F.md5(values.comparison_key(F.col("text"))).alias("key"),
+    )
+
+
+def _values_shown(frame, *names):
+    columns = []
+    for name in names:
+        columns += [
+            F.col(name)["value"]["value"].alias(name),
+            F.col(name)["bbox"]["y0"].alias(f"{name}_top"),
+        ]
+    return frame.select("doc_id", *columns)
+
+
+@query
+def find_identifiers(v):
+    return _values_shown(
+        fields.find_wide(v.blocks(), ("vat", "iban", "number")),
+        "supplier_vat", "iban", "invoice_number",
+    )
+
+
+@query
+def find_dates(v):
+    return _values_shown(fields.find_wide(v.blocks(), ("dates",)), "invoice_date", "due_date")
+
+
+@query
+def find_currency(v):
+    return fields.find_currency(v.blocks()).select(
+        "doc_id", F.col("currency.value.value").alias("currency"),
+        F.col("currency.source_text").alias("source_text"),
+    )
+
+
+@query
+def find_money(v):
+    found = fields.find_wide(v.blocks(), ("money",))
+    return found.select("doc_id", *[
+        F.col(n)["value"]["numeric"].alias(n) for n in ("subtotal", "total_vat", "total")
+    ])
+
+
+@query
+def find_supplier(v):
+    return _values_shown(fields.find_wide(v.blocks(), ("supplier",)), "supplier_name")
+
+
+@query
+def header_wide(v):
+    sheets = v.blocks()
+    found = fields.header(fields.classify_blocks(sheets), fields.find_all_wide(sheets))
+    return found.select(*[
+        F.col(c).cast("string").alias(c) if t == "date" else
+        F.col(c).cast("double").alias(c) if t.startswith("decimal") else F.col(c)
+        for c, t in found.dtypes
+    ])
+
+
+@query
+def field_rows(v):
+    found = fields.find_fields(v.blocks())
+    return found.select(
+        "doc_id", "field", "value.type", "value.value", "value.numeric", "value.iso",
+        "confidence", "method", "source_text", F.col("bbox.page").alias("page"),
+    )
+
+
+@query
+def doc_type(v):
+    words = (fixed.DOCUMENT_TYPE_WORDS,)
+    hits = kinds.keyword_numbers(kinds.keywords_in(F.col("text"), words), *words, words)
+    found = v["documents"].select("doc_id", hits.alias("hits")).select(
+        "doc_id", kinds.document_type(F.col("hits")).alias("k")
+    )
+    return found.select(
+        "doc_id", "k.doc_type", "k.confidence", F.array_join("k.keywords", ",").alias("keywords")
+    )
+
+
+@query
+def language(v):
+    words = (fixed.LANGUAGE_WORDS,)
+    hits = kinds.keyword_numbers(kinds.keywords_in(F.col("text"), words), *words, words)
+    return v["documents"].select("doc_id", hits.alias("hits")).select(
+        "doc_id", kinds.language(F.col("hits")).alias("k")
+    ).select("doc_id", "k.language", F.bround("k.confidence", 4).alias("confidence"))
+
+
+@query
+def field_types(v):
+    wanted = v["v_requests"]
+    kind = kinds.requested_type(F.col("name"), F.col("description"), F.col("given"))
+    return wanted.select("request_id", "name", kind.alias("field_type")).select(
+        "*", kinds.json_type(F.col("field_type")).alias("json_type"),
+        F.when(F.col("field_type") == "date", "date").alias("format"),
+    )

@@ -260,3 +260,281 @@ SELECT invoice_id, 'ingest' AS stage, CASE WHEN status = 'failed' THEN 'failed'
             WHEN status IN ('queued', 'processing') THEN '{"status":"processing","total_conf":0.0}'
             ELSE '{"status":"' || status || '","total_conf":0.9}' END AS payload
 FROM v_invoices"""
+
+# --- listing ----------------------------------------------------------------
+
+_SQL["invoice_list"] = _with(("v_invoices", "v_totals")) + f"""
+SELECT org_id, invoice_id, filename, status, total, created_on FROM (
+SELECT i.org_id, i.invoice_id, filename, status, CAST(total AS DOUBLE) AS total,
+       CAST(created_on AS VARCHAR) AS created_on, row_number() OVER (
+         PARTITION BY org_id ORDER BY created_on DESC, i.invoice_id) AS turn
+FROM v_invoices i JOIN v_totals t ON t.invoice_id = i.invoice_id WHERE NOT deleted) x
+WHERE turn <= {fixed.LISTING_LIMIT}"""
+_SQL["org_lookup"] = _with(("v_orgs",)) + (
+    "SELECT org_id, name, residency, CAST(threshold AS DOUBLE) AS threshold "
+    "FROM v_orgs WHERE org_id = 7"
+)
+
+# --- values and fields ------------------------------------------------------
+
+_EDGE0 = r"(?:^|[^\p{L}\p{N}_])"
+_EDGE1 = r"(?:[^\p{L}\p{N}_]|$)"
+_CODES = "|".join(fixed.CURRENCY_CODES) + r"|€|\$|£"
+_NUM = "[0-9][0-9.,]{1,15}"
+_MONEY = rf"(?i)(?:{_CODES})[\s\pZ]*{_NUM}|{_NUM}[\s\pZ]*(?:{_CODES})|{_NUM}"
+
+
+def _number_sql(x: str) -> str:
+    """Printed number to double, from an expression that yields the printed text."""
+    kept = f"regexp_replace({x}, '[^0-9.,-]', '', 'g')"
+    body = f"ltrim({kept}, '-')"
+    comma, dot = f"strpos({body}, ',')", f"strpos({body}, '.')"
+    comma_back, dot_back = (f"strpos(reverse({body}), '{m}')" for m in ",.")
+    return f"""(CASE WHEN starts_with({kept}, '-') THEN -1 ELSE 1 END * try_cast(CASE
+WHEN {comma} > 0 AND {dot} > 0 AND {comma_back} < {dot_back}
+  THEN replace(replace({body}, '.', ''), ',', '.')
+WHEN {comma} > 0 AND {dot} > 0 THEN replace({body}, ',', '')
+WHEN {comma} > 0 AND length({body}) - {comma} <= 2
+  THEN substr({body}, 1, {comma} - 1) || '.' || substr({body}, {comma} + 1)
+WHEN {comma} > 0 THEN replace({body}, ',', '')
+WHEN {dot} > 0 AND length({body}) - {dot} > 2 THEN replace({body}, '.', '')
+ELSE {body} END AS DOUBLE))"""
+
+
+_AMOUNT_LIST = (
+    f"list_filter(list_transform(regexp_extract_all(text, '{_MONEY}'), lambda h: "
+    f"struct_pack(raw := regexp_extract(h, '{_NUM}'), "
+    f"value := {_number_sql(f'''regexp_extract(h, '{_NUM}')''')})), "
+    "lambda a: a.value >= 0 AND a.value <= 1e9)"
+)
+_BLOCK_AMOUNTS = f"block_amounts AS (SELECT *, {_AMOUNT_LIST} AS hits FROM blocks)"
+_SQL["amounts"] = _with(("v_sheets",), b.blocks_sql(), _BLOCK_AMOUNTS) + """
+SELECT doc_id, block_no, no, hits[no + 1].raw AS raw, hits[no + 1].value AS value
+FROM (SELECT *, unnest(range(len(hits))) AS no FROM block_amounts) u"""
+
+_DMY = rf"{_EDGE0}([0-9]{{1,2}}[./-][0-9]{{1,2}}[./-](?:19|20)[0-9]{{2}}){_EDGE1}"
+_YMD = rf"{_EDGE0}((?:19|20)[0-9]{{2}}[-/][0-9]{{1,2}}[-/][0-9]{{1,2}}){_EDGE1}"
+_PARTS = "string_split(translate(r, './', '--'), '-')"
+
+
+def _day_list(pattern: str, y: int, m: int, d: int) -> str:
+    return (
+        f"list_transform(regexp_extract_all(replace(text, ' ', '  '), '{pattern}', 1), "
+        f"lambda r: struct_pack(raw := r, day := try_cast({_PARTS}[{y}] || '-' || "
+        f"lpad({_PARTS}[{m}], 2, '0') || '-' || lpad({_PARTS}[{d}], 2, '0') AS DATE)))"
+    )
+
+
+_BLOCK_DATES = f"""block_dates AS (SELECT *, list_filter(list_concat(
+{_day_list(_DMY, 3, 2, 1)}, {_day_list(_YMD, 1, 2, 3)}), lambda h: h.day IS NOT NULL) AS hits
+FROM blocks)"""
+_SQL["dates"] = _with(("v_sheets",), b.blocks_sql(), _BLOCK_DATES) + """
+SELECT doc_id, block_no, no, hits[no + 1].raw AS raw, CAST(hits[no + 1].day AS VARCHAR) AS day
+FROM (SELECT *, unnest(range(len(hits))) AS no FROM block_dates) u"""
+
+_FOLDED = "replace(lower(text), 'ß', 'ss')"
+_SQL["text_keys"] = f"""
+SELECT doc_id,
+       md5(trim(regexp_replace({_FOLDED}, '[\\s\\x0B\\x{{85}}\\pZ]+', ' ', 'g'), ' ')) AS collapsed,
+       md5(replace({_FOLDED}, ' ', '')) AS key
+FROM documents"""
+
+_AT = "(page_no * 1000 + block_no)"
+
+
+def _first(cte: str, value: str, name: str, how: str = "arg_min") -> str:
+    return (
+        f"SELECT doc_id, {how}({value}, {_AT}) AS {name}, {how}(y0, {_AT}) AS {name}_top, "
+        f"{how}(text, {_AT}) AS {name}_source FROM {cte} WHERE {value} IS NOT NULL GROUP BY doc_id"
+    )
+
+
+_VAT_TOKENS = (
+    f"list_filter(regexp_extract_all(replace(upper(text), ' ', '  '), "
+    f"'{_EDGE0}([A-Z]{{2}}[A-Z0-9]{{6,14}}){_EDGE1}', 1), "
+    f"lambda t: regexp_matches(t, '{_VAT_ANY}'))[1]"
+)
+_MOD = (
+    "list_reduce(list_prepend(0::BIGINT, list_transform(string_split(substr(t, 5) || "
+    "substr(t, 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' "
+    "THEN CAST(ascii(c) - 48 AS BIGINT) ELSE CAST(ascii(c) - 55 AS BIGINT) END)), "
+    "lambda a, v: (a * CASE WHEN v >= 10 THEN 100 ELSE 10 END + v) % 97)"
+)
+_IBAN_TOKENS = (
+    f"list_filter(list_transform(regexp_extract_all(upper(text), "
+    f"'{_EDGE0}([A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{12,30}}){_EDGE1}', 1), "
+    f"lambda t: replace(t, ' ', '')), lambda t: "
+    f"coalesce(length(t) = {_LENGTHS}[substr(t, 1, 2)], false) AND {_MOD} = 1)[1]"
+)
+_INV = (
+    f"(?i)(?:{'|'.join(fixed.NUMBER_WORDS)})(?:\\s*(?:nr\\.?|no\\.?|nummer|number|n°|n)?\\.?"
+    "\\s*[:#]?\\s*)([A-Z0-9][A-Z0-9\\-/._]{1,40})"
+)
+_NUMBER_TOKEN = f"trim(regexp_extract(text, '{_INV}', 1), ':.,;')"
+_BLOCK_CODES = f"""block_codes AS (
+SELECT *, {_VAT_TOKENS} AS vat, {_IBAN_TOKENS} AS account,
+       CASE WHEN {_NUMBER_TOKEN} <> '' AND NOT regexp_matches({_NUMBER_TOKEN}, '^[0-9]{{4}}$')
+            THEN {_NUMBER_TOKEN} END AS number
+FROM blocks)"""
+_CODE_CTES = (
+    _BLOCK_CODES,
+    f"w_vat AS ({_first('block_codes', 'vat', 'supplier_vat')})",
+    f"w_iban AS ({_first('block_codes', 'account', 'iban')})",
+    f"w_number AS ({_first('block_codes', 'number', 'invoice_number')})",
+)
+_SQL["find_identifiers"] = _with(("v_sheets",), b.blocks_sql(), *_CODE_CTES) + """
+SELECT doc_id, supplier_vat, supplier_vat_top, iban, iban_top, invoice_number,
+       invoice_number_top
+FROM w_vat FULL JOIN w_iban USING (doc_id) FULL JOIN w_number USING (doc_id)"""
+
+_DUE_SQL = " OR ".join(f"contains(lower(text), '{w}')" for w in fixed.DUE_WORDS)
+_DATE_CTES = (
+    _BLOCK_DATES,
+    f"""dated AS (SELECT *, CASE WHEN due THEN row_number() OVER (
+PARTITION BY doc_id, due ORDER BY {_AT}) END AS due_turn FROM (
+SELECT doc_id, page_no, block_no, y0, text, hits[1].raw AS raw,
+       CAST(hits[1].day AS VARCHAR) AS day, ({_DUE_SQL}) AS due
+FROM block_dates WHERE len(hits) > 0) d)""",
+    f"""w_due AS (SELECT doc_id, raw AS due_date, y0 AS due_date_top, text AS due_date_source,
+day AS due_day FROM dated WHERE due_turn = 1)""",
+    f"""w_date AS (SELECT doc_id, arg_min(raw, {_AT}) AS invoice_date,
+arg_min(y0, {_AT}) AS invoice_date_top, arg_min(text, {_AT}) AS invoice_date_source,
+arg_min(day, {_AT}) AS invoice_day FROM dated
+WHERE NOT due OR due_turn > 1 GROUP BY doc_id)""",
+)
+_SQL["find_dates"] = _with(("v_sheets",), b.blocks_sql(), *_DATE_CTES) + """
+SELECT doc_id, invoice_date, invoice_date_top, due_date, due_date_top
+FROM w_date FULL JOIN w_due USING (doc_id)"""
+
+_CUR = rf"(?i){_EDGE0}(?:{'|'.join(fixed.CURRENCY_CODES)}){_EDGE1}|€|\$|£"
+_CURRENCY_CTES = (
+    f"""coded AS (SELECT doc_id, {_AT} AS spot, text, no,
+CASE h[no + 1] WHEN '€' THEN 'EUR' WHEN '$' THEN 'USD' WHEN '£' THEN 'GBP'
+ELSE upper(regexp_replace(h[no + 1], '[^A-Za-z]', '', 'g')) END AS code
+FROM (SELECT *, unnest(range(len(h))) AS no FROM (
+SELECT *, regexp_extract_all(replace(text, ' ', '  '), '{_CUR}') AS h FROM blocks) c1) c2)""",
+    """w_currency AS (SELECT doc_id, code AS currency, source_text FROM (
+SELECT doc_id, code, arg_min(text, spot) AS source_text, row_number() OVER (
+  PARTITION BY doc_id ORDER BY count(*) DESC, min(spot * 1000 + no)) AS turn
+FROM coded GROUP BY doc_id, code) c3 WHERE turn = 1)""",
+)
+_SQL["find_currency"] = (
+    _with(("v_sheets",), b.blocks_sql(), *_CURRENCY_CTES)
+    + "SELECT doc_id, currency, source_text FROM w_currency"
+)
+
+
+def _words_sql(inside, alone=()) -> str:
+    tests = [f"contains(lower(text), '{w}')" for w in inside]
+    tests += [f"regexp_matches(text, '(?i){_EDGE0}{w}{_EDGE1}')" for w in alone]
+    return "(" + " OR ".join(tests) + ")"
+
+
+_MONEY_CTES = (
+    _BLOCK_AMOUNTS,
+    f"""priced AS (SELECT *, hits[-1].value AS value, hits[-1].raw AS raw, CASE
+WHEN {_words_sql(fixed.SUBTOTAL_WORDS, fixed.SUBTOTAL_WHOLE_WORDS)} THEN 'subtotal'
+WHEN {_words_sql(fixed.TAX_WORDS, fixed.TAX_WHOLE_WORDS)} THEN 'total_vat'
+WHEN {_words_sql(fixed.TOTAL_WORDS, fixed.TOTAL_WHOLE_WORDS)} THEN 'total' END AS class
+FROM block_amounts WHERE len(hits) > 0)""",
+    *[
+        f"""w_{n} AS (SELECT doc_id, arg_max(value, {_AT}) AS {n}, arg_max(raw, {_AT}) AS {n}_raw,
+arg_max(text, {_AT}) AS {n}_source FROM priced WHERE class = '{n}' GROUP BY doc_id)"""
+        for n in ("subtotal", "total_vat", "total")
+    ],
+)
+_SQL["find_money"] = _with(("v_sheets",), b.blocks_sql(), *_MONEY_CTES) + """
+SELECT doc_id, subtotal, total_vat, total FROM w_subtotal FULL JOIN w_total_vat USING (doc_id)
+FULL JOIN w_total USING (doc_id)"""
+
+_SUPPLIER_CTES = (
+    f"""named AS (SELECT *, trim(text) AS name FROM blocks WHERE NOT contains(text, ':')
+AND NOT {_words_sql(fixed.NOT_A_SUPPLIER_WORDS)}
+AND len(list_filter(string_split(trim(text), ' '), lambda w: w <> '')) >= 2
+AND length(regexp_replace(text, '[^0-9]', '', 'g')) <= 6 AND y0 <= 0.6 AND x0 <= 0.4)""",
+    f"w_supplier AS ({_first('named', 'name', 'supplier_name')})",
+)
+_SQL["find_supplier"] = (
+    _with(("v_sheets",), b.blocks_sql(), *_SUPPLIER_CTES)
+    + "SELECT doc_id, supplier_name, supplier_name_top FROM w_supplier"
+)
+
+
+def _scored_words(source: str, words_by_name: dict) -> str:
+    """Per document the name with most keywords: columns doc_id, name, n, total, found."""
+    rows = ", ".join(
+        f"({i}, '{name}', {_list(words)})" for i, (name, words) in enumerate(words_by_name.items())
+    )
+    return f"""
+SELECT doc_id, name, n, total, found FROM (
+SELECT *, len(found) AS n, sum(len(found)) OVER (PARTITION BY doc_id) AS total, row_number() OVER (
+  PARTITION BY doc_id ORDER BY len(found) DESC, turn) AS place FROM (
+SELECT doc_id, turn, name, list_filter(words, lambda k: contains(lower(text), lower(k))) AS found
+FROM {source}, (VALUES {rows}) AS t(turn, name, words)) s1) s2 WHERE place = 1"""
+
+
+_SQL["doc_type"] = f"""
+SELECT doc_id, CASE WHEN n > 0 THEN name ELSE 'unknown' END AS doc_type,
+       CASE WHEN n > 0 THEN round_even(CAST(n AS DOUBLE) / total, 4) ELSE 0 END AS confidence,
+       array_to_string(found, ',') AS keywords
+FROM ({_scored_words('documents', fixed.DOCUMENT_TYPE_WORDS)}) b"""
+_LANGUAGE = "CASE WHEN n > 0 THEN name END"
+_SQL["language"] = f"""
+SELECT doc_id, {_LANGUAGE} AS language, CASE WHEN n > 0 THEN round_even(
+       least(0.95::DOUBLE, 0.5::DOUBLE + 0.1::DOUBLE * n), 4) ELSE 0 END AS confidence
+FROM ({_scored_words('documents', fixed.LANGUAGE_WORDS)}) b"""
+
+_ALL_CTES = (*_CODE_CTES, *_DATE_CTES, *_CURRENCY_CTES, *_MONEY_CTES, *_SUPPLIER_CTES)
+_TEXTS = "texts AS (SELECT doc_id, string_agg(text, '\n' ORDER BY page_no, block_no) AS text FROM blocks GROUP BY doc_id)"
+_SQL["header_wide"] = _with(("v_sheets",), b.blocks_sql(), *_ALL_CTES, _TEXTS) + f"""
+SELECT x.doc_id, x.doc_type, y.language, substr(supplier_vat, 1, 2) AS country, invoice_number,
+       invoice_day AS invoice_date, due_day AS due_date, supplier_name, supplier_vat, currency,
+       subtotal, total_vat, total, iban
+FROM (SELECT doc_id, CASE WHEN n > 0 THEN name ELSE 'unknown' END AS doc_type
+      FROM ({_scored_words('texts', fixed.DOCUMENT_TYPE_WORDS)}) b1) x
+JOIN (SELECT doc_id, {_LANGUAGE} AS language
+      FROM ({_scored_words('texts', fixed.LANGUAGE_WORDS)}) b2) y USING (doc_id)
+LEFT JOIN w_vat USING (doc_id) LEFT JOIN w_iban USING (doc_id)
+LEFT JOIN w_number USING (doc_id) LEFT JOIN w_date USING (doc_id) LEFT JOIN w_due USING (doc_id)
+LEFT JOIN w_supplier USING (doc_id) LEFT JOIN w_currency USING (doc_id)
+LEFT JOIN w_subtotal USING (doc_id) LEFT JOIN w_total_vat USING (doc_id)
+LEFT JOIN w_total USING (doc_id)"""
+
+
+def _row(field, kind, cte, value, numeric="NULL", iso="NULL", source=None, conf=None) -> str:
+    conf = conf or fixed.RULE_CONFIDENCE[field]
+    return (
+        f"SELECT doc_id, '{field}' AS field, '{kind}' AS type, {value} AS value, "
+        f"CAST({numeric} AS DOUBLE) AS numeric, CAST({iso} AS VARCHAR) AS iso, "
+        f"CAST({conf} AS DOUBLE) AS confidence, 'rules' AS method, "
+        f"{source or field + '_source'} AS source_text, 0 AS page FROM {cte}"
+    )
+
+
+_FOUND = "found AS (" + " UNION ALL ".join([
+    _row("supplier_vat", "vat", "w_vat", "supplier_vat", iso="supplier_vat"),
+    _row("iban", "iban", "w_iban", "iban"),
+    _row("invoice_number", "text", "w_number", "invoice_number"),
+    _row("invoice_date", "date", "w_date", "invoice_date", iso="invoice_day"),
+    _row("due_date", "date", "w_due", "due_date", iso="due_day"),
+    _row("currency", "currency", "w_currency", "currency", source="source_text"),
+    _row("supplier_name", "text", "w_supplier", "supplier_name", source="supplier_name"),
+    *[_row(n, "money", f"w_{n}", f"{n}_raw", numeric=n)
+      for n in ("subtotal", "total_vat", "total")],
+]) + ")"
+_SQL["field_rows"] = (
+    _with(("v_sheets",), b.blocks_sql(), *_ALL_CTES, _FOUND) + "SELECT * FROM found"
+)
+
+_TYPE_CASE = " ".join(
+    f"WHEN {' OR '.join(f'''contains(low, '{w}')''' for w in words)} THEN '{kind}'"
+    for kind, words in fixed.FIELD_TYPE_WORDS.items()
+)
+_SQL["field_types"] = _with(("v_requests",)) + f"""
+SELECT *, CASE WHEN field_type IN ('currency', 'number') THEN 'number'
+          WHEN field_type IN ('boolean', 'array', 'object') THEN field_type ELSE 'string' END
+          AS json_type, CASE WHEN field_type = 'date' THEN 'date' END AS format
+FROM (SELECT request_id, name, CASE WHEN given IN {_in(fixed.FIELD_TYPES)} THEN given
+             {_TYPE_CASE} ELSE 'string' END AS field_type
+      FROM (SELECT *, lower(name || ' ' || coalesce(description, '')) AS low
+            FROM v_requests) r1) r2"""

@@ -16,9 +16,12 @@ def local_session(cores: int = 8, name: str = "tallyfold") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Small test data: keep all cores busy instead of merging small partitions.
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.log.level", "ERROR")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
