@@ -1,6 +1,6 @@
 """Building blocks that keep one huge group from landing in one task."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # A group beyond this many rows is worked on in pieces.
@@ -58,22 +58,34 @@ def index_within(
 
 
 def attach_per_key(
-    df: DataFrame, per_key: DataFrame, keys: list, hot_rows: int = HOT_ROWS
+    df: DataFrame,
+    per_key: DataFrame,
+    keys: list,
+    spread_by: list,
+    hot_rows: int = HOT_ROWS,
+    counted: DataFrame = None,
 ) -> DataFrame:
-    """Left join one row per key (with its row count ``_n``) back to the rows.
+    """Left join one row per key back to the rows, whatever the size of a group.
 
-    Rows of hot keys meet their row by a broadcast join of the hot keys alone
-    (at most rows/hot_rows of them) and are not shuffled by key; all others take
-    an ordinary join.
+    Rows of hot keys get their row from a broadcast of the hot keys alone (at
+    most rows/hot_rows of them).  They then pass the ordinary join under a
+    scattered key, so it never gathers a hot group.
     """
-    names = [c for c in per_key.columns if c not in (*keys, "_n")]
-    hot = per_key.where(F.col("_n") > hot_rows).select(*keys, *names)
-    cold = per_key.where(F.col("_n") <= hot_rows).select(*keys, *names)
-    hot_rows_df = df.join(F.broadcast(hot), keys, "inner")
-    cold_rows = df.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, "left")
-    return hot_rows_df.unionByName(cold_rows)
-
-
-def in_order(*columns) -> Column:
-    """One comparable value for a place in a document."""
-    return F.struct(*columns)
+    names = [c for c in per_key.columns if c not in keys]
+    hot = hot_keys(counted if counted is not None else df, keys, hot_rows).select(*keys)
+    hot_side = per_key.join(F.broadcast(hot), keys, "left_semi").select(
+        *keys, F.struct(*names).alias("_hot")
+    )
+    scattered = F.pmod(F.xxhash64(*spread_by), F.lit(4096)) + 1
+    # The size of the hot side is bounded, see hot_keys.
+    met = df.join(F.broadcast(hot_side), keys, "left").withColumn(
+        "_spread", F.when(F.col("_hot").isNotNull(), scattered).otherwise(F.lit(0))
+    )
+    cold_side = per_key.select(
+        *keys, F.struct(*names).alias("_cold"), F.lit(0).cast("bigint").alias("_spread")
+    )
+    joined = met.join(cold_side, [*keys, "_spread"], "left")
+    found = F.coalesce(F.col("_hot"), F.col("_cold"))
+    return joined.withColumn("_found", found).select(
+        *df.columns, *[F.col(f"_found.{n}").alias(n) for n in names]
+    )

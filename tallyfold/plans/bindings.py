@@ -252,7 +252,8 @@ SELECT invoice_id AS doc_id, org_id, created_on,
   CASE WHEN invoice_id % 14 = 0 THEN 'Grand total ' || more_text || ' GBP' END AS t12,
   CASE WHEN invoice_id % 6 = 0 THEN 'Seite 2 von 2' END AS t13,
   CAST(80 + invoice_id % 20 AS DOUBLE) / 100 AS conf,
-  CASE WHEN invoice_id % 16 = 4 THEN CAST(0.5 AS DOUBLE) ELSE CAST(0.1 AS DOUBLE) END AS left_edge
+  CASE WHEN invoice_id % 16 = 4 THEN CAST(0.5 AS DOUBLE) ELSE CAST(0.1 AS DOUBLE) END AS left_edge,
+  total_text, total_cents, {_DUE} AS due_on
 FROM {{v_printed_sums}}"""
 
 # One table row per row: c0 .. c7 are its cells.
@@ -414,6 +415,48 @@ VIEWS["v_checked"] = """
 SELECT t.*, s.iban, s.vat AS supplier_vat
 FROM {v_totals} t JOIN {v_suppliers} s ON t.supplier_id = s.supplier_id"""
 
+
+def _json_field(name: str, value: str, source: str, missing: str = "false") -> str:
+    """SQL text that yields one field of a model answer; NULL becomes null."""
+    def quoted(x):
+        return f"coalesce('\"' || {x} || '\"', 'null')"
+
+    return (
+        f"'\"{name}\": {{{{\"value\": ' || {quoted(value)} || ', \"missing\": {missing}, "
+        f"\"source_text\": ' || {quoted(source)} || '}}}}'"
+    )
+
+
+_ANSWER = (
+    "'{{\"doc_type\": ' || CASE WHEN doc_id % 6 = 1 THEN '\"credit_note\"' WHEN doc_id % 6 = 2 "
+    "THEN '\"\"' ELSE 'null' END || ', \"language\": ' || CASE WHEN doc_id % 7 = 1 THEN '\"en\"' "
+    "ELSE 'null' END || ', \"country\": ' || CASE WHEN doc_id % 9 = 2 THEN '\"at\"' ELSE 'null' END"
+    " || ', \"fields\": {{' || "
+    + _json_field("supplier_name", "CASE WHEN doc_id % 8 = 1 THEN t0 || ' Group' ELSE upper(t0) END",
+                  "CASE WHEN doc_id % 8 = 4 THEN 'nowhere' ELSE '  ' || t0 || ' ' END")
+    + " || ', ' || "
+    + _json_field("total", "CASE WHEN doc_id % 8 = 3 THEN '999.00' ELSE total_text END", "t10")
+    + " || ', ' || "
+    + _json_field("due_date", "CASE WHEN doc_id % 8 = 5 THEN '2030-01-01' "
+                  "ELSE CAST(due_on AS STRING) END", "t5 || ' (due)'")
+    + " || ', ' || "
+    + _json_field("buyer", "'Buyer ' || CAST(doc_id % 100 AS STRING)", "CAST(NULL AS STRING)")
+    + " || ', ' || " + _json_field("shipping", "'4,90'", "t7", "true")
+    + " || '}}, \"line_items\": [' || CASE WHEN doc_id % 5 = 2 THEN '{{\"description\": \"Fracht\", "
+    "\"quantity\": \"2\", \"unit_price\": \"1.500,00\", \"gross\": \"3000\", \"source_text\": "
+    "\"Fracht\"}}, {{\"description\": \"Porto\", \"net\": \"4,90\", \"vat_rate\": \"19 %\"}}' "
+    "ELSE '' END || ']}}'"
+)
+_FENCE = "'```json' || chr(10) || answer || chr(10) || '```'"
+VIEWS["v_answers"] = f"""
+SELECT doc_id, 1 AS attempt, CASE doc_id % 4 WHEN 0 THEN {_FENCE}
+       WHEN 1 THEN 'Here it is: ' || answer || ' Done.' WHEN 2 THEN answer
+       ELSE substr(answer, 1, 40) END AS raw_text
+FROM (SELECT doc_id, {_ANSWER} AS answer FROM {{v_sheets}}) a
+UNION ALL
+SELECT doc_id, 2 AS attempt, CASE WHEN doc_id % 12 = 3 THEN 'no answer' ELSE answer END AS raw_text
+FROM (SELECT doc_id, {_ANSWER} AS answer FROM {{v_sheets}} WHERE doc_id % 4 = 3) a2"""
+
 VIEWS["v_requests"] = f"""
 SELECT p_partkey AS request_id,
        {pick('p_partkey', ['invoice date', 'total amount', 'item count', 'is paid', 'line items', 'buyer name', 'Deadline', 'Net weight', 'all pages', 'remarks', 'qty'])}

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fixed
 from ..functions import kinds, values
-from ..operators import checks, fields, scoring, search, state
+from ..operators import answers, checks, fields, lines, scoring, search, state
 from . import bindings as b
 
 QUERIES = {}
@@ -319,3 +319,95 @@ def field_types(v):
         "*", kinds.json_type(F.col("field_type")).alias("json_type"),
         F.when(F.col("field_type") == "date", "date").alias("format"),
     )
+
+
+# --- line items -------------------------------------------------------------
+
+LINE_COLUMNS = (
+    "doc_id", "position", "description", "quantity", "unit_price", "net", "vat_rate",
+    "vat_amount", "gross", "confidence",
+)
+
+
+@query
+def line_items(v):
+    return lines.line_items(v.cells()).select(*LINE_COLUMNS)
+
+
+# --- model answers ----------------------------------------------------------
+
+
+@query
+def parse_answers(v):
+    parsed = answers.parse_answers(v["v_answers"])
+    accepted = answers.accept(parsed)
+    outcome = accepted.select(
+        "doc_id", "attempt", "answer.doc_type", "answer.language", "answer.country",
+        F.col("answer.fields")["total"]["value"].alias("total"),
+        F.size("answer.line_items").alias("n_lines"),
+    )
+    empty = [F.lit(None).cast(t).alias(c) for c, t in outcome.dtypes[1:]]
+    return outcome.unionByName(answers.rejected(parsed, accepted).select("doc_id", *empty))
+
+
+def _accepted(v):
+    return answers.accept(answers.parse_answers(v["v_answers"]))
+
+
+@query
+def answer_candidates(v):
+    found = answers.model_candidates(_accepted(v), v.blocks())
+    return found.select(
+        "doc_id", "field", "value.type", "value.value", "value.numeric", "value.iso",
+        "confidence", F.col("bbox.y0").alias("top"),
+    )
+
+
+@query
+def answer_lines(v):
+    """The model's lines where every second document is taken to have none of its own."""
+    model = answers.model_line_items(_accepted(v))
+    own = lines.line_items(v.cells().where(F.col("doc_id") % 2 == 0))
+    return answers.lines_or_model(own, model).select(*LINE_COLUMNS)
+
+
+@query
+def override_header(v):
+    header = fields.classify_blocks(v.blocks()).select(
+        "doc_id", "doc_type", "language", F.lit("DE").alias("country")
+    )
+    return answers.override_header(header, _accepted(v))
+
+
+@query
+def merge_candidates(v):
+    sheets = v.blocks()
+    merged = answers.merge_candidates(
+        fields.find_fields(sheets), answers.model_candidates(_accepted(v), sheets)
+    )
+    return merged.select(
+        "doc_id", "field", "value.value", "value.numeric", "confidence", "method",
+        "validator_status", F.col("validator_detail")["rule"].alias("rule_value"),
+        F.col("validator_detail")["llm"].alias("model_value"),
+    )
+
+
+@query
+def route_cost(v):
+    jobs = v["v_jobs"].join(v["v_orgs"].select("org_id", "residency"), "org_id").withColumn(
+        "task", F.when(F.col("stage") == "extract", "extract")
+        .when(F.col("stage") == "ingest", "vlm").otherwise("classify")
+    )
+    routed = jobs.withColumn(
+        "route", answers.resolve_route(F.col("residency"), F.col("task"))
+    ).groupBy("org_id", "route", F.to_date("created_at").cast("string").alias("day")).agg(
+        F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("calls")
+    )
+    return routed.withColumn("cost", F.bround(answers.cost(F.col("route"), F.col("tokens")), 6))
+
+
+@query
+def document_text(v):
+    return answers.document_text(v.blocks(), v.cells()).select(
+        "doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest")
+    )

@@ -538,3 +538,196 @@ FROM (SELECT request_id, name, CASE WHEN given IN {_in(fixed.FIELD_TYPES)} THEN
              {_TYPE_CASE} ELSE 'string' END AS field_type
       FROM (SELECT *, lower(name || ' ' || coalesce(description, '')) AS low
             FROM v_requests) r1) r2"""
+
+# --- line items -------------------------------------------------------------
+
+
+def _role_sql(h: str) -> str:
+    low = f"lower(trim({h}))"
+
+    def test(role):
+        words = fixed.COLUMN_WORDS[role]
+        if role == "vat_amount":
+            return f"{low} IN {_in(words)}"
+        any_of = "(" + " OR ".join(f"contains({low}, '{w}')" for w in words) + ")"
+        return f"(contains({low}, '%') AND {any_of})" if role == "vat_rate" else any_of
+
+    return "CASE " + " ".join(
+        f"WHEN {test(r)} THEN '{r}'" for r in fixed.COLUMN_WORDS
+    ) + " ELSE 'text' END"
+
+
+_PLACE = ("quantity", "unit_price", "net", "vat_rate", "vat_amount", "gross")
+_TEXTS_SQL = "[" + ", ".join(f"trim(coalesce(c{i}, ''))" for i in range(b.CELLS)) + "]"
+_NO_TOTAL = " OR ".join(f"contains(lower(coalesce(d, '')), '{w}')" for w in fixed.TOTAL_ROW_WORDS)
+
+
+def _cents(x: str) -> str:
+    return f"CAST(round({x}, 2) AS DOUBLE)"
+
+
+def _dec(x: str) -> str:
+    return f"CAST({x} AS DECIMAL(18,4))"
+
+
+_LINE_CTES = (
+    f"""filled AS (SELECT doc_id, page_no, table_no, row_no, {_TEXTS_SQL} AS t, row_number() OVER (
+PARTITION BY doc_id, page_no, table_no ORDER BY row_no) AS place FROM v_rows
+WHERE len(list_filter({_TEXTS_SQL}, lambda x: x <> '')) > 0)""",
+    f"""heads AS (SELECT * FROM (SELECT doc_id, page_no, table_no, row_no AS head_row,
+list_transform(t, lambda h: {_role_sql('h')}) AS roles, row_number() OVER (
+  PARTITION BY doc_id, page_no, table_no
+  ORDER BY CASE WHEN {_role_sql('t[1]')} <> 'text' THEN 0 ELSE 1 END, place) AS turn
+FROM filled WHERE place <= 3) h1 WHERE turn = 1 AND len(list_filter(roles, lambda r: r <> 'text')) > 0)""",
+    f"""picked AS (SELECT f.*, coalesce(nullif(t[list_position(roles, 'description')], ''),
+  list_filter(t, lambda x: x <> '' AND {_number_sql('x')} IS NULL)[1]) AS d,
+{', '.join(f"{_number_sql(f'''t[list_position(roles, '{r}')]''')} AS {r}" for r in _PLACE)}
+FROM filled f JOIN heads h USING (doc_id, page_no, table_no) WHERE f.row_no > h.head_row)""",
+    f"""net_known AS (SELECT * REPLACE (coalesce(net,
+  {_cents(_dec('quantity') + ' * ' + _dec('unit_price'))}) AS net) FROM picked
+WHERE NOT ({_NO_TOTAL}) AND (d IS NOT NULL OR coalesce({', '.join(_PLACE)}) IS NOT NULL))""",
+    f"""vat_known AS (SELECT * REPLACE (coalesce(vat_amount, {_cents(
+    'CAST(net AS DECIMAL(16,4)) * CAST(vat_rate AS DECIMAL(8,4)) * CAST(0.01 AS DECIMAL(4,2))'
+    )}) AS vat_amount) FROM net_known)""",
+    f"""items AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id
+  ORDER BY page_no, table_no, row_no) AS INT) AS position, coalesce(d, '') AS description,
+quantity, unit_price, net, vat_rate, vat_amount,
+coalesce(gross, {_cents(_dec('net') + ' + ' + _dec('vat_amount'))}) AS gross,
+CASE WHEN d <> '' THEN 0.85::DOUBLE ELSE 0.6::DOUBLE END AS confidence FROM vat_known)""",
+)
+_SQL["line_items"] = _with(("v_rows",), *_LINE_CTES) + "SELECT * FROM items"
+
+# --- model answers ----------------------------------------------------------
+
+_ACCEPTED = r"""parsed AS (SELECT doc_id, attempt, CASE WHEN json_valid(j) THEN j END AS j
+FROM (SELECT *, regexp_extract(raw_text, '(?s)\{.*\}') AS j FROM v_answers) p1),
+accepted AS (SELECT doc_id, min(attempt) AS attempt, arg_min(j, attempt) AS j FROM parsed
+WHERE j IS NOT NULL AND attempt <= 2 GROUP BY doc_id)"""
+
+
+def _json(path: str) -> str:
+    return f"json_extract_string(j, '$.{path}')"
+
+
+_SQL["parse_answers"] = _with(("v_answers",), _ACCEPTED) + f"""
+SELECT d.doc_id, attempt, {_json('doc_type')} AS doc_type, {_json('language')} AS language,
+       {_json('country')} AS country, {_json('fields.total.value')} AS total,
+       CAST(json_array_length(j, '$.line_items') AS INT) AS n_lines
+FROM (SELECT DISTINCT doc_id FROM v_answers) d LEFT JOIN accepted USING (doc_id)"""
+
+_MODEL_FIELDS = ("supplier_name", "total", "due_date", "buyer", "shipping")
+
+
+def _flat(x: str) -> str:
+    return f"trim(regexp_replace({_FOLDED.replace('text', x)}, '\\s+', ' ', 'g'))"
+
+
+_MODEL_CTES = (
+    _ACCEPTED,
+    "answered AS (" + " UNION ALL ".join(
+        f"SELECT doc_id, '{f}' AS field, {_json(f'fields.{f}.value')} AS value, "
+        f"{_json(f'fields.{f}.source_text')} AS source_text FROM accepted "
+        f"WHERE {_json(f'fields.{f}.value')} IS NOT NULL AND {_json(f'fields.{f}.missing')} <> 'true'"
+        for f in _MODEL_FIELDS
+    ) + ")",
+    f"""model AS (SELECT a.doc_id, a.field, a.value, max(a.source_text) AS source_text,
+CASE WHEN field IN {_in(fixed.MONEY_FIELDS)} THEN {_number_sql('a.value')} END AS numeric,
+CASE WHEN field IN {_in(fixed.DATE_FIELDS)} THEN a.value END AS iso,
+CASE WHEN field IN {_in(fixed.MONEY_FIELDS)} THEN 'money'
+     WHEN field IN {_in(fixed.DATE_FIELDS)} THEN 'date' ELSE 'text' END AS type,
+arg_min(b.y0, {_AT}) AS top,
+CASE WHEN count(b.doc_id) > 0 THEN 0.85::DOUBLE ELSE 0.6::DOUBLE END AS confidence
+FROM answered a LEFT JOIN blocks b ON a.doc_id = b.doc_id AND a.source_text <> ''
+ AND (contains({_flat('b.text')}, {_flat('a.source_text')})
+      OR contains({_flat('a.source_text')}, {_flat('b.text')}))
+GROUP BY a.doc_id, a.field, a.value)""",
+)
+_SQL["answer_candidates"] = (
+    _with(("v_answers",), b.blocks_sql(), *_MODEL_CTES)
+    + "SELECT doc_id, field, type, value, numeric, iso, confidence, top FROM model"
+)
+
+_MODEL_LINES = f"""model_lines AS (SELECT doc_id, CAST(no + 1 AS INT) AS position,
+json_extract_string(j, '$.line_items[' || no || '].description') AS description,
+{', '.join(
+    _number_sql(f"json_extract_string(j, '$.line_items[' || no || '].{r}')") + f' AS {r}'
+    for r in _PLACE)},
+CASE WHEN json_extract_string(j, '$.line_items[' || no || '].source_text') <> ''
+     THEN 0.85::DOUBLE ELSE 0.6::DOUBLE END AS confidence
+FROM (SELECT doc_id, j, unnest(range(CAST(json_array_length(j, '$.line_items') AS BIGINT))) AS no
+      FROM accepted) m)"""
+_SQL["answer_lines"] = _with(("v_answers", "v_rows"), _ACCEPTED, _MODEL_LINES, *_LINE_CTES) + """
+SELECT * FROM items WHERE doc_id % 2 = 0
+UNION ALL
+SELECT doc_id, position, description, quantity, unit_price, net, vat_rate, vat_amount, gross,
+       confidence FROM model_lines
+WHERE doc_id NOT IN (SELECT doc_id FROM items WHERE doc_id % 2 = 0)"""
+
+_SQL["override_header"] = _with(("v_answers",), b.blocks_sql(), _TEXTS, _ACCEPTED) + f"""
+SELECT x.doc_id, coalesce(nullif({_json('doc_type')}, ''), x.doc_type) AS doc_type,
+       coalesce(nullif({_json('language')}, ''), y.language) AS language,
+       coalesce(upper(nullif({_json('country')}, '')), 'DE') AS country
+FROM (SELECT doc_id, CASE WHEN n > 0 THEN name ELSE 'unknown' END AS doc_type
+      FROM ({_scored_words('texts', fixed.DOCUMENT_TYPE_WORDS)}) b1) x
+JOIN (SELECT doc_id, {_LANGUAGE} AS language
+      FROM ({_scored_words('texts', fixed.LANGUAGE_WORDS)}) b2) y USING (doc_id)
+LEFT JOIN accepted USING (doc_id)"""
+
+_KEY = "replace(replace(lower({0}), 'ß', 'ss'), ' ', '')"
+_MERGED = f"""merged AS (SELECT *, CASE WHEN m_value IS NULL THEN 'rule' WHEN r_value IS NULL THEN 'model'
+WHEN CASE WHEN field IN {_in(fixed.MONEY_FIELDS)} THEN abs(r_num - m_num) <= 0.02
+          WHEN r_iso IS NOT NULL AND m_iso IS NOT NULL THEN r_iso = m_iso
+          ELSE {_KEY.format('r_value')} = {_KEY.format('m_value')} END THEN 'agree'
+WHEN field IN {_in(fixed.WELL_FORMED_FIELDS)} THEN 'kept' ELSE 'taken' END AS verdict
+FROM (SELECT doc_id, field, r.value AS r_value, r.numeric AS r_num, r.iso AS r_iso,
+             r.confidence AS r_conf, m.value AS m_value, m.numeric AS m_num, m.iso AS m_iso,
+             m.confidence AS m_conf
+      FROM found r FULL JOIN model m USING (doc_id, field)) j)"""
+_SQL["merge_candidates"] = _with(
+    ("v_answers",), b.blocks_sql(), *_ALL_CTES, _FOUND, *_MODEL_CTES, _MERGED
+) + """
+SELECT doc_id, field, CASE WHEN verdict IN ('model', 'taken') THEN m_value ELSE r_value END AS value,
+       CASE WHEN verdict IN ('model', 'taken') THEN m_num ELSE r_num END AS numeric,
+       round(CASE verdict WHEN 'rule' THEN r_conf WHEN 'model' THEN m_conf WHEN 'taken' THEN m_conf
+         WHEN 'agree' THEN least(1.0, greatest(r_conf, m_conf) + 0.05)
+         ELSE greatest(0.0, r_conf - 0.1) END, 4) AS confidence,
+       CASE WHEN verdict IN ('model', 'taken') THEN 'llm' ELSE 'rules' END AS method,
+       CASE WHEN verdict IN ('kept', 'taken') THEN 'warn' END AS validator_status,
+       CASE WHEN verdict IN ('kept', 'taken') THEN r_value END AS rule_value,
+       CASE WHEN verdict IN ('kept', 'taken') THEN m_value END AS model_value
+FROM merged"""
+
+_ROUTE_ROWS = ", ".join(f"('{p}', '{t}', '{r}')" for (p, t), r in fixed.ROUTES.items())
+_PRICE_ROWS = ", ".join(f"('{r}', {p})" for r, p in fixed.TOKEN_PRICES.items())
+_SQL["route_cost"] = _with(
+    ("v_jobs", "v_orgs"),
+    f"routes AS (SELECT * FROM (VALUES {_ROUTE_ROWS}) AS t(policy, task, route))",
+    f"prices AS (SELECT * FROM (VALUES {_PRICE_ROWS}) AS t(name, price))",
+    """tasks AS (SELECT j.org_id, tokens, CAST(CAST(created_at AS DATE) AS VARCHAR) AS day,
+CASE WHEN residency IN (SELECT policy FROM routes) THEN residency ELSE 'eu_only' END AS policy,
+CASE stage WHEN 'extract' THEN 'extract' WHEN 'ingest' THEN 'vlm' ELSE 'classify' END AS task
+FROM v_jobs j JOIN v_orgs o ON o.org_id = j.org_id)""",
+) + """
+SELECT org_id, route, day, tokens, calls,
+       round_even(CAST(tokens AS DOUBLE) * coalesce(CAST(price AS DOUBLE), 0.001::DOUBLE) / 1000, 6) AS cost
+FROM (SELECT org_id, coalesce(a.route, d.route, 'mistral:small') AS route, day,
+             CAST(sum(tokens) AS BIGINT) AS tokens, count(*) AS calls
+      FROM tasks t LEFT JOIN routes a ON a.policy = t.policy AND a.task = t.task
+      LEFT JOIN routes d ON d.policy = 'eu_only' AND d.task = t.task GROUP BY ALL) g
+LEFT JOIN prices ON name = split_part(route, '|', 1)"""
+
+_SQL["document_text"] = _with(
+    ("v_sheets", "v_rows"), b.blocks_sql(),
+    """sheet_lines AS (
+SELECT doc_id, page_no, 0 AS part, 0 AS a, block_no AS r, text FROM blocks
+UNION ALL SELECT doc_id, page_no, table_no + 1, 0, -1, 'TABLE:' FROM v_rows
+  GROUP BY doc_id, page_no, table_no
+UNION ALL SELECT doc_id, page_no, table_no + 1, 1, row_no, """
+    + " || ' | ' || ".join(f"c{i}" for i in range(b.CELLS))
+    + """ FROM v_rows
+UNION ALL SELECT DISTINCT doc_id, page_no, -1, 0, 0, '--- PAGE ' || (page_no + 1) || ' ---' FROM (
+  SELECT doc_id, page_no FROM blocks UNION ALL SELECT doc_id, page_no FROM v_rows) p)""",
+) + """
+SELECT doc_id, CAST(length(text) AS INT) AS n_chars, md5(text) AS digest FROM (
+SELECT doc_id, string_agg(text, chr(10) ORDER BY page_no, part, a, r) AS text
+FROM sheet_lines GROUP BY doc_id) t"""
