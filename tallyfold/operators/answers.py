@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fixed
-from ..functions.values import collapse, comparison_key, envelope, parse_decimal, strip
+from ..functions.values import collapse, comparison_key, envelope, let, parse_decimal, strip
 from .fields import bbox, reading_order
 from .groups import HOT_ROWS, attach_per_key
 
@@ -30,31 +30,30 @@ def parse_answers(answers: DataFrame) -> DataFrame:
     Code fences are stripped; when the rest does not parse, the outermost braces
     are tried.
     """
+    def read(text):
+        return F.when(text.startswith("{"), F.from_json(text, ANSWER_SCHEMA, _READ))
+
+    def valid(parsed):
+        return F.when(parsed["_broken"].isNull(), parsed)
+
+    def whole_or_inner(body):
+        inner = F.regexp_extract(body, r"(?s)\{.*\}", 0)
+        return F.coalesce(let(read(body), valid), let(read(inner), valid))
+
     text = strip(F.col("raw_text"))
     fenced = F.regexp_extract(text, r"(?s)^```(?:json)?\s*(.*?)\s*```$", 1)
-    body = F.when(fenced != "", fenced).otherwise(text)
-    inner = F.regexp_extract(F.col("_body"), r"(?s)\{.*\}", 0)
-    tried = answers.withColumn("_body", body).withColumn(
-        "_whole", F.when(F.col("_body").startswith("{"),
-                         F.from_json("_body", ANSWER_SCHEMA, _READ))
-    ).withColumn(
-        "_inner", F.when(F.col("_whole").isNull() | F.col("_whole._broken").isNotNull(),
-                         F.when(inner != "", F.from_json(inner, ANSWER_SCHEMA, _READ)))
-    )
-    best = F.coalesce(F.col("_inner"), F.col("_whole"))
-    return tried.withColumn("answer", best).select(
-        "doc_id", "attempt",
-        F.when(F.col("answer._broken").isNull(), F.col("answer").dropFields("_broken"))
-        .alias("answer"),
-    )
+    body = F.coalesce(F.nullif(fenced, F.lit("")), text)
+    return answers.select("doc_id", "attempt", let(body, whole_or_inner).alias("answer"))
 
 
 def accept(parsed: DataFrame) -> DataFrame:
     """First valid answer per document; one retry at most."""
+    turn = F.when(F.col("answer").isNotNull(), F.col("attempt"))
     return (
-        parsed.where((F.col("attempt") <= fixed.MOST_ATTEMPTS) & F.col("answer").isNotNull())
+        parsed.where(F.col("attempt") <= fixed.MOST_ATTEMPTS)
         .groupBy("doc_id")
-        .agg(F.min_by("answer", "attempt").alias("answer"), F.min("attempt").alias("attempt"))
+        .agg(F.min_by("answer", turn).alias("answer"), F.min(turn).alias("attempt"))
+        .where(F.col("attempt").isNotNull())
     )
 
 

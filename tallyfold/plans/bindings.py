@@ -467,6 +467,34 @@ SELECT p_partkey AS request_id,
             ELSE NULL END AS given
 FROM {{part}}"""
 
+VIEWS["v_files"] = f"""
+SELECT page_id AS file_id, page_id % 25 AS org_id,
+       CASE WHEN page_id % 4 = 0 THEN 0 ELSE page_id % 50 END AS batch_id,
+       CASE WHEN page_id % 11 = 0 THEN '../' ELSE '' END || 'scan-' || CAST(page_id AS STRING)
+       || {pick('page_id', ['.pdf', '.PDF', '.png', '.docx', '.tiff', '.zip', '.pdf', ''])} AS filename,
+       html AS content
+FROM {{pages}}"""
+
+_QUESTIONS = [
+    ("find total >", "n"), ("list subtotal above ", "n"), ("show iban high confidence", ""),
+    ("get supplier_name", ""), ("find invoice from Germany after ", "d"),
+    ("total_vat under ", "n"), ("due_date before ", "d"), ("status is flagged", ""),
+    ("show all receipts from France", ""), ("currency", ""),
+]
+_QUESTION = "CASE number % 10 " + " ".join(
+    f"WHEN {i} THEN '{text}'" + {
+        "n": " || CAST(number * 37 % 90000 AS STRING) || CASE WHEN number % 3 = 0 THEN ' EUR' ELSE '' END",
+        "d": " || CAST(1995 + number % 6 AS STRING) || '-0' || CAST(1 + number % 9 AS STRING) || '-15'",
+        "": "",
+    }[kind] for i, (text, kind) in enumerate(_QUESTIONS)
+) + " END"
+VIEWS["v_questions"] = f"""
+SELECT number AS query_id, number % 25 AS org_id, {_QUESTION} AS question
+FROM (SELECT event_id AS number FROM {{events}}) e"""
+VIEWS["v_saved_searches"] = f"""
+SELECT number AS query_id, number AS org_id, {_QUESTION} AS question
+FROM (SELECT CAST(n_nationkey AS BIGINT) AS number FROM {{nation}}) n"""
+
 # --- the views on Spark ------------------------------------------------------
 
 
@@ -550,3 +578,39 @@ class Views:
                 "status": F.lit("accepted"),
             })
         )
+
+    def words(self) -> DataFrame:
+        """Words of the documents, laid out on one page each, eight to a line."""
+        no = F.col("word_no")
+        return self["documents"].select(
+            F.col("doc_id").alias("page_id"),
+            F.posexplode(F.split("text", " ")).alias("word_no", "text"),
+        ).withColumns({
+            "top": F.floor(no / 8) * 12.0 + (no * 7 % 11) * 0.5,
+            "x0": (no % 8) * 60.0 + 10.0,
+            "conf": (no * 13 % 101 - 3).cast("int"),
+            "block_num": F.floor(no / 64).cast("int"),
+            "par_num": (F.floor(no / 32) % 2).cast("int"),
+            "line_num": (F.floor(no / 8) % 4).cast("int"),
+            "left": (no % 8 * 60 + 10).cast("int"),
+        }).withColumns({
+            "x1": F.col("x0") + 50.0,
+            "bottom": F.col("top") + 10.0,
+            "page_width": F.lit(600.0),
+            "page_height": F.lit(100000.0),
+        })
+
+    def readings(self) -> DataFrame:
+        """Lines of the documents as two engines read them, some pages by one engine only."""
+        lines = self["documents"].select(
+            "doc_id", F.posexplode(F.split("text", "\n")).alias("block_no", "text")
+        ).withColumn("page_no", F.lit(0))
+        first = lines.where(F.col("doc_id") % 6 != 0).select(
+            "*", F.lit("paddleocr").alias("engine"),
+            ((F.col("doc_id") % 90 + F.col("block_no") % 10) / 100).alias("conf"),
+        )
+        second = lines.where(F.col("doc_id") % 5 != 0).select(
+            "*", F.lit("tesseract").alias("engine"),
+            ((F.col("doc_id") % 70 + 30) / 100).alias("conf"),
+        )
+        return first.unionByName(second)

@@ -6,6 +6,10 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fixed
 from ..functions import kinds, values
 from ..operators import answers, checks, fields, lines, scoring, search, state
+from ..session import shared_folder
+from ..sinks import export
+from ..sources import files, pages
+from ..streaming import arrivals
 from . import bindings as b
 
 QUERIES = {}
@@ -403,7 +407,7 @@ def route_cost(v):
     ).groupBy("org_id", "route", F.to_date("created_at").cast("string").alias("day")).agg(
         F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("calls")
     )
-    return routed.withColumn("cost", F.bround(answers.cost(F.col("route"), F.col("tokens")), 6))
+    return routed.withColumn("cost", answers.cost(F.col("route"), F.col("tokens")))
 
 
 @query
@@ -411,3 +415,173 @@ def document_text(v):
     return answers.document_text(v.blocks(), v.cells()).select(
         "doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest")
     )
+
+
+# --- files and pages --------------------------------------------------------
+
+
+@query
+def admit_route(v):
+    taken = v["v_files"].withColumns({
+        "size": F.octet_length("content").cast("bigint"), "sha256": F.sha2("content", 256)
+    })
+    printed = taken.where(F.col("file_id") % 7 != 0).select(
+        F.col("file_id").alias("doc_id"), F.explode(F.split("content", "\n")).alias("text")
+    )
+    routed = files.route(files.admit(taken.drop("content")), printed)
+    return routed.select(
+        "file_id", "size", "sha256", "rejected", "route",
+        files.object_key(F.col("org_id"), F.col("file_id"), F.col("filename")).alias("object_key"),
+    )
+
+
+@query
+def dedupe_exact(v):
+    uploads = v["documents"].select(
+        F.col("doc_id").alias("file_id"), F.col("lang").alias("org_id"),
+        F.sha2("text", 256).alias("sha256"),
+    )
+    return files.mark_copies(uploads).select("file_id", "org_id", "duplicate_of")
+
+
+@query
+def no_text(v):
+    return state.without_text(
+        v["documents"].select("doc_id"), v.readings().where(F.col("engine") == "paddleocr")
+    )
+
+
+@query
+def words_to_lines(v):
+    found = pages.words_to_lines(v.words())
+    return found.select("page_id", "line_no", F.md5("text").alias("digest"), "x0", "y0", "x1", "y1")
+
+
+@query
+def ocr_lines(v):
+    words = v.words().withColumns({
+        "top": F.floor("top").cast("int"), "width": F.lit(50), "height": F.lit(10)
+    })
+    found = pages.scanned_words_to_lines(words)
+    return found.select(
+        "page_id", "reading_order", F.md5("text").alias("digest"),
+        F.bround("conf", 6).alias("conf"), "x0", "y0", "x1", "y1",
+    )
+
+
+@query
+def order_fragments(v):
+    x, y = F.col("block_no") * 37 % 500 + 0.0, F.col("block_no") * 53 % 700 + 0.0
+    corners = F.array(F.array(x, y), F.array(x + 90, y + 2), F.array(x + 88, y + 14),
+                      F.array(x - 1, y + 12))
+    fragments = v.readings().where(F.col("engine") == "tesseract").select(
+        F.col("doc_id").alias("page_id"), F.col("block_no").alias("fragment_no"), "text", "conf",
+        F.when(F.col("block_no") % 13 != 5, corners).alias("points"),
+        F.lit(600).alias("page_width"), F.lit(800).alias("page_height"),
+    )
+    found = pages.order_fragments(fragments)
+    return found.select("page_id", "reading_order", F.md5("text").alias("digest"), "x0", "y0", "x1", "y1")
+
+
+@query
+def page_stats(v):
+    found = pages.page_stats(v.readings(), ("engine",))
+    return found.select(
+        "doc_id", "page_no", "engine", F.md5("text").alias("digest"), "n_blocks",
+        F.bround("avg_conf", 4).alias("avg_conf"),
+    )
+
+
+@query
+def pick_engine(v):
+    every = v["documents"].select("doc_id", F.lit(0).alias("page_no"))
+    return pages.pick_engine(every, v.readings(), "paddleocr", "tesseract")
+
+
+@query
+def pages_projection(v):
+    per_page = v.readings().select(
+        "doc_id", "engine", F.floor(F.col("block_no") / 10).alias("page_no")
+    ).distinct()
+    return pages.document_summary(per_page)
+
+
+# --- search and export ------------------------------------------------------
+
+COUNTRIES = ("Germany", "France")
+
+
+@query
+def parse_search(v):
+    found = search.parse_search(v["v_questions"], COUNTRIES)
+    return found.withColumns({
+        c: F.col(c).cast("string") for c in ("date_after", "date_before")
+    })
+
+
+@query
+def search_fields(v):
+    parsed = search.parse_search(v["v_saved_searches"], COUNTRIES)
+    found = search.search_fields(v.stored_fields(), parsed)
+    return found.select(
+        "query_id", "rank", "invoice_id", "field", F.col("value.value").alias("value"),
+        "confidence",
+    )
+
+
+def _export_fields(v):
+    return v.stored_fields().withColumnRenamed("invoice_id", "doc_id")
+
+
+@query
+def export_wide(v):
+    return export.wide_table(_export_fields(v), [
+        "supplier_name", {"field": "invoice_number", "header": "number"}, "due_date", "iban",
+        {"field": "total", "header": "amount"},
+    ])
+
+
+@query
+def export_json(v):
+    items = v.lines(numbered=True).select(
+        F.col("invoice_id").alias("doc_id"), "position", "description", "quantity", "unit_price",
+        F.lit(None).cast("double").alias("net"), "vat_rate",
+        F.lit(None).cast("double").alias("vat_amount"), "gross",
+    )
+    return export.json_records(_export_fields(v), items)
+
+
+# --- arriving data ----------------------------------------------------------
+
+
+def _stream(v, name):
+    return v.spark.readStream.schema(v[name].schema).option(
+        "pathGlobFilter", f"{name}.parquet"
+    ).parquet(v.folder)
+
+
+@query
+def stream_stages(v):
+    events = v.spark.sql(b.VIEWS["v_jobs"], events=_stream(v, "events"))
+    store = shared_folder(v.spark, "stages")
+    found = arrivals.newest_stages(events, f"{store}/updates", f"{store}/checkpoint")
+    return found.select("invoice_id", "stage", "job_id", "payload")
+
+
+@query
+def stream_audit(v):
+    orders = _stream(v, "orders")
+    invoices = v.spark.sql(b.VIEWS["v_invoices"], orders=orders, customer=v["customer"])
+    store = shared_folder(v.spark, "audit")
+    return arrivals.append_audit(scoring.finalize(invoices), f"{store}/rows", f"{store}/checkpoint")
+
+
+@query
+def stream_new_files(v):
+    arriving = _stream(v, "documents").select(
+        F.col("doc_id").alias("file_id"), F.col("lang").alias("org_id"),
+        F.sha2("text", 256).alias("sha256"),
+    )
+    store = shared_folder(v.spark, "files")
+    arrivals.accept_new_files(arriving, f"{store}/files", f"{store}/checkpoint")
+    return v.spark.read.parquet(f"{store}/files").select("file_id", "org_id", "sha256")

