@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fixed
 from ..functions.values import collapse, comparison_key, envelope, let, parse_decimal, strip
 from .fields import bbox, reading_order
-from .groups import HOT_ROWS, attach_per_key
+from .groups import HOT_ROWS, by_size
 
 ANSWER_SCHEMA = (
     "doc_type STRING, language STRING, country STRING, "
@@ -101,10 +101,14 @@ def ground(accepted: DataFrame, blocks: DataFrame, hot_rows: int = HOT_ROWS) ->
             lambda n: F.length(n["needle"]) > 0,
         ).alias("needles"),
     )
-    placed = attach_per_key(
-        blocks.select("doc_id", reading_order().alias("at"), bbox().alias("bbox"),
-                      collapse(F.col("text")).alias("hay")),
-        needles, ["doc_id"], ["at"], hot_rows, counted=blocks.select("doc_id"),
+    placed = by_size(
+        blocks, ["doc_id"],
+        lambda part, ways: ways.attach(
+            part.select("doc_id", reading_order().alias("at"), bbox().alias("bbox"),
+                        collapse(F.col("text")).alias("hay")),
+            needles, ["doc_id"], ["at"],
+        ),
+        hot_rows,
     )
     hay = F.col("hay")
     hits = F.filter(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fixed
 from ..functions.values import finding, iban_finding, vat_finding
-from .groups import HOT_ROWS, index_within
+from .groups import HOT_ROWS, by_size
 
 CHECK_COLUMNS = ("invoice_id", "check_name", "status", "severity", "reason", "evidence")
 # Positions of an invoice are unique, so a piece holds at most this many lines.
@@ -74,7 +74,11 @@ def _evidence(**entries) -> Column:
 def line_gross_checks(lines: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One check per line with a printed gross, named by the line's place in the invoice."""
     piece = F.floor(F.col("position") / POSITIONS_PER_PIECE)
-    placed = index_within(lines, ["invoice_id"], ["position"], [piece], "_place", hot_rows)
+    placed = by_size(
+        lines, ["invoice_id"],
+        lambda part, ways: ways.index(part, ["invoice_id"], ["position"], [piece], "_place"),
+        hot_rows,
+    )
     judged = line_amounts(placed.where(F.col("gross").isNotNull()))
     ok = F.abs(F.col("line_gross") - F.col("gross")) <= F.lit(
         fixed.LINE_GROSS_TOLERANCE

@@ -16,76 +16,66 @@ def hot_keys(df: DataFrame, keys: list, hot_rows: int = HOT_ROWS) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
 
 
-def index_within(
-    df: DataFrame,
-    keys: list,
-    order: list,
-    split: list,
-    out: str,
-    hot_rows: int = HOT_ROWS,
-    counted: DataFrame = None,
-) -> DataFrame:
-    """Number the rows of each group from 1 in a unique order.
-
-    Ordinary groups are numbered by a plain window.  A hot group is cut by
-    ``split`` (leading order expressions), every piece is numbered on its own,
-    and the sizes of the pieces before it are added; only those sizes, one row
-    per piece, meet in one place.  ``counted`` may name a cheaper frame with the
-    same keys to find the hot groups in (at least as many rows per group).
-    """
-    hot = hot_keys(counted if counted is not None else df, keys, hot_rows).select(*keys)
-    tagged = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
-    pieces = [f"_piece{i}" for i in range(len(split))]
-    for name, expression in zip(pieces, split):
-        column = F.col(expression) if isinstance(expression, str) else expression
-        tagged = tagged.withColumn(name, F.when(F.col("_hot"), column))
-    local = tagged.withColumn(
-        "_local", F.row_number().over(Window.partitionBy(*keys, *pieces).orderBy(*order))
-    )
-    ahead = Window.partitionBy(*keys).orderBy(*pieces).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = (
-        tagged.where("_hot")
-        .groupBy(*keys, *pieces)
-        .agg(F.count(F.lit(1)).alias("_size"))
-        .withColumn("_before", F.coalesce(F.sum("_size").over(ahead), F.lit(0)))
-        .drop("_size")
-    )
-    return (
-        local.join(sizes, [*keys, *pieces], "left")
-        .withColumn(out, (F.col("_local") + F.coalesce("_before", F.lit(0))).cast("int"))
-        .drop("_hot", "_local", "_before", *pieces)
-    )
-
-
-def attach_per_key(
-    df: DataFrame,
-    per_key: DataFrame,
-    keys: list,
-    spread_by: list,
-    hot_rows: int = HOT_ROWS,
-    counted: DataFrame = None,
-) -> DataFrame:
-    """Left join one row per key back to the rows, whatever the size of a group.
-
-    Rows of hot keys get their row from a broadcast of the hot keys alone (at
-    most rows/hot_rows of them).  They then pass the ordinary join under a
-    scattered key, so it never gathers a hot group.
+class Plain:
+    """Ways for groups of bounded size: one window, one join."""
+
+    @staticmethod
+    def index(df: DataFrame, keys: list, order: list, split: list, out: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return df.withColumn(out, place)
+
+    @staticmethod
+    def attach(df: DataFrame, per_key: DataFrame, keys: list, spread_by: list) -> DataFrame:
+        return df.join(per_key, keys, "left")
+
+
+class Spread:
+    """The same for groups of any size."""
+
+    # A hot key is scattered over this many join keys.
+    SALTS = 512
+
+    @staticmethod
+    def index(df: DataFrame, keys: list, order: list, split: list, out: str) -> DataFrame:
+        """Number each piece of a group on its own and add the sizes of the pieces before it.
+
+        Pieces are cut by ``split``, leading order expressions.  Only their sizes,
+        one row per piece, meet in one place.
+        """
+        pieces = [f"_piece{i}" for i in range(len(split))]
+        cut = df.withColumns({
+            name: F.col(e) if isinstance(e, str) else e for name, e in zip(pieces, split)
+        })
+        local = F.row_number().over(Window.partitionBy(*keys, *pieces).orderBy(*order))
+        ahead = (
+            Window.partitionBy(*keys).orderBy(*pieces).rowsBetween(Window.unboundedPreceding, -1)
+        )
+        sizes = cut.groupBy(*keys, *pieces).agg(F.count(F.lit(1)).alias("_size")).select(
+            *keys, *pieces, F.coalesce(F.sum("_size").over(ahead), F.lit(0)).alias("_before")
+        )
+        same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*keys, *pieces)]
+        numbered = cut.withColumn("_local", local).alias("a").join(sizes.alias("b"), same)
+        place = (F.col("_local") + F.col("_before")).cast("int").alias(out)
+        return numbered.select(*[F.col(f"a.{c}") for c in df.columns], place)
+
+    @classmethod
+    def attach(cls, df: DataFrame, per_key: DataFrame, keys: list, spread_by: list) -> DataFrame:
+        """Salted join: each row of ``per_key`` stands for every salt its rows may carry."""
+        salts = F.explode(F.sequence(F.lit(0), F.lit(cls.SALTS - 1))).alias("_salt")
+        salted = df.withColumn(
+            "_salt", F.pmod(F.xxhash64(*spread_by), F.lit(cls.SALTS)).cast("int")
+        )
+        return salted.join(per_key.select("*", salts), [*keys, "_salt"], "left").drop("_salt")
+
+
+def by_size(df: DataFrame, keys: list, work, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Run ``work(rows, ways)`` on ordinary groups plainly and on hot groups spread out.
+
+    The hot keys are counted on the key columns of the input alone and met by a
+    broadcast (see ``hot_keys`` for its bound) right at the input, so where there
+    are none the second branch falls away before it reads anything.
     """
-    names = [c for c in per_key.columns if c not in keys]
-    hot = hot_keys(counted if counted is not None else df, keys, hot_rows).select(*keys)
-    hot_side = per_key.join(F.broadcast(hot), keys, "left_semi").select(
-        *keys, F.struct(*names).alias("_hot")
-    )
-    scattered = F.pmod(F.xxhash64(*spread_by), F.lit(4096)) + 1
-    # The size of the hot side is bounded, see hot_keys.
-    met = df.join(F.broadcast(hot_side), keys, "left").withColumn(
-        "_spread", F.when(F.col("_hot").isNotNull(), scattered).otherwise(F.lit(0))
-    )
-    cold_side = per_key.select(
-        *keys, F.struct(*names).alias("_cold"), F.lit(0).cast("bigint").alias("_spread")
-    )
-    joined = met.join(cold_side, [*keys, "_spread"], "left")
-    found = F.coalesce(F.col("_hot"), F.col("_cold"))
-    return joined.withColumn("_found", found).select(
-        *df.columns, *[F.col(f"_found.{n}").alias(n) for n in names]
-    )
+    hot = F.broadcast(hot_keys(df, keys, hot_rows).select(*keys))
+    ordinary = work(df.join(hot, keys, "left_anti"), Plain())
+    heavy = work(df.join(hot, keys, "left_semi"), Spread())
+    return ordinary.unionByName(heavy)

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fixed
-from ..operators.groups import HOT_ROWS, attach_per_key
+from ..operators.groups import HOT_ROWS, by_size
 
 FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
@@ -32,7 +32,10 @@ def admit(files: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     Files: ``file_id, org_id, batch_id, filename, size``.
     """
     sizes = files.groupBy("batch_id").agg(F.count(F.lit(1)).alias("batch_files"))
-    counted = attach_per_key(files, sizes, ["batch_id"], ["file_id"], hot_rows)
+    counted = by_size(
+        files, ["batch_id"],
+        lambda part, ways: ways.attach(part, sizes, ["batch_id"], ["file_id"]), hot_rows,
+    )
     reason = (
         F.when(F.col("batch_files") > fixed.MOST_FILES_PER_BATCH, "batch_too_large")
         .when(~upload_suffix(F.col("filename")).isin(*fixed.UPLOAD_SUFFIXES), "unsupported_format")
@@ -70,7 +73,9 @@ def mark_copies(files: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """
     keys = ["org_id", "sha256"]
     first = files.groupBy(*keys).agg(F.min("file_id").alias("_first"))
-    marked = attach_per_key(files, first, keys, ["file_id"], hot_rows)
+    marked = by_size(
+        files, keys, lambda part, ways: ways.attach(part, first, keys, ["file_id"]), hot_rows
+    )
     return marked.withColumn(
         "duplicate_of", F.when(F.col("_first") != F.col("file_id"), F.col("_first"))
     ).drop("_first")

@@ -106,19 +106,27 @@ def test_line_items(spark):
         assert (rows[0].gross, rows[1].net, rows[2].quantity) == (1190.0, 1005.0, 1.0)
 
 
-def test_index_within_is_the_same_for_hot_groups(spark):
+def test_numbering_is_the_same_for_hot_groups(spark):
     frame = spark.range(500).selectExpr("id % 3 AS k", "(id * 7919) % 1000 AS v")
-    plain = groups.index_within(frame, ["k"], ["v"], [F.floor(F.col("v") / 100)], "i")
-    hot = groups.index_within(frame, ["k"], ["v"], [F.floor(F.col("v") / 100)], "i", hot_rows=10)
+
+    def number(part, ways):
+        return ways.index(part, ["k"], ["v"], [F.floor(F.col("v") / 100)], "i")
+
+    plain = groups.by_size(frame, ["k"], number)
+    hot = groups.by_size(frame, ["k"], number, hot_rows=166)  # one group is hot, two are not
     assert sorted(plain.collect()) == sorted(hot.collect())
     assert {r.i for r in hot.where("k = 0").collect()} == set(range(1, 168))
 
 
-def test_attach_per_key_is_the_same_for_hot_groups(spark):
+def test_attaching_is_the_same_for_hot_groups(spark):
     frame = spark.range(300).selectExpr("IF(id < 200, 1, id) AS k", "id AS v")
     per_key = frame.groupBy("k").agg(F.min("v").alias("m"))
-    plain = groups.attach_per_key(frame, per_key, ["k"], ["v"])
-    hot = groups.attach_per_key(frame, per_key, ["k"], ["v"], hot_rows=50)
+
+    def attach(part, ways):
+        return ways.attach(part, per_key, ["k"], ["v"])
+
+    plain = groups.by_size(frame, ["k"], attach)
+    hot = groups.by_size(frame, ["k"], attach, hot_rows=50)
     assert sorted(plain.collect()) == sorted(hot.collect()) and hot.count() == 300
 
 
@@ -132,7 +140,7 @@ def test_answers_parse_and_retry(spark):
     accepted = answers.accept(parsed)
     assert {r.doc_id: r.attempt for r in accepted.collect()} == {1: 1, 2: 1, 3: 2}
     assert [r.doc_id for r in answers.rejected(parsed, accepted).collect()] == [4]
-    assert accepted.where("doc_id = 1").first().answer.fields["total"].value == "12.50"
+    assert accepted.where("doc_id = 1").first().answer.fields["total"].value == "12.5"
 
 
 def candidates(spark, rows, method):
