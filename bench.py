@@ -11,10 +11,9 @@ from tallyfold.plans.catalog import QUERIES
 from tallyfold.session import local_session
 
 HEADLINE = (
-    "reconcile_totals", "line_gross_check", "document_gate", "latest_stage", "invoice_list",
-    "find_identifiers", "find_money", "field_rows", "header_wide", "line_items", "doc_type",
-    "language", "parse_answers", "merge_candidates", "dedupe_exact", "words_to_lines",
-    "page_stats", "search_fields", "export_wide",
+    "reconcile_totals", "document_gate", "latest_stage", "invoice_list", "find_identifiers",
+    "find_money", "header_wide", "line_items", "doc_type", "parse_answers", "merge_candidates",
+    "dedupe_exact", "words_to_lines", "page_stats", "search_fields", "export_wide",
 )
 
 
