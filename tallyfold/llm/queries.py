@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallyfold.llm import languages, packing, sentencepieces, simhash
+from tallyfold.llm import backoff, languages, packing, sentencepieces, simhash, substrings
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,6 +19,17 @@ def simhash_near_dedup(spark, sf_dir):
     return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
 
 
+def backoff_scores(spark, sf_dir):
+    found = backoff.score(table(spark, sf_dir, "documents"), order=3, least=2)
+    return found.select(
+        "doc_id", "n_words", *(F.col("n_by_order")[k].alias(f"n_by_{k + 1}") for k in range(3)), "score_micro")
+
+
+def substring_dedup(spark, sf_dir):
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"), window=20)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def sentencepiece_round_trip(spark, sf_dir):
     coded = sentencepieces.encode(table(spark, sf_dir, "documents"), PIECE_MODEL)
     return coded.select(
@@ -39,9 +50,44 @@ def language_id(spark, sf_dir):
 
 
 QUERIES = {
+    "op4_stupid_backoff": backoff_scores,
     "op5_simhash_near_dedup": simhash_near_dedup,
+    "op6_substring_dedup": substring_dedup,
     "op7_sentencepiece": sentencepiece_round_trip,
     "op9_best_fit_packing": best_fit_packing,
     "op10_language_id": language_id,
 }
-ORACLE_SQL = {}
+#: Words are those of whole texts, A to Z lower-cased; counts are over all documents.
+BACKOFF_SQL = """
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x20\\x09-\\x0D]+') AS w
+    FROM documents),
+places AS (
+    SELECT doc_id, i, w[i] AS w1, CASE WHEN i > 1 THEN w[i - 1] || ' ' || w[i] END AS w2,
+           CASE WHEN i > 2 THEN w[i - 2] || ' ' || w[i - 1] || ' ' || w[i] END AS w3,
+           CASE WHEN i > 1 THEN w[i - 1] END AS h1,
+           CASE WHEN i > 2 THEN w[i - 2] || ' ' || w[i - 1] END AS h2
+    FROM words, unnest(range(1, len(w) + 1)) AS t(i)),
+c1 AS (SELECT w1 AS g, count(*) AS c FROM places GROUP BY 1),
+c2 AS (SELECT w2 AS g, count(*) AS c FROM places WHERE w2 IS NOT NULL GROUP BY 1),
+c3 AS (SELECT w3 AS g, count(*) AS c FROM places WHERE w3 IS NOT NULL GROUP BY 1),
+scored AS (
+    SELECT doc_id, CASE WHEN c3.c >= 2 THEN 3 WHEN c2.c >= 2 THEN 2 ELSE 1 END AS k,
+           CASE WHEN c3.c >= 2 THEN c3.c / b2.c
+                WHEN c2.c >= 2 THEN (CASE WHEN i > 2 THEN 0.4::DOUBLE ELSE 1 END) * c2.c / b1.c
+                ELSE (CASE WHEN i > 2 THEN 0.4::DOUBLE * 0.4::DOUBLE WHEN i > 1 THEN 0.4::DOUBLE ELSE 1 END)
+                     * c1.c / (SELECT count(*) FROM places) END AS s
+    FROM places JOIN c1 ON w1 = c1.g LEFT JOIN c2 ON w2 = c2.g LEFT JOIN c3 ON w3 = c3.g
+    LEFT JOIN c1 AS b1 ON h1 = b1.g LEFT JOIN c2 AS b2 ON h2 = b2.g),
+summed AS (
+    SELECT doc_id, count(*) AS n_words, count(*) FILTER (k = 1) AS n_by_1, count(*) FILTER (k = 2) AS n_by_2,
+           count(*) FILTER (k = 3) AS n_by_3, sum(round(1e6 * log10(s))::BIGINT)::BIGINT AS score_micro
+    FROM scored GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_by_1, 0) AS n_by_1, coalesce(n_by_2, 0) AS n_by_2,
+       coalesce(n_by_3, 0) AS n_by_3, coalesce(score_micro, 0) AS score_micro
+FROM documents LEFT JOIN summed USING (doc_id)
+"""
+
+ORACLE_SQL = {"op4_stupid_backoff": BACKOFF_SQL}
