@@ -94,13 +94,40 @@ def numbered(frame: DataFrame, group: list, order: list, buckets: int, column: s
     return ranked.select("l.*", (F.col("_within") - 1 + F.col("_before")).alias(column)).drop("_piece", "_within")
 
 
+def whole_runs(batches, keys: list):
+    """The rows of sorted Arrow batches, cut only between runs of equal keys, as tables of one batch."""
+    import pyarrow as pa
+
+    kept = []
+
+    def table():
+        return pa.Table.from_batches(kept).combine_chunks()
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if kept and any(kept[-1][k][-1] != batch[k][0] for k in keys):
+            yield table()
+            kept = []
+        new = np.flatnonzero(np.any([np.diff(batch[k].to_numpy()) != 0 for k in keys], axis=0))
+        if len(new):
+            kept.append(batch.slice(0, int(new[-1]) + 1))
+            yield table()
+            kept = [batch.slice(int(new[-1]) + 1)]
+        else:
+            kept.append(batch)
+    if kept:
+        yield table()
+
+
 def paired_blocks(frame: DataFrame, group: str, item: str, rows: int) -> DataFrame:
     """Splits every group of at least two rows into blocks of about `rows` and pairs the blocks.
 
     Adds block_a <= block_b and side (0 or 1); a task gets one pair of blocks, never a group. Any
     two rows of a group meet in exactly one pair with block_a < block_b, or in their own block's.
     """
-    sizes = frame.groupBy(group).agg(F.count("*").alias("_n")).where("_n > 1")
+    # Cut off, the sizes are dealt out anew for the join, so that a crowded group can be split there.
+    sizes = cut(frame.groupBy(group).agg(F.count("*").alias("_n")).where("_n > 1"))
     blocks = F.ceil(F.col("_n") / F.lit(rows))
     split = frame.join(sizes, group).withColumn("_blocks", blocks).withColumn(
         "_own", F.pmod(F.xxhash64(item), F.col("_blocks")))

@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallyfold.llm import backoff, languages, packing, sentencepieces, simhash, substrings
+from tallyfold.llm import backoff, innerproducts, languages, packing, secrets, sentencepieces, sharding, simhash, substrings
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -14,6 +14,19 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def balanced_shards(spark, sf_dir):
+    found = sharding.shards(table(spark, sf_dir, "documents"), 8)
+    return found.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def top_inner_products(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    finite = F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    vectors = vectors.where(finite).select("vec_id", F.transform("x", lambda x: F.floor(x * 64)).alias("v"))
+    return innerproducts.top_k(vectors.where("vec_id % 20 = 0"), vectors, 20)
+
+
 def simhash_near_dedup(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
@@ -38,6 +51,14 @@ def sentencepiece_round_trip(spark, sf_dir):
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def secret_scan(spark, sf_dir):
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda span: span["kind"])
+    counts = [F.size(F.filter(kinds, F.lit(kind).__eq__)).cast("long").alias(f"n_{kind}") for kind in secrets.KINDS[:3]]
+    return found.select(
+        "doc_id", *counts, F.sha2(secrets.listed("base"), 256).alias("base_sha256"), secrets.listed("spans").alias("spans"))
+
+
 def best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), BYTE_TOKENIZER, CAPACITY)
 
@@ -50,10 +71,13 @@ def language_id(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_balanced_shards": balanced_shards,
+    "op3_top_inner_products": top_inner_products,
     "op4_stupid_backoff": backoff_scores,
     "op5_simhash_near_dedup": simhash_near_dedup,
     "op6_substring_dedup": substring_dedup,
     "op7_sentencepiece": sentencepiece_round_trip,
+    "op8_secret_scan": secret_scan,
     "op9_best_fit_packing": best_fit_packing,
     "op10_language_id": language_id,
 }
@@ -90,4 +114,19 @@ SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_by_1, 0) AS n_by_1, c
 FROM documents LEFT JOIN summed USING (doc_id)
 """
 
-ORACLE_SQL = {"op4_stupid_backoff": BACKOFF_SQL}
+TOP_SQL = """
+WITH v AS (
+    SELECT vec_id, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
+      AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scores AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+           list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+    FROM v AS q JOIN v AS c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+    FROM scores)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+ORACLE_SQL = {"op3_top_inner_products": TOP_SQL, "op4_stupid_backoff": BACKOFF_SQL}

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import components, cut, kind, local_components, paired_blocks
+from tallyfold.llm.common import components, cut, kind, local_components, paired_blocks, whole_runs
 
 SEED = 42
 BITS, SEGMENTS, DISTANCE = 64, 16, 3
@@ -115,7 +115,7 @@ def links(distinct: DataFrame) -> DataFrame:
     sorted_ = spread.repartition(*map(F.col, order)).sortWithinPartitions(*order)
 
     def run(batches):
-        for batch in _closed(batches):
+        for batch in whole_runs(batches, order):
             key, a, b, side, value = (batch[n].to_numpy() for n in ("key", "block_a", "block_b", "side", "fingerprint"))
             new = (np.diff(key) != 0) | (np.diff(a) != 0) | (np.diff(b) != 0)
             run_of = np.append(0, np.cumsum(new))
@@ -128,28 +128,6 @@ def links(distinct: DataFrame) -> DataFrame:
     return sorted_.select(*order, "side", "fingerprint").mapInArrow(run, "a long, b long").distinct()
 
 
-def _closed(batches):
-    """The same rows, cut only between runs of (key, block_a, block_b), so that no run is torn."""
-    kept = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        ends = [batch[n].to_numpy() for n in ("key", "block_a", "block_b")]
-        new = np.flatnonzero(sum((np.diff(x) != 0).astype(int) for x in ends))
-        if len(new):
-            cut_at = int(new[-1]) + 1
-            yield pa.Table.from_batches([*kept, batch.slice(0, cut_at)]).combine_chunks()
-            kept = [batch.slice(cut_at)]
-        else:
-            first = kept[-1] if kept else None
-            if first is not None and any(first[n][-1] != batch[n][0] for n in ("key", "block_a", "block_b")):
-                yield pa.Table.from_batches(kept).combine_chunks()
-                kept = []
-            kept.append(batch)
-    if kept:
-        yield pa.Table.from_batches(kept).combine_chunks()
-
-
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id, fingerprint long, component_id (smallest doc_id reachable) for every row of docs."""
     marked = cut(fingerprints(docs, width))
