@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallyfold.llm import backoff, innerproducts, languages, packing, secrets, sentencepieces, sharding, simhash, substrings
+from tallyfold.llm import backoff, caps, innerproducts, languages, packing, secrets, sentencepieces, sharding, simhash, substrings
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -14,6 +14,10 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def near_vectors(spark, sf_dir):
+    return caps.near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
+
+
 def balanced_shards(spark, sf_dir):
     found = sharding.shards(table(spark, sf_dir, "documents"), 8)
     return found.select(
@@ -71,6 +75,7 @@ def language_id(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_spherical_caps": near_vectors,
     "op2_balanced_shards": balanced_shards,
     "op3_top_inner_products": top_inner_products,
     "op4_stupid_backoff": backoff_scores,
