@@ -12,35 +12,52 @@ their own; an empty table packs to nothing; other columns are not read.
 """
 
 import functools
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm.common import cut, kind, numbered
 
-#: Pretokens in a task's table; a fuller one is begun anew, which changes no result.
-TABLE_ENTRIES = 400_000
-#: Texts made of these characters split the same way in either library; others go to the tokenizer whole.
-PLAIN = regex.compile(r"[\t\n\r\x20-\x7e¡-ɏ‐-‧€]*")
+#: Texts of these characters are split alike by both libraries; others go to the tokenizer itself.
+PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-ɏ‐-‧€]*")
 #: Fixed value: the pretoken pattern of the byte-level vocabulary.
-PRETOKEN = regex.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PIECES_PER_PART = 20_000
 
 
+def _byte_of() -> dict:
+    """The byte that each character of a byte-level vocabulary stands for."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [byte for byte in range(256) if byte not in shown]
+    return {chr(byte): byte for byte in shown} | {chr(256 + k): byte for k, byte in enumerate(hidden)}
+
+
 class Ids:
-    """Ids of texts as little-endian bytes, each distinct pretoken encoded once."""
+    """Ids of texts as little-endian bytes.
+
+    The tokenizer's vocabulary and merges, as ranks, are run by a faster library where the texts
+    cannot differ in how they are split: no special tokens, only plain characters. Both must agree
+    on a probe.
+    """
+
+    PROBE = "It's  a probe:\n\n\tvaléur 12,34 (x_y)==  don't §½ñ \r\n  end "
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known = {}
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.special = [token.content for token in added.values()]
+        byte_of = _byte_of()
+        ranks = {bytes(byte_of[c] for c in token): k for token, k in self.tokenizer.get_vocab(False).items()}
+        self.fast = tiktoken.Encoding("ranks", pat_str=PRETOKEN, mergeable_ranks=ranks, special_tokens={})
+        if self.of(self.PROBE) != self.encoded(self.PROBE):
+            raise ValueError("the tokenizer is not of the byte-level kind that these ranks describe")
 
     def encoded(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -48,13 +65,7 @@ class Ids:
     def of(self, text: str) -> bytes:
         if not PLAIN.fullmatch(text) or any(token in text for token in self.special):
             return self.encoded(text)
-        tokens = PRETOKEN.findall(text)
-        if len(self.known) > TABLE_ENTRIES:
-            self.known = {}
-        new = [token for token in set(tokens) if token not in self.known]
-        for token, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[token] = np.array(found.ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, tokens))
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
 
 @functools.lru_cache(1)
