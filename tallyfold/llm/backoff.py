@@ -38,7 +38,7 @@ def _grams(texts: list, order: int):
 
 def score(docs: DataFrame, order: int = 3, least: int = 2) -> DataFrame:
     """doc_id, n_words, n_by_order (words scored by 1-grams, 2-grams, ...), score_micro for every row."""
-    chunks, total = exchange.in_chunks(docs)
+    chunks, total = exchange.in_chunks(docs, ["doc_id"])
     parts = max(1, total // WORD_BYTES * order // exchange.PART_KEYS)
 
     def keys_of(texts):
@@ -76,5 +76,6 @@ def score(docs: DataFrame, order: int = 3, least: int = 2) -> DataFrame:
         return [pa.array(counts), pa.array(by_order.tolist(), pa.list_(pa.int64())), pa.array(micro)]
 
     answers = exchange.ask(chunks, keys_of, exchange.even_cuts(parts), totals)
-    return exchange.with_answers(
+    found = exchange.with_answers(
         chunks, answers, apply, "n_words long, n_by_order array<bigint>, score_micro long", bits=False)
+    return found.select("carried.doc_id", "n_words", "n_by_order", "score_micro")

@@ -1,6 +1,7 @@
 """What several operators of this subpackage share: cut lineage, components, numbering, blocks."""
 
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -26,6 +27,15 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def written(frame: DataFrame) -> DataFrame:
+    """The same rows, written as Parquet to a new folder within the shared checkpoint folder."""
+    spark = frame.sparkSession
+    checkpoint_folder(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4()}"
+    frame.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def kind(frame: DataFrame, column: str) -> str:
     return frame.schema[column].dataType.simpleString()
 

@@ -25,9 +25,12 @@ OF_BYTES, OF_WORDS = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 INVERSES = pow(OF_BYTES, -1, 1 << 64), pow(OF_WORDS, -1, 1 << 64)
 
 
-def in_chunks(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(doc_id, text, chunk) with chunks in the order of doc_id, null ids first; and the bytes of text."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+def in_chunks(docs: DataFrame, carried: list) -> tuple[DataFrame, int]:
+    """(doc_id, text, carried, chunk) with chunks in the order of doc_id, null ids first; and the bytes of text.
+
+    carried: a structure of the named columns, which comes back with the answers.
+    """
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.struct(*carried).alias("carried"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // CHUNK_BYTES))
     shares = [k / n for k in range(1, n)]
@@ -176,7 +179,7 @@ def ask(chunks: DataFrame, keys_of, cuts: np.ndarray, answer) -> DataFrame:
             "chunk": part["chunk"], "part": part["part"], "n": part["n"],
             "answers": pa.array([pack(values[a:b]) for a, b in zip(ends, ends[1:])], pa.binary())})
 
-    sent = chunks.groupBy("chunk").applyInArrow(send, "chunk long, part long, n long, keys binary, counts binary")
+    sent = chunks.select("doc_id", "text", "chunk").groupBy("chunk").applyInArrow(send, "chunk long, part long, n long, keys binary, counts binary")
     return sent.groupBy("part").applyInArrow(reply, "chunk long, part long, n long, answers binary")
 
 
@@ -186,7 +189,7 @@ def ordered(chunk: pa.Table) -> pa.Table:
 
 
 def with_answers(chunks: DataFrame, answers: DataFrame, apply, columns: str, bits: bool) -> DataFrame:
-    """Brings the answers back to the chunks: apply(chunk, values) gives the columns named besides doc_id."""
+    """Brings the answers back to the chunks: apply(texts, values) gives the columns named besides those carried."""
     names = [c.split()[0] for c in columns.split(", ")]
 
     def run(chunk: pa.Table, replies: pa.Table) -> pa.Table:
@@ -197,7 +200,7 @@ def with_answers(chunks: DataFrame, answers: DataFrame, apply, columns: str, bit
         else:
             values = [unsqueezed(x, n) for x, n in zip(found, sizes, strict=True)]
         made = apply(chunk["text"].to_pylist(), np.concatenate(values) if values else np.zeros(0, np.uint64))
-        return pa.table([chunk["doc_id"], *made], names=["doc_id", *names])
+        return pa.table([chunk["carried"], *made], names=["carried", *names])
 
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        run, f"doc_id {kind(chunks, 'doc_id')}, {columns}")
+        run, f"carried {kind(chunks, 'carried')}, {columns}")

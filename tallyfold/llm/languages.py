@@ -74,12 +74,8 @@ def learn(docs: DataFrame, label: str = "lang", size: int = PROFILE, sample: int
     return grams.withColumn("rank", rank).where(F.col("rank") < size).select("lang", "gram", "rank").toPandas()
 
 
-def identify(docs: DataFrame, profiles: pd.DataFrame, size: int = PROFILE) -> DataFrame:
-    """doc_id, lang_pred, score for every row of docs.
-
-    score: 1 less the ratio of the nearest language's distance to that of the next (of the greatest
-    distance, where there is one language only); from 0 to 1.
-    """
+def _judge(profiles: pd.DataFrame, size: int):
+    """A function from a text to its language and score."""
     langs = sorted(profiles["lang"].unique())
     grams = np.unique(profiles["gram"].to_numpy().astype(np.uint64))
     ranks = np.full((len(grams) + 1, len(langs)), -1, np.int64)
@@ -89,7 +85,7 @@ def identify(docs: DataFrame, profiles: pd.DataFrame, size: int = PROFILE) -> Da
 
     def judge(text):
         own = profile(text, size) if text and langs else ()
-        if len(own) == 0 or not own.any() or text.isspace():
+        if len(own) == 0 or not own.any():
             return UNDETERMINED, 0.0
         at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
         of = ranks[np.where(grams[at] == own, at, len(grams))]
@@ -99,6 +95,17 @@ def identify(docs: DataFrame, profiles: pd.DataFrame, size: int = PROFILE) -> Da
         against = rest.min() if len(rest) else size * len(own)
         return langs[best], float(1 - apart[best] / against) if against else 0.0
 
+    return judge
+
+
+def identify(docs: DataFrame, profiles: pd.DataFrame, size: int = PROFILE) -> DataFrame:
+    """doc_id, lang_pred, score for every row of docs.
+
+    score: 1 less the ratio of the nearest language's distance to that of the next (of the greatest
+    distance, where there is one language only); from 0 to 1.
+    """
+    judge = _judge(profiles, size)
+
     def run(batches):
         for batch in batches:
             found = [judge(text.as_py()) for text in batch["text"]]
@@ -110,6 +117,17 @@ def identify(docs: DataFrame, profiles: pd.DataFrame, size: int = PROFILE) -> Da
         run, f"doc_id {kind(docs, 'doc_id')}, lang_pred string, score double")
 
 
+def determined(docs: DataFrame, profiles: pd.DataFrame, size: int = PROFILE) -> DataFrame:
+    """The rows of docs, with all their columns, whose language can be told."""
+    judge = _judge(profiles, size)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([judge(text.as_py())[0] != UNDETERMINED for text in batch["text"]], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: str = "doc_id"):
     """One document in five is held out from learning; so is one without an id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))

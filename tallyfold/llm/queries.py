@@ -44,7 +44,7 @@ def backoff_scores(spark, sf_dir):
 
 def substring_dedup(spark, sf_dir):
     found = substrings.remove_repeats(table(spark, sf_dir, "documents"), window=20)
-    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return found.select("carried.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def sentencepiece_round_trip(spark, sf_dir):
@@ -60,7 +60,7 @@ def secret_scan(spark, sf_dir):
     kinds = F.transform("base", lambda span: span["kind"])
     counts = [F.size(F.filter(kinds, F.lit(kind).__eq__)).cast("long").alias(f"n_{kind}") for kind in secrets.KINDS[:3]]
     return found.select(
-        "doc_id", *counts, F.sha2(secrets.listed("base"), 256).alias("base_sha256"), secrets.listed("spans").alias("spans"))
+        "carried.doc_id", *counts, F.sha2(secrets.listed("base"), 256).alias("base_sha256"), secrets.listed("spans").alias("spans"))
 
 
 def best_fit_packing(spark, sf_dir):

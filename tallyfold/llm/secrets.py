@@ -110,12 +110,15 @@ def _random_span(token: Column) -> Column:
     return _bound(walked, span)
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, text, base and spans (arrays of kind, start, end; by start, then kind) for every row of docs."""
+def scan(docs: DataFrame, carried=("doc_id",)) -> DataFrame:
+    """carried, text, base and spans (arrays of kind, start, end; by start, then kind) for every row of docs.
+
+    carried is a structure of the named columns.
+    """
     text = F.col("text")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.struct(*carried).alias("carried"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select(
-        "doc_id", "text",
+        "carried", "text",
         F.array_sort(F.concat(_matches(text, ASSIGN, 0, ASSIGNED), _matches(text, ACCESS, 1), _matches(text, HEX, 2))).alias("base"),
         _matches(text, TOKEN, -1).alias("tokens"))
     suspect = F.filter("tokens", lambda t: ~F.reduce(
@@ -130,7 +133,7 @@ def scan(docs: DataFrame) -> DataFrame:
         return F.transform(spans, lambda s: F.struct(
             F.element_at(names, s["kind"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
-    return rows.select("doc_id", "text", named("base").alias("base"), named("spans").alias("spans"))
+    return rows.select("carried", "text", named("base").alias("base"), named("spans").alias("spans"))
 
 
 def listed(spans: str) -> Column:

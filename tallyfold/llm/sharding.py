@@ -61,14 +61,16 @@ def propagate(linked: DataFrame, capacity: list, rounds: int = ROUNDS) -> DataFr
         movers = told.where("shard <> target")
         asked = {(r.shard, r.target): r.n for r in movers.groupBy("shard", "target").agg(F.count("*").alias("n")).collect()}
         given = quotas(asked, room)
+        came = {b for _, b in given}
+        before, open_ = open_, [room[k] > 0 or k in came for k in range(n)]
         if not given:
-            break
+            if open_ == before:
+                break
+            continue
         ranked = numbered(movers, ["shard", "target"], ["row"], parts)
         moved = ranked.select("row", "group", F.when(
             F.col("position") < _case(given, 0), F.col("target")).otherwise(F.col("shard")).alias("shard"))
         state = cut(moved.union(told.where("shard = target").select("row", "group", "shard")))
-        came = {b for _, b in given}
-        open_ = [room[k] > 0 or k in came for k in range(n)]
     return state.select("row", "shard")
 
 

@@ -79,13 +79,14 @@ def spans(marked: np.ndarray) -> list:
     return [{"start": a, "end": b} for a, b in edges.reshape(-1, 2).tolist()]
 
 
-def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
-    """doc_id, n_words, n_removed, spans (of removed words), kept_text for every row of docs.
+def remove_repeats(docs: DataFrame, window: int = 20, carried=("doc_id",), keep_untouched: bool = False) -> DataFrame:
+    """carried, n_words, n_removed, spans (of removed words), kept_text for every row of docs.
 
     A word goes if a window of `window` words covers it whose words also start earlier: in a document
-    of smaller id, or before it in the same one. Kept words are joined by one blank.
+    of smaller id, or before it in the same one. Kept words are joined by one blank; keep_untouched
+    leaves texts as they are that lose nothing. carried is a structure of the named columns.
     """
-    chunks, _ = exchange.in_chunks(docs)
+    chunks, _ = exchange.in_chunks(docs, list(carried))
 
     def keys_of(texts):
         keys, within, _ = _keys(texts, window)
@@ -107,10 +108,13 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
         ends = np.cumsum(counts)
         removed, where, kept = [], [], []
         for text, a, b in zip(texts, (ends - counts).tolist(), ends.tolist(), strict=True):
-            own, words = covered[a:b], text.encode("utf-8", "replace").split()
+            own, data = covered[a:b], text.encode("utf-8", "replace")
             removed.append(int(own.sum()))
             where.append(spans(own) if removed[-1] else [])
-            kept.append(b" ".join(itertools.compress(words, ~own)) if removed[-1] else b" ".join(words))
+            if removed[-1]:
+                kept.append(b" ".join(itertools.compress(data.split(), ~own)))
+            else:
+                kept.append(data if keep_untouched else b" ".join(data.split()))
         return [pa.array(counts), pa.array(removed, pa.int64()),
                 pa.array(where, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                 pa.array(kept, pa.binary()).cast(pa.string())]
