@@ -9,6 +9,11 @@ and pairs that meet are verified by their cosine in double precision. The height
 number of vectors, so that a filter holds about `BUCKET` of them at every size, and the number of
 directions from the wanted number of filters that two vectors at the limit share.
 
+Vectors do not travel to all their filters. A sketch does, half the coordinates of a rotation in a
+byte each and the length of the rest, from which the cosine is bounded from above; only entries that
+may have a partner in a filter are brought together there with whole vectors. No pair at or above the
+limit fails the bound.
+
 Equal vectors are one entry with a weight. A filter's entries are split into blocks and blocks are
 paired, so that no task gets a crowded filter. A pair is counted in the first of the filters it
 shares. A task gives the number of links of each entry and links that span what is connected.
@@ -25,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import components, cut, local_components, paired_blocks, whole_runs
+from tallyfold.llm.common import components, cut, kind, local_components, paired_blocks, whole_runs
 
 #: Vectors that a filter holds on average, and entries of a block.
 BUCKET, BLOCK = 128, 1024
@@ -57,6 +62,7 @@ class ProductCode:
         self.height = height * math.sqrt(self.blocks)
         rng = np.random.default_rng(SEED)
         turn = np.linalg.qr(rng.normal(size=(dimension, dimension)))[0]
+        self.turn, self.kept = turn, (dimension + 1) // 2
         self.codes = []
         for part in np.array_split(np.arange(dimension), self.blocks):
             code = rng.normal(size=(self.words, len(part)))
@@ -75,6 +81,18 @@ class ProductCode:
         return row, name
 
 
+    def sketch(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Kept coordinates in steps of 1/127, and the length of the others."""
+        turned = x @ self.turn
+        rest = np.sqrt(np.maximum(0, (turned[:, self.kept:] ** 2).sum(1)))
+        return np.rint(turned[:, :self.kept] * 127).astype(np.int8), rest.astype(np.float32)
+
+    def slack(self) -> float:
+        """How much rounding can take off a product of sketches, at most."""
+        error = math.sqrt(self.kept) / 254
+        return 2 * error + error * error + 1e-5
+
+
 def _unit(column, width: int) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
     x = flat.reshape(-1, width).astype(np.float64)
@@ -104,7 +122,7 @@ def _verified(filters, x, name, side, crossing, limit):
 
 
 def links(vectors: DataFrame, width: int, count: int, limit: float) -> DataFrame:
-    """(id, n_links, partner) from vectors (id long, weight long, x array<double>), all distinct.
+    """(id, n_links, partner) from vectors (id long, weight long, x array of numbers), all distinct.
 
     n_links adds up over the rows of an id; partner is a linked entry or the id itself.
     """
@@ -114,33 +132,60 @@ def links(vectors: DataFrame, width: int, count: int, limit: float) -> DataFrame
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                row, name = code.decode(_unit(part["x"], width))
+                x = _unit(part["x"], width)
+                row, name = code.decode(x)
                 ends = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
                 filters = pa.ListArray.from_arrays(pa.array(ends), pa.array(name))
-                yield pa.RecordBatch.from_arrays([part["id"], part["weight"], part["x"], filters], ["id", "weight", "x", "filters"])
-
-    passed = cut(vectors.mapInArrow(pass_filters, "id long, weight long, x array<double>, filters array<long>"))
-    keyed = passed.select("id", "weight", "x", "filters", F.explode("filters").alias("filter"))
+                coarse, rest = code.sketch(x)
+                yield pa.RecordBatch.from_arrays(
+                    [part["id"], part["weight"], part["x"], filters,
+                     pa.array([c.tobytes() for c in coarse], pa.binary()), pa.array(rest)],
+                    ["id", "weight", "x", "filters", "coarse", "rest"])
+
+    passed = cut(vectors.mapInArrow(
+        pass_filters, f"id long, weight long, x {kind(vectors, 'x')}, filters array<long>, coarse binary, rest float"))
     order = ["filter", "block_a", "block_b"]
-    spread = paired_blocks(keyed, "filter", "id", BLOCK).select(*order, "side", "id", "weight", "x", "filters")
+
+    def ends_of(table):
+        names, block_a, block_b = (table[n].to_numpy() for n in order)
+        new = np.flatnonzero((np.diff(names) != 0) | (np.diff(block_a) != 0) | (np.diff(block_b) != 0)) + 1
+        return names, block_a != block_b, zip([0, *new.tolist()], [*new.tolist(), len(names)])
+
+    def maybe(batches):
+        for table in whole_runs(batches, order):
+            names, crossing, runs = ends_of(table)
+            side, ids, rest = (table[n].to_numpy() for n in ("side", "id", "rest"))
+            coarse = np.frombuffer(b"".join(table["coarse"].to_pylist()), np.int8).reshape(len(ids), -1) / np.float32(127)
+            kept = np.zeros(len(ids), bool)
+            for lo, hi in runs:
+                own, r = coarse[lo:hi], rest[lo:hi]
+                bound = own @ own.T + r[:, None] * r[None, :] >= limit - code.slack()
+                bound &= side[lo:hi, None] != side[None, lo:hi] if crossing[lo] else ~np.eye(hi - lo, dtype=bool)
+                kept[lo:hi] = bound.any(1)
+            yield pa.RecordBatch.from_arrays([pa.array(names[kept]), pa.array(ids[kept])], ["filter", "id"])
+
+    sketched = passed.select("id", "coarse", "rest", F.explode("filters").alias("filter"))
+    met = paired_blocks(sketched, "filter", "id", BLOCK).select(*order, "side", "id", "coarse", "rest")
+    met = met.repartition(*map(F.col, order)).sortWithinPartitions(*order).mapInArrow(maybe, "filter long, id long")
+    spread = paired_blocks(cut(met.distinct()), "filter", "id", BLOCK).join(
+        passed.select("id", "weight", "x", "filters"), "id").select(*order, "side", "id", "weight", "x", "filters")
 
     def verify(batches):
         for table in whole_runs(batches, order):
-            names, block_a, block_b, side, ids, weights = (
-                table[n].to_numpy() for n in (*order, "side", "id", "weight"))
-            new = np.flatnonzero((np.diff(names) != 0) | (np.diff(block_a) != 0) | (np.diff(block_b) != 0)) + 1
+            names, crossing, runs = ends_of(table)
+            side, ids, weights = (table[n].to_numpy() for n in ("side", "id", "weight"))
             lists = table["filters"].combine_chunks()
             sizes, flat = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
             starts = np.cumsum(sizes) - sizes
             x = _unit(table["x"].combine_chunks(), width)
             left, right = [], []
-            for lo, hi in zip([0, *new.tolist()], [*new.tolist(), len(ids)]):
+            for lo, hi in runs:
                 own = slice(lo, hi)
                 longest = sizes[own].max()
                 place = np.arange(longest)[None, :]
                 filled = place < sizes[own][:, None]
                 padded = np.where(filled, flat[np.minimum(starts[own][:, None] + place, len(flat) - 1)], -1)
-                a, b = _verified(padded, x[own], names[lo], side[own], block_a[lo] != block_b[lo], limit)
+                a, b = _verified(padded, x[own], names[lo], side[own], crossing[lo], limit)
                 left.append(a + lo)
                 right.append(b + lo)
             a, b = np.concatenate(left), np.concatenate(right)
@@ -156,8 +201,9 @@ def links(vectors: DataFrame, width: int, count: int, limit: float) -> DataFrame
 
 def near_duplicates(embeddings: DataFrame, limit: float = 0.9) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of embeddings (vec_id, embedding)."""
-    x = F.col("embedding").cast("array<double>")
+    x = F.col("embedding")
     rows = embeddings.select("vec_id", x.alias("x"))
+    x = F.col("x")
     fine = (F.col("vec_id").isNotNull() & (F.size("x") > 0) & F.exists("x", lambda v: v != 0)
             & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
     widths = rows.where(fine).groupBy(F.size("x").alias("w")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(1).collect()
