@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fixed
 from ..functions.values import collapse, comparison_key, envelope, let, parse_decimal, strip
 from .fields import bbox, reading_order
-from .groups import HOT_ROWS, by_size
+from .groups import attach
 
 ANSWER_SCHEMA = (
     "doc_type STRING, language STRING, country STRING, "
@@ -84,7 +84,7 @@ def answer_fields(accepted: DataFrame) -> DataFrame:
     )
 
 
-def ground(accepted: DataFrame, blocks: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def ground(accepted: DataFrame, blocks: DataFrame) -> DataFrame:
     """Per document and field the first block that contains, or is part of, its source text.
 
     Each block meets the few source texts of its document as one array and only
@@ -101,14 +101,10 @@ def ground(accepted: DataFrame, blocks: DataFrame, hot_rows: int = HOT_ROWS) ->
             lambda n: F.length(n["needle"]) > 0,
         ).alias("needles"),
     )
-    placed = by_size(
-        blocks, ["doc_id"],
-        lambda part, ways: ways.attach(
-            part.select("doc_id", reading_order().alias("at"), bbox().alias("bbox"),
-                        collapse(F.col("text")).alias("hay")),
-            needles, ["doc_id"], ["at"],
-        ),
-        hot_rows,
+    placed = attach(
+        blocks.select("doc_id", reading_order().alias("at"), bbox().alias("bbox"),
+                      collapse(F.col("text")).alias("hay")),
+        needles, ["doc_id"],
     )
     hay = F.col("hay")
     hits = F.filter(
@@ -124,11 +120,9 @@ def ground(accepted: DataFrame, blocks: DataFrame, hot_rows: int = HOT_ROWS) ->
     )
 
 
-def model_candidates(
-    accepted: DataFrame, blocks: DataFrame, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def model_candidates(accepted: DataFrame, blocks: DataFrame) -> DataFrame:
     """Field candidates of the model; grounded ones are trusted more."""
-    grounded = ground(accepted, blocks, hot_rows)
+    grounded = ground(accepted, blocks)
     return answer_fields(accepted).join(grounded, ["doc_id", "field"], "left").select(
         "doc_id", "field",
         typed_value(F.col("field"), F.col("raw")).alias("value"),

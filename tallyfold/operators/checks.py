@@ -10,11 +10,9 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fixed
 from ..functions.values import finding, iban_finding, vat_finding
-from .groups import HOT_ROWS, by_size
+from .groups import index
 
 CHECK_COLUMNS = ("invoice_id", "check_name", "status", "severity", "reason", "evidence")
-# Positions of an invoice are unique, so a piece holds at most this many lines.
-POSITIONS_PER_PIECE = 65_536
 
 
 def _or_zero(value: Column, kind: str = "decimal(18,4)") -> Column:
@@ -71,14 +69,9 @@ def _evidence(**entries) -> Column:
     )
 
 
-def line_gross_checks(lines: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def line_gross_checks(lines: DataFrame) -> DataFrame:
     """One check per line with a printed gross, named by the line's place in the invoice."""
-    piece = F.floor(F.col("position") / POSITIONS_PER_PIECE)
-    placed = by_size(
-        lines, ["invoice_id"],
-        lambda part, ways: ways.index(part, ["invoice_id"], ["position"], [piece], "_place"),
-        hot_rows,
-    )
+    placed = index(lines, ["invoice_id"], ["position"], "_place", along="position")
     judged = line_amounts(placed.where(F.col("gross").isNotNull()))
     ok = F.abs(F.col("line_gross") - F.col("gross")) <= F.lit(
         fixed.LINE_GROSS_TOLERANCE
@@ -184,9 +177,7 @@ def code_checks(invoices: DataFrame, only_present: bool) -> DataFrame:
     )
 
 
-def all_checks(
-    invoices: DataFrame, lines: DataFrame, only_present: bool = False, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def all_checks(invoices: DataFrame, lines: DataFrame, only_present: bool = False) -> DataFrame:
     """Every check of every invoice.
 
     ``invoices``: invoice_id, subtotal, total_vat, shipping, other, total, iban,
@@ -194,7 +185,7 @@ def all_checks(
     as document processing does.
     """
     return (
-        line_gross_checks(lines, hot_rows)
+        line_gross_checks(lines)
         .unionByName(total_checks(invoices, lines))
         .unionByName(code_checks(invoices, only_present))
     )

@@ -1,81 +1,49 @@
-"""Building blocks that keep one huge group from landing in one task."""
+"""Building blocks that keep one huge group from landing in one task, alike for every size."""
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# A group beyond this many rows is worked on in pieces.
-HOT_ROWS = 1_000_000
+# Groups are numbered in pieces, cut where equal shares of all rows end.
+PIECES = 128
 
 
-def hot_keys(df: DataFrame, keys: list, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows, counted with map-side combine.
+def attach(df: DataFrame, per_key: DataFrame, keys: list) -> DataFrame:
+    """Left join with a table of one row per key.
 
-    There are at most rows/hot_rows of them: even a trillion rows leave no more
-    than a million keys, which is what makes this side safe to broadcast.
+    An aggregate on the same keys would be joined where it stands, and a frequent key could not
+    be split.  Dealt out anew, both sides of the join come out of a shuffle of its own, and
+    adaptive execution splits the partitions of frequent keys.
     """
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    return df.join(per_key.hint("rebalance"), keys, "left")
 
 
-class Plain:
-    """Ways for groups of bounded size: one window, one join."""
+def index(
+    df: DataFrame, keys: list, order: list, out: str, along: str, leading: tuple = (),
+    measured: DataFrame = None,
+) -> DataFrame:
+    """Number the rows of each group from 1 in the given order.
 
-    @staticmethod
-    def index(df: DataFrame, keys: list, order: list, split: list, out: str) -> DataFrame:
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-        return df.withColumn(out, place)
-
-    @staticmethod
-    def attach(df: DataFrame, per_key: DataFrame, keys: list, spread_by: list) -> DataFrame:
-        return df.join(per_key, keys, "left")
-
-
-class Spread:
-    """The same for groups of any size."""
-
-    # A hot key is scattered over this many join keys.
-    SALTS = 512
-
-    @staticmethod
-    def index(df: DataFrame, keys: list, order: list, split: list, out: str) -> DataFrame:
-        """Number each piece of a group on its own and add the sizes of the pieces before it.
-
-        Pieces are cut by ``split``, leading order expressions.  Only their sizes,
-        one row per piece, meet in one place.
-        """
-        pieces = [f"_piece{i}" for i in range(len(split))]
-        cut = df.withColumns({
-            name: F.col(e) if isinstance(e, str) else e for name, e in zip(pieces, split)
-        })
-        local = F.row_number().over(Window.partitionBy(*keys, *pieces).orderBy(*order))
-        ahead = (
-            Window.partitionBy(*keys).orderBy(*pieces).rowsBetween(Window.unboundedPreceding, -1)
-        )
-        sizes = cut.groupBy(*keys, *pieces).agg(F.count(F.lit(1)).alias("_size")).select(
-            *keys, *pieces, F.coalesce(F.sum("_size").over(ahead), F.lit(0)).alias("_before")
-        )
-        same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*keys, *pieces)]
-        numbered = cut.withColumn("_local", local).alias("a").join(sizes.alias("b"), same)
-        place = (F.col("_local") + F.col("_before")).cast("int").alias(out)
-        return numbered.select(*[F.col(f"a.{c}") for c in df.columns], place)
-
-    @classmethod
-    def attach(cls, df: DataFrame, per_key: DataFrame, keys: list, spread_by: list) -> DataFrame:
-        """Salted join: each row of ``per_key`` stands for every salt its rows may carry."""
-        salts = F.explode(F.sequence(F.lit(0), F.lit(cls.SALTS - 1))).alias("_salt")
-        salted = df.withColumn(
-            "_salt", F.pmod(F.xxhash64(*spread_by), F.lit(cls.SALTS)).cast("int")
-        )
-        return salted.join(per_key.select("*", salts), [*keys, "_salt"], "left").drop("_salt")
-
-
-def by_size(df: DataFrame, keys: list, work, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Run ``work(rows, ways)`` on ordinary groups plainly and on hot groups spread out.
-
-    The hot keys are counted on the key columns of the input alone and met by a
-    broadcast (see ``hot_keys`` for its bound) right at the input, so where there
-    are none the second branch falls away before it reads anything.
+    ``order`` begins with the columns ``leading``, then the number ``along``.  Its range is cut
+    at quantiles over all rows (of ``measured``, if given, which has the same column): however
+    sparse the values are, a group that holds a large share of the rows is cut into as many
+    pieces as its share.  Each piece is numbered on its own; only sizes of pieces meet.
     """
-    hot = F.broadcast(hot_keys(df, keys, hot_rows).select(*keys))
-    ordinary = work(df.join(hot, keys, "left_anti"), Plain())
-    heavy = work(df.join(hot, keys, "left_semi"), Spread())
-    return ordinary.unionByName(heavy)
+    shares = [k / PIECES for k in range(1, PIECES)]
+    cuts = (df if measured is None else measured).agg(
+        F.percentile_approx(along, shares, 20 * PIECES)
+    ).scalar()
+    pieces = [*leading, "_piece"]
+    cut = df.withColumn("_cuts", cuts).withColumn(
+        "_piece", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(along))), F.lit(0))
+    ).drop("_cuts")
+    local = F.row_number().over(Window.partitionBy(*keys, *pieces).orderBy(*order))
+    ahead = Window.partitionBy(*keys).orderBy(*pieces).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut.groupBy(*keys, *pieces).agg(F.count(F.lit(1)).alias("_size")).select(
+        *keys, *pieces, F.coalesce(F.sum("_size").over(ahead), F.lit(0)).alias("_before")
+    )
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*keys, *pieces)]
+    numbered = cut.withColumn("_local", local).alias("a").join(sizes.alias("b"), same)
+    return numbered.select(
+        *[F.col(f"a.{c}") for c in df.columns],
+        (F.col("_local") + F.col("_before")).cast("bigint").alias(out),
+    )

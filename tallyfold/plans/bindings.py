@@ -168,9 +168,9 @@ def _check_digits(number: str) -> str:
     )
 
 
-_DE_IBAN = f"'DE' || {_check_digits(_D18 + chr(32) + '|| ' + chr(39) + '131400' + chr(39))} || {_D18}"
+_DE_IBAN = f"'DE' || {_check_digits(_D18 + " || '131400'")} || {_D18}"
 _NL_IBAN = (
-    f"'NL' || {_check_digits(chr(39) + '10112310' + chr(39) + ' || ' + _D10 + ' || ' + chr(39) + '232100' + chr(39))}"
+    f"'NL' || {_check_digits("'10112310' || " + _D10 + " || '232100'")}"
     f" || 'ABNA' || {_D10}"
 )
 
@@ -306,7 +306,7 @@ FROM {{v_invoices}} WHERE invoice_id % 3 = 0"""
 # The number of a line is unique in its invoice and follows LINE_ORDER.  It counts copies of
 # one part on one line only, so that an order with very many lines is never sorted as a whole.
 VIEWS["v_numbered"] = f"""
-SELECT *, l_linenumber * 100000000000000000 + l_partkey * 10000000 + row_number() OVER (
+SELECT *, l_linenumber * 100000000000000000 + l_partkey * 100000 + row_number() OVER (
          PARTITION BY invoice_id, l_linenumber, l_partkey ORDER BY {', '.join(LINE_ORDER)})
        AS position
 FROM {{v_line_cents}}"""
@@ -354,6 +354,10 @@ _FIELD_KIND = {
 }
 _CENTS = {"subtotal": "subtotal_cents", "total_vat": "vat_cents", "total": "total_cents"}
 
+# Invoices whose pages had no text were never extracted: they have no fields.
+HAS_FIELDS = "invoice_id % 37 <> 5"
+# Files with less text than this between their tags stand for scans.
+PRINTED_LENGTH = 2000
 VIEWS["v_field_sheet"] = f"""
 SELECT invoice_id, org_id, subtotal_cents, vat_cents, total_cents, name AS supplier_name,
   vat AS supplier_vat, iban, {_NUMBER} AS invoice_number,
@@ -361,7 +365,7 @@ SELECT invoice_id, org_id, subtotal_cents, vat_cents, total_cents, name AS suppl
   CAST({_DUE} AS STRING) AS due_date,
   {pick('invoice_id', ['EUR', 'USD', 'EUR'])} AS currency,
   subtotal_text AS subtotal, vat_text AS total_vat, total_text AS total
-FROM {{v_printed_sums}} WHERE invoice_id % 37 <> 5"""
+FROM {{v_printed_sums}} WHERE {HAS_FIELDS}"""
 
 
 def _field_parts(name: str, turn: int) -> dict:

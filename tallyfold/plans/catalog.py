@@ -178,9 +178,24 @@ def append_stage(v):
     )
     error = F.when(F.col("status") == "failed", "OCR_NO_TEXT")
     events = state.stage_events(
-        claimed, "ingest", error, F.to_json(F.struct("status", "total_conf"))
+        claimed.withColumn("created_at", F.col("created_on").cast("timestamp")), "ingest", error,
+        F.to_json(F.struct("status", "total_conf"))
     )
-    return events
+    return events.drop("job_id", "created_at")
+
+
+@query
+def append_then_latest(v):
+    """Events of two runs of a stage, appended; the newest of each invoice is read back."""
+    invoices = v["v_invoices"].withColumn("total_conf", F.lit(0.9))
+    error = F.when(F.col("status") == "failed", "OCR_NO_TEXT")
+    payload = F.to_json(F.struct("status", F.col("created_at").cast("date").alias("day")))
+    first = invoices.withColumn("created_at", F.col("created_on").cast("timestamp"))
+    again = first.where(F.col("org_id") % 2 == 0).withColumn(
+        "created_at", F.col("created_at") + F.expr("INTERVAL 3 DAYS"))
+    events = state.stage_events(first, "ingest", error, payload).unionByName(
+        state.stage_events(again, "ingest", error, payload))
+    return state.newest_done(events).select("invoice_id", "stage", "payload")
 
 
 # --- listing ----------------------------------------------------------------
@@ -369,16 +384,20 @@ def answer_candidates(v):
 
 @query
 def answer_lines(v):
-    """The model's lines where every second document is taken to have none of its own."""
+    """The model's lines where a document's tables have none."""
     model = answers.model_line_items(_accepted(v))
-    own = lines.line_items(v.cells().where(F.col("doc_id") % 2 == 0))
+    own = lines.line_items(v.cells())
     return answers.lines_or_model(own, model).select(*LINE_COLUMNS)
 
 
 @query
 def override_header(v):
-    header = fields.classify_blocks(v.blocks()).select(
-        "doc_id", "doc_type", "language", F.lit("DE").alias("country")
+    sheets = v.blocks()
+    vat = fields.find_wide(sheets, ("vat",)).select(
+        "doc_id", values.vat_country(F.col("supplier_vat.value.value")).alias("country")
+    )
+    header = fields.classify_blocks(sheets).select("doc_id", "doc_type", "language").join(
+        vat, "doc_id", "left"
     )
     return answers.override_header(header, _accepted(v))
 
@@ -425,9 +444,9 @@ def admit_route(v):
     taken = v["v_files"].withColumns({
         "size": F.octet_length("content").cast("bigint"), "sha256": F.sha2("content", 256)
     })
-    printed = taken.where(F.col("file_id") % 7 != 0).select(
-        F.col("file_id").alias("doc_id"), F.explode(F.split("content", "\n")).alias("text")
-    )
+    # Files with little text between their tags stand for scans.
+    shown = F.length(F.regexp_replace("content", "<[^>]*>", "")) >= b.PRINTED_LENGTH
+    printed = taken.where(shown).select(F.col("file_id").alias("doc_id"))
     routed = files.route(files.admit(taken.drop("content")), printed)
     return routed.select(
         "file_id", "size", "sha256", "rejected", "route",
@@ -439,7 +458,7 @@ def admit_route(v):
 def dedupe_exact(v):
     uploads = v["documents"].select(
         F.col("doc_id").alias("file_id"), F.col("lang").alias("org_id"),
-        F.sha2("text", 256).alias("sha256"),
+        F.sha2("text", 256).alias("sha256"), (F.col("doc_id") * 7919 % 1000).alias("created_at"),
     )
     return files.mark_copies(uploads).select("file_id", "org_id", "duplicate_of")
 
@@ -474,8 +493,8 @@ def order_fragments(v):
     x, y = F.col("block_no") * 37 % 500 + 0.0, F.col("block_no") * 53 % 700 + 0.0
     corners = F.array(F.array(x, y), F.array(x + 90, y + 2), F.array(x + 88, y + 14),
                       F.array(x - 1, y + 12))
-    fragments = v.readings().where(F.col("engine") == "tesseract").select(
-        F.col("doc_id").alias("page_id"), F.col("block_no").alias("fragment_no"), "text", "conf",
+    fragments = v.readings().select(
+        F.concat_ws("-", "doc_id", "engine").alias("page_id"), F.col("block_no").alias("fragment_no"), "text", "conf",
         F.when(F.col("block_no") % 13 != 5, corners).alias("points"),
         F.lit(600).alias("page_width"), F.lit(800).alias("page_height"),
     )
@@ -513,7 +532,7 @@ COUNTRIES = ("Germany", "France")
 
 @query
 def parse_search(v):
-    found = search.parse_search(v["v_questions"], COUNTRIES)
+    found = search.parse_search(v["v_questions"], COUNTRIES, b.FIELD_NAMES)
     return found.withColumns({
         c: F.col(c).cast("string") for c in ("date_after", "date_before")
     })
@@ -521,7 +540,7 @@ def parse_search(v):
 
 @query
 def search_fields(v):
-    parsed = search.parse_search(v["v_saved_searches"], COUNTRIES)
+    parsed = search.parse_search(v["v_saved_searches"], COUNTRIES, b.FIELD_NAMES)
     found = search.search_fields(v.stored_fields(), parsed)
     return found.select(
         "query_id", "rank", "invoice_id", "field", F.col("value.value").alias("value"),
@@ -533,9 +552,23 @@ def _export_fields(v):
     return v.stored_fields().withColumnRenamed("invoice_id", "doc_id")
 
 
+def _documents(v):
+    return v["v_invoices"].select(F.col("invoice_id").alias("doc_id"))
+
+
+@query
+def export_round_trip(v):
+    """The wide table with quotes, blanks and line breaks in it, written as csv and read back."""
+    table = export.wide_table(_documents(v), _export_fields(v), ["supplier_name", "total"])
+    odd = F.concat(F.lit('  "'), "supplier_name", F.lit('",\n '), "total", F.lit(" "))
+    folder = f"{shared_folder(v.spark, 'export')}/csv"
+    export.export(table.withColumn("note", odd), "csv", folder)
+    return export.read_csv(v.spark, folder).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+
+
 @query
 def export_wide(v):
-    return export.wide_table(_export_fields(v), [
+    return export.wide_table(_documents(v), _export_fields(v), [
         "supplier_name", {"field": "invoice_number", "header": "number"}, "due_date", "iban",
         {"field": "total", "header": "amount"},
     ])
@@ -548,7 +581,7 @@ def export_json(v):
         F.lit(None).cast("double").alias("net"), "vat_rate",
         F.lit(None).cast("double").alias("vat_amount"), "gross",
     )
-    return export.json_records(_export_fields(v), items)
+    return export.json_records(_documents(v), _export_fields(v), items)
 
 
 # --- arriving data ----------------------------------------------------------
@@ -580,7 +613,7 @@ def stream_audit(v):
 def stream_new_files(v):
     arriving = _stream(v, "documents").select(
         F.col("doc_id").alias("file_id"), F.col("lang").alias("org_id"),
-        F.sha2("text", 256).alias("sha256"),
+        F.sha2("text", 256).alias("sha256"), (F.col("doc_id") * 7919 % 1000).alias("created_at"),
     )
     store = shared_folder(v.spark, "files")
     arrivals.accept_new_files(arriving, f"{store}/files", f"{store}/checkpoint")

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fixed
-from ..operators.groups import HOT_ROWS, by_size
+from ..operators.groups import attach
 
 FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
@@ -26,16 +26,13 @@ def upload_suffix(filename: Column) -> Column:
     return F.lower(F.substring_index(filename, ".", -1))
 
 
-def admit(files: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def admit(files: DataFrame) -> DataFrame:
     """Files with ``rejected``: the reason they are not taken, or NULL.
 
     Files: ``file_id, org_id, batch_id, filename, size``.
     """
     sizes = files.groupBy("batch_id").agg(F.count(F.lit(1)).alias("batch_files"))
-    counted = by_size(
-        files, ["batch_id"],
-        lambda part, ways: ways.attach(part, sizes, ["batch_id"], ["file_id"]), hot_rows,
-    )
+    counted = attach(files, sizes, ["batch_id"])
     reason = (
         F.when(F.col("batch_files") > fixed.MOST_FILES_PER_BATCH, "batch_too_large")
         .when(~upload_suffix(F.col("filename")).isin(*fixed.UPLOAD_SUFFIXES), "unsupported_format")
@@ -65,17 +62,17 @@ def object_key(org_id: Column, file_id: Column, filename: Column) -> Column:
     return F.when(~escapes, F.concat_ws("/", org_id, file_id, filename))
 
 
-def mark_copies(files: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def mark_copies(files: DataFrame) -> DataFrame:
     """Files with ``duplicate_of``: the first upload of the same bytes by the same tenant.
 
-    Files: ``file_id, org_id, sha256``.  The first of each is a minimum that
-    combines before the shuffle; a content with very many copies is never gathered.
+    Files: ``file_id, org_id, sha256, created_at``.  The first by time, then id, is a minimum
+    that combines before the shuffle; a content with very many copies is never gathered.
     """
     keys = ["org_id", "sha256"]
-    first = files.groupBy(*keys).agg(F.min("file_id").alias("_first"))
-    marked = by_size(
-        files, keys, lambda part, ways: ways.attach(part, first, keys, ["file_id"]), hot_rows
+    first = files.groupBy(*keys).agg(
+        F.min_by("file_id", F.struct("created_at", "file_id")).alias("_first")
     )
+    marked = attach(files, first, keys)
     return marked.withColumn(
         "duplicate_of", F.when(F.col("_first") != F.col("file_id"), F.col("_first"))
     ).drop("_first")

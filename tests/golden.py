@@ -1,23 +1,24 @@
 """One printed invoice as rows, with a switch for a total that does not add up."""
 
 LINES = [
-    "ACME Muster GmbH",
-    "Musterstraße 1, 10115 Berlin",
-    "USt-IdNr.: DE123456789",
-    "Rechnung Nr.: 2024-0147",
-    "Rechnungsdatum: 15.01.2024",
-    "Fällig am: 14.02.2024",
-    "Pos Beschreibung Menge Einzelpreis Netto MwSt % MwSt Brutto",
-    "1 Werkzeug-Set 2 500,00 1000,00 19 190,00 1190,00",
-    "Zwischensumme 1000,00",
-    "MwSt. 19 % 190,00",
+    "Seehof Papierwaren GmbH",
+    "Uferweg 12, 88045 Friedrichshafen",
+    "Steuer: USt-ID DE284619357",
+    "Rechnung Nr.: PW-7731",
+    "Rechnungsdatum: 03.06.2023",
+    "Fällig am: 17.06.2023",
+    "Pos Artikel Menge Einzelpreis Netto MwSt % MwSt Brutto",
+    "1 Aktenordner blau 4 100,00 400,00 19 76,00 476,00",
+    "Zwischensumme 400,00",
+    "zzgl. MwSt. 19 % 76,00",
     "Gesamtbetrag {total} EUR",
-    "Zahlbar innerhalb von 30 Tagen. IBAN DE89370400440532013000",
+    "Bitte überweisen Sie auf IBAN DE10604500500017382946",
 ]
 TABLE = [
-    ["Pos", "Beschreibung", "Menge", "Einzelpreis", "Netto", "MwSt %", "MwSt", "Brutto"],
-    ["1", "Werkzeug-Set", "2", "500,00", "1000,00", "19", "190,00", "1190,00"],
+    ["Pos", "Artikel", "Menge", "Einzelpreis", "Netto", "MwSt %", "MwSt", "Brutto"],
+    ["1", "Aktenordner blau", "4", "100,00", "400,00", "19", "76,00", "476,00"],
 ]
+IBAN = "DE10604500500017382946"
 BLOCK_SCHEMA = (
     "doc_id BIGINT, page_no INT, block_no INT, text STRING, conf DOUBLE, "
     "x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE"
@@ -33,7 +34,7 @@ def block_frame(spark, texts_by_doc, conf=1.0):
     return spark.createDataFrame(rows, BLOCK_SCHEMA)
 
 
-def golden_blocks(spark, totals=("1190,00",)):
+def golden_blocks(spark, totals=("476,00",)):
     return block_frame(spark, {
         doc: [line.format(total=total) for line in LINES] for doc, total in enumerate(totals, 1)
     })

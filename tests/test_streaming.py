@@ -8,18 +8,18 @@ def test_new_files_are_taken_once(spark, tmp_path):
     inbox, store, mark = (str(tmp_path / n) for n in ("inbox", "store", "mark"))
 
     def arrive(rows, part):
-        spark.createDataFrame(rows, "file_id INT, org_id INT, sha256 STRING").coalesce(1).write.parquet(
+        spark.createDataFrame(rows, "file_id INT, org_id INT, sha256 STRING, created_at INT").coalesce(1).write.parquet(
             f"{inbox}/{part}")
 
     def work_off():
-        stream = spark.readStream.schema("file_id INT, org_id INT, sha256 STRING").option(
+        stream = spark.readStream.schema("file_id INT, org_id INT, sha256 STRING, created_at INT").option(
             "recursiveFileLookup", True).parquet(inbox)
         arrivals.accept_new_files(stream, store, mark)
         return sorted(r.file_id for r in spark.read.parquet(store).collect())
 
-    arrive([(1, 1, "a"), (2, 1, "a"), (3, 2, "a")], "one")
+    arrive([(1, 1, "a", 0), (2, 1, "a", 0), (3, 2, "a", 0)], "one")
     assert work_off() == [1, 3]
-    arrive([(4, 1, "a"), (5, 1, "b")], "two")
+    arrive([(4, 1, "a", 0), (5, 1, "b", 0)], "two")
     assert work_off() == [1, 3, 5]
 
 
