@@ -38,7 +38,8 @@ def _grams(texts: list, order: int):
 
 def score(docs: DataFrame, order: int = 3, least: int = 2) -> DataFrame:
     """doc_id, n_words, n_by_order (words scored by 1-grams, 2-grams, ...), score_micro for every row."""
-    chunks, total = exchange.in_chunks(docs, ["doc_id"])
+    # Larger chunks send fewer keys twice.
+    chunks, total = exchange.in_chunks(docs, ["doc_id"], exchange.CHUNK_BYTES * 3 // 2)
     parts = max(1, total // WORD_BYTES * order // exchange.PART_KEYS)
 
     def keys_of(texts):

@@ -11,6 +11,7 @@ import functools
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,14 +26,16 @@ OF_BYTES, OF_WORDS = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 INVERSES = pow(OF_BYTES, -1, 1 << 64), pow(OF_WORDS, -1, 1 << 64)
 
 
-def in_chunks(docs: DataFrame, carried: list) -> tuple[DataFrame, int]:
+def in_chunks(docs: DataFrame, carried: list, chunk_bytes: int = None) -> tuple[DataFrame, int]:
     """(doc_id, text, carried, chunk) with chunks in the order of doc_id, null ids first; and the bytes of text.
 
-    carried: a structure of the named columns, which comes back with the answers.
+    carried: a structure of the named columns, which comes back with the answers; of the text it
+    only tells whether it is null. Texts are compressed while they travel.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.struct(*carried).alias("carried"))
+    marked = [F.when(F.col(c).isNotNull(), F.lit("")).alias(c) if c == "text" else F.col(c) for c in carried]
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.struct(*marked).alias("carried"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // CHUNK_BYTES))
+    n = max(1, -(-total // (chunk_bytes or CHUNK_BYTES)))
     shares = [k / n for k in range(1, n)]
     found = docs.agg(F.percentile_approx("doc_id", shares, 20 * n).alias("c")).first().c if shares else None
     bounds = np.unique(np.array(found or [], np.int64))
@@ -42,7 +45,12 @@ def in_chunks(docs: DataFrame, carried: list) -> tuple[DataFrame, int]:
         known = np.searchsorted(bounds, pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), "left")
         return pa.array(np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, known))
 
-    return docs.withColumn("chunk", chunk_of(F.col("doc_id").cast("long"))), total
+    @F.arrow_udf("binary")
+    def packed(texts: pa.Array) -> pa.Array:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        return pa.array([pack(text.as_buffer()) for text in texts], pa.binary())
+
+    return docs.withColumn("chunk", chunk_of(F.col("doc_id").cast("long"))).withColumn("text", packed("text")), total
 
 
 @functools.lru_cache(4)
@@ -121,12 +129,15 @@ def squeezed(values: np.ndarray) -> bytes:
     """Non-negative numbers as planes of bytes, without the high bytes that none of them needs."""
     values = values.astype("<u8")
     width = (int(values.max()).bit_length() + 7) // 8 if len(values) else 0
-    return bytes([width]) + values.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    planes = values.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes)
 
 
 def unsqueezed(data: bytes, n: int) -> np.ndarray:
     planes = np.zeros((n, 8), np.uint8)
-    planes[:, :data[0]] = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], n).T
+    width = memoryview(data)[0]
+    found = zstandard.ZstdDecompressor().decompress(memoryview(data)[1:])
+    planes[:, :width] = np.frombuffer(found, np.uint8).reshape(width, n).T
     return planes.view("<u8").ravel()
 
 
@@ -179,12 +190,16 @@ def ask(chunks: DataFrame, keys_of, cuts: np.ndarray, answer) -> DataFrame:
             "chunk": part["chunk"], "part": part["part"], "n": part["n"],
             "answers": pa.array([pack(values[a:b]) for a, b in zip(ends, ends[1:])], pa.binary())})
 
-    sent = chunks.select("doc_id", "text", "chunk").groupBy("chunk").applyInArrow(send, "chunk long, part long, n long, keys binary, counts binary")
+    # All columns go along, so that with_answers() reads the same shuffled chunks again.
+    sent = chunks.groupBy("chunk").applyInArrow(send, "chunk long, part long, n long, keys binary, counts binary")
     return sent.groupBy("part").applyInArrow(reply, "chunk long, part long, n long, answers binary")
 
 
 def ordered(chunk: pa.Table) -> pa.Table:
-    """A chunk's documents by id, null first, then by text."""
+    """A chunk's documents, unpacked, by id, null first, then by text."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    texts = pa.array([unpack(text.as_buffer()) for text in chunk["text"]], pa.binary()).cast(pa.string())
+    chunk = chunk.set_column(chunk.schema.get_field_index("text"), "text", texts)
     return chunk.take(pc.sort_indices(chunk, [("doc_id", "ascending"), ("text", "ascending")], null_placement="at_start"))
 
 
