@@ -1,6 +1,6 @@
 """Building blocks that keep one huge group from landing in one task, alike for every size."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Groups are numbered in pieces, cut where equal shares of all rows end.
@@ -17,6 +17,17 @@ def attach(df: DataFrame, per_key: DataFrame, keys: list) -> DataFrame:
     return df.join(per_key.hint("rebalance"), keys, "left")
 
 
+def piece_of(measured: DataFrame, along: str) -> Column:
+    """The piece that a value of ``along`` is in: between which quantiles of all rows it lies.
+
+    The quantiles, at most ``PIECES`` numbers, are found by an aggregation that runs at once.
+    """
+    shares = [k / PIECES for k in range(1, PIECES)]
+    found = measured.agg(F.percentile_approx(F.col(along).cast("double"), shares, 20 * PIECES).alias("cuts"))
+    cuts = F.array(*[F.lit(c) for c in sorted(set(found.first().cuts or []))]).cast("array<double>")
+    return F.coalesce(F.size(F.filter(cuts, lambda c: c < F.col(along).cast("double"))), F.lit(0))
+
+
 def index(
     df: DataFrame, keys: list, order: list, out: str, along: str, leading: tuple = (),
     measured: DataFrame = None,
@@ -28,14 +39,8 @@ def index(
     sparse the values are, a group that holds a large share of the rows is cut into as many
     pieces as its share.  Each piece is numbered on its own; only sizes of pieces meet.
     """
-    shares = [k / PIECES for k in range(1, PIECES)]
-    cuts = (df if measured is None else measured).agg(
-        F.percentile_approx(along, shares, 20 * PIECES)
-    ).scalar()
     pieces = [*leading, "_piece"]
-    cut = df.withColumn("_cuts", cuts).withColumn(
-        "_piece", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(along))), F.lit(0))
-    ).drop("_cuts")
+    cut = df.withColumn("_piece", piece_of(df if measured is None else measured, along))
     local = F.row_number().over(Window.partitionBy(*keys, *pieces).orderBy(*order))
     ahead = Window.partitionBy(*keys).orderBy(*pieces).rowsBetween(Window.unboundedPreceding, -1)
     sizes = cut.groupBy(*keys, *pieces).agg(F.count(F.lit(1)).alias("_size")).select(

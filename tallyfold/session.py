@@ -27,9 +27,11 @@ def local_session(cores: int = 8, name: str = "tallyfold") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one only where that is unset."""
+    """A new folder below spark.checkpoint.dir; only a session on one machine can do without."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         return tempfile.mkdtemp(prefix=f"tallyfold-{purpose}-")
     path = spark._jvm.java.util.UUID.randomUUID().toString()
     return f"{base.rstrip('/')}/tallyfold-{purpose}-{path}"
