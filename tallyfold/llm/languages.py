@@ -24,8 +24,9 @@ from tallyfold.llm.common import kind
 UNDETERMINED = "und"
 #: n-grams in a language's profile and in a document's.
 PROFILE = 400
-#: Labelled documents that each language is learned from, on average; the bound of the sample.
-SAMPLE = 3000
+#: Labelled documents that each language is learned from, on average, and languages learned, the most
+#: frequent ones: the bounds of the sample.
+SAMPLE, LANGUAGES = 3000, 1000
 
 
 @functools.lru_cache(1)
@@ -55,9 +56,12 @@ def learn(docs: DataFrame, label: str = "lang", size: int = PROFILE, sample: int
     Each language is learned from about `sample` of its rows, chosen by a hash of the id.
     """
     rows = docs.select("doc_id", "text", F.col(label).alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("_n"))
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
-    rows = rows.join(sizes, "lang").where(share * F.col("_n") < F.lit(sample)).select("lang", "text")
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    if not sizes:
+        return pd.DataFrame({"lang": [], "gram": [], "rank": []})
+    shares = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], sample / r["n"])])
+    turn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
+    rows = rows.where(turn < F.try_element_at(shares, F.col("lang"))).select("lang", "text")
 
     def count(batches):
         for batch in batches:
