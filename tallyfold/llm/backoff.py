@@ -20,20 +20,24 @@ from pyspark.sql import DataFrame
 from tallyfold.llm import exchange
 
 ALPHA = 0.4
+#: The key of the n-gram without words, whose count is the number of words.
+EMPTY = exchange.mixed(np.ones(1, np.uint64))
 #: Bytes of a word with its blank, about: only sets how many parts the table has.
 WORD_BYTES = 6
 
 
 def _grams(texts: list, order: int):
-    """Keys of the empty n-gram and of the n-grams of 1 to order words, by place; the texts' word counts."""
+    """Keys of the n-grams: the empty one, then those of 1 to order words; which places have one of
+    each length; the texts' word counts; each word's place in its text."""
     words, counts = exchange.word_hashes(texts, lower=True)
     sequences = exchange.Sequences(words)
-    keys = [exchange.mixed(np.full(min(1, len(words)), 1, np.uint64))]
-    keys += [sequences.of(0, k, max(0, len(words) - k + 1)) + np.uint64(k) for k in range(1, order + 1)]
     place = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
     #: The n-gram that begins at p is within a document if the word at p + k - 1 is at least its k-th.
-    within = [np.ones(len(keys[0]), bool), *(place[k - 1:] >= k - 1 for k in range(1, order + 1))]
-    return keys, within, counts, place
+    within = [place[k - 1:] >= k - 1 for k in range(1, order + 1)]
+    keys = [EMPTY[:min(1, len(words))]]
+    for k, inside in enumerate(within, 1):
+        keys.append(sequences.of(0, k, max(0, len(words) - k + 1))[inside] + np.uint64(k))
+    return np.concatenate(keys), within, counts, place
 
 
 def score(docs: DataFrame, order: int = 3, least: int = 2) -> DataFrame:
@@ -43,9 +47,9 @@ def score(docs: DataFrame, order: int = 3, least: int = 2) -> DataFrame:
     parts = max(1, total // WORD_BYTES * order // exchange.PART_KEYS)
 
     def keys_of(texts):
-        keys, within, counts, _ = _grams(texts, order)
-        found, n = np.unique(np.concatenate([k[w] for k, w in zip(keys, within, strict=True)]), return_counts=True)
-        n[np.isin(found, keys[0])] = counts.sum()
+        keys, _, counts, _ = _grams(texts, order)
+        found, n = np.unique(keys, return_counts=True)
+        n[found == EMPTY[0]] = counts.sum()
         return found, n
 
     def totals(keys, counts):
@@ -55,13 +59,12 @@ def score(docs: DataFrame, order: int = 3, least: int = 2) -> DataFrame:
     def apply(texts, values):
         keys, within, counts, place = _grams(texts, order)
         n = len(place)
-        flat = np.concatenate([k[w] for k, w in zip(keys, within, strict=True)])
-        _, back = np.unique(flat, return_inverse=True)
-        of = np.split(values[back].astype(np.float64), np.cumsum([w.sum() for w in within])[:-1])
+        keys = np.unique(keys, return_inverse=True)[1]
+        of = np.split(values[keys].astype(np.float64), np.cumsum([len(keys) and 1, *(w.sum() for w in within)])[:-1])
         ending = []  # count of the k-gram that ends at each word, 0 where there is none
         for k in range(1, order + 1):
             one = np.zeros(n)
-            one[k - 1:][within[k]] = of[k]
+            one[k - 1:][within[k - 1]] = of[k]
             ending.append(one)
         used, found = np.ones(n, np.int64), np.log10(ALPHA ** (order - 1) * ending[0] / (of[0][0] if n else 1))
         # Words at the beginning have fewer words before them and start from a shorter n-gram.
