@@ -203,11 +203,15 @@ def append_then_latest(v):
 
 @query
 def invoice_list(v):
-    return search.newest_invoices(v["v_invoices"].join(
-        v["v_totals"].select("invoice_id", "total"), "invoice_id"
-    )).select(
+    """Ranked first: totals and fields are looked up for the listed invoices only."""
+    listed = search.newest_invoices(v["v_invoices"])
+    shown = v["v_field_sheet"].select("invoice_id", "supplier_name", "invoice_number", "invoice_date")
+    return listed.join(v["v_totals"].select("invoice_id", "total"), "invoice_id", "left").join(
+        shown, "invoice_id", "left"
+    ).select(
         "org_id", "invoice_id", "filename", "status", F.col("total").cast("double").alias("total"),
         F.col("created_on").cast("string").alias("created_on"),
+        "supplier_name", "invoice_number", "invoice_date",
     )
 
 
@@ -618,3 +622,16 @@ def stream_new_files(v):
     store = shared_folder(v.spark, "files")
     arrivals.accept_new_files(arriving, f"{store}/files", f"{store}/checkpoint")
     return v.spark.read.parquet(f"{store}/files").select("file_id", "org_id", "sha256")
+
+
+@query
+def stream_usage(v):
+    """Events per tenant and day in append mode: days come out once the watermark has passed them."""
+    events = v.spark.sql(b.VIEWS["v_jobs"], events=_stream(v, "events")).withColumn(
+        "created_at", F.col("created_at").cast("timestamp"))
+    store = shared_folder(v.spark, "usage")
+    counted = arrivals.daily_usage(events)
+    writer = counted.writeStream.outputMode("append").format("parquet").option("path", f"{store}/days")
+    arrivals.run_to_end(writer, f"{store}/checkpoint")
+    found = v.spark.read.schema(counted.schema).parquet(f"{store}/days")
+    return found.withColumn("day", F.col("day").cast("date").cast("string"))

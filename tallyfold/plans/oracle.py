@@ -271,12 +271,13 @@ FROM v_invoices WHERE status <> 'failed'"""
 
 # --- listing ----------------------------------------------------------------
 
-_SQL["invoice_list"] = _with(("v_invoices", "v_totals")) + f"""
-SELECT org_id, invoice_id, filename, status, total, created_on FROM (
+_SQL["invoice_list"] = _with(("v_invoices", "v_totals", "v_field_sheet")) + f"""
+SELECT x.org_id, x.invoice_id, filename, status, total, created_on, supplier_name, invoice_number, invoice_date FROM (
 SELECT i.org_id, i.invoice_id, filename, status, CAST(total AS DOUBLE) AS total,
        CAST(created_on AS VARCHAR) AS created_on, row_number() OVER (
          PARTITION BY org_id ORDER BY created_on DESC, i.invoice_id) AS turn
 FROM v_invoices i JOIN v_totals t ON t.invoice_id = i.invoice_id WHERE NOT deleted) x
+LEFT JOIN v_field_sheet f ON f.invoice_id = x.invoice_id
 WHERE turn <= {fixed.LISTING_LIMIT}"""
 _SQL["org_lookup"] = _with(("v_orgs",)) + (
     "SELECT org_id, name, residency, CAST(threshold AS DOUBLE) AS threshold "
@@ -931,6 +932,11 @@ FROM v_invoices i LEFT JOIN pairs USING (invoice_id) LEFT JOIN listed USING (inv
 
 _SQL["stream_stages"] = _SQL["latest_stage"]
 _SQL["stream_audit"] = _SQL["finalize_status"]
+# Days that end a day or more before the newest event.
+_SQL["stream_usage"] = _with(("v_jobs",)) + """
+SELECT org_id, CAST(day AS VARCHAR) AS day, n FROM (
+SELECT org_id, CAST(created_at AS DATE) AS day, count(*) AS n FROM v_jobs GROUP BY ALL) u
+WHERE CAST(day AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(created_at) FROM v_jobs) - INTERVAL 1 DAY"""
 _SQL["stream_new_files"] = """
 SELECT arg_min(doc_id, (doc_id * 7919 % 1000, doc_id)) AS file_id, lang AS org_id, sha256(text) AS sha256
 FROM documents GROUP BY lang, text"""

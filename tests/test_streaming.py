@@ -23,6 +23,17 @@ def test_new_files_are_taken_once(spark, tmp_path):
     assert work_off() == [1, 3, 5]
 
 
+def test_usage_waits_for_the_watermark(spark, tmp_path):
+    days = ["2024-01-01 10:00:00", "2024-01-02 01:00:00", "2024-01-05 12:00:00"]
+    frame = spark.createDataFrame([(1, d) for d in days], "org_id INT, t STRING").select(
+        "org_id", F.to_timestamp("t").alias("created_at"))
+    frame.coalesce(1).write.parquet(str(tmp_path / "in"))
+    usage = arrivals.daily_usage(spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in")))
+    writer = usage.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out"))
+    arrivals.run_to_end(writer, str(tmp_path / "mark"))
+    assert sorted(r.day.day for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2]
+
+
 def test_files_are_read_with_hash(spark, tmp_path):
     (tmp_path / "x.PDF").write_bytes(b"abc")
     row = files.scan_files(spark, str(tmp_path)).first()
