@@ -272,7 +272,7 @@ FROM v_invoices WHERE status <> 'failed'"""
 # --- listing ----------------------------------------------------------------
 
 _SQL["invoice_list"] = _with(("v_invoices", "v_totals", "v_field_sheet")) + f"""
-SELECT x.org_id, x.invoice_id, filename, status, total, created_on, supplier_name, invoice_number, invoice_date FROM (
+SELECT x.org_id, x.invoice_id, filename, status, x.total, created_on, supplier_name, invoice_number, invoice_date FROM (
 SELECT i.org_id, i.invoice_id, filename, status, CAST(total AS DOUBLE) AS total,
        CAST(created_on AS VARCHAR) AS created_on, row_number() OVER (
          PARTITION BY org_id ORDER BY created_on DESC, i.invoice_id) AS turn
