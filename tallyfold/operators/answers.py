@@ -256,9 +256,11 @@ def cost(route: Column, tokens: Column) -> Column:
 # --- text for a model -------------------------------------------------------
 
 
-def document_text(blocks: DataFrame, cells: DataFrame) -> DataFrame:
+def document_text(blocks: DataFrame, cells: DataFrame, page_list: DataFrame = None) -> DataFrame:
     """Text of each document: page header, its blocks, then its tables row by row.
 
+    Pages of the list (``doc_id, page_no``) without any content have their header alone.
+
     Texts are joined row by row, table by table, page by page, so that what meets
     in one place is already short of everything but the result itself.
     """
@@ -276,8 +278,11 @@ def document_text(blocks: DataFrame, cells: DataFrame) -> DataFrame:
         F.concat(F.lit("TABLE:\n"), "text").alias("text"),
     )
     parts = printed.withColumn("part", F.lit(0)).unionByName(tables)
-    pages = parts.groupBy("doc_id", "page_no").agg(joined("text", "part")).select(
-        "doc_id", "page_no",
-        F.concat(F.lit("--- PAGE "), F.col("page_no") + 1, F.lit(" ---\n"), "text").alias("text"),
-    )
+    headed = parts.select("doc_id", "page_no", "part", "text")
+    every = headed.select("doc_id", "page_no")
+    if page_list is not None:
+        every = every.unionByName(page_list.select("doc_id", "page_no"))
+    header = F.concat(F.lit("--- PAGE "), F.col("page_no") + 1, F.lit(" ---"))
+    headers = every.distinct().select("doc_id", "page_no", F.lit(-1).alias("part"), header.alias("text"))
+    pages = headed.unionByName(headers).groupBy("doc_id", "page_no").agg(joined("text", "part"))
     return pages.groupBy("doc_id").agg(joined("text", "page_no"))

@@ -435,7 +435,9 @@ def route_cost(v):
 
 @query
 def document_text(v):
-    return answers.document_text(v.blocks(), v.cells()).select(
+    every = v["v_invoices"].select(F.col("invoice_id").alias("doc_id"), F.explode(F.array(
+        F.lit(0), F.when(F.col("invoice_id") % 4 == 0, 2))).alias("page_no")).where("page_no IS NOT NULL")
+    return answers.document_text(v.blocks(), v.cells(), every).select(
         "doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest")
     )
 
@@ -508,7 +510,9 @@ def order_fragments(v):
 
 @query
 def page_stats(v):
-    found = pages.page_stats(v.readings(), ("engine",))
+    every = v["documents"].select("doc_id", F.lit(0).alias("page_no"), F.explode(
+        F.array(F.lit("paddleocr"), F.lit("tesseract"))).alias("engine"))
+    found = pages.page_stats(v.readings(), ("engine",), every)
     return found.select(
         "doc_id", "page_no", "engine", F.md5("text").alias("digest"), "n_blocks",
         F.bround("avg_conf", 4).alias("avg_conf"),
@@ -521,6 +525,16 @@ def pick_engine(v):
     return pages.pick_engine(every, v.readings(), "paddleocr", "tesseract")
 
 
+@query
+def page_table(v):
+    every = v["documents"].select(
+        "doc_id", F.lit(0).alias("page_no"), F.lit(600).alias("width"),
+        F.lit(800).alias("height"), (F.col("n_chars") >= 200).alias("text_layer"))
+    readings = v.readings()
+    picked = pages.pick_engine(every, readings, "paddleocr", "tesseract")
+    return pages.page_table(every, readings, picked)
+
+
 @query
 def pages_projection(v):
     per_page = v.readings().select(

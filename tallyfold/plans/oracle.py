@@ -726,7 +726,7 @@ FROM (SELECT org_id, coalesce(a.route, d.route, 'mistral:small') AS route, day,
 LEFT JOIN prices ON name = split_part(route, '|', 1)"""
 
 _SQL["document_text"] = _with(
-    ("v_sheets", "v_rows"), b.blocks_sql(),
+    ("v_sheets", "v_rows", "v_invoices"), b.blocks_sql(),
     """sheet_lines AS (
 SELECT doc_id, page_no, 0 AS part, 0 AS a, block_no AS r, text FROM blocks
 UNION ALL SELECT doc_id, page_no, table_no + 1, 0, -1, 'TABLE:' FROM v_rows
@@ -735,7 +735,8 @@ UNION ALL SELECT doc_id, page_no, table_no + 1, 1, row_no, """
     + " || ' | ' || ".join(f"c{i}" for i in range(b.CELLS))
     + """ FROM v_rows
 UNION ALL SELECT DISTINCT doc_id, page_no, -1, 0, 0, '--- PAGE ' || (page_no + 1) || ' ---' FROM (
-  SELECT doc_id, page_no FROM blocks UNION ALL SELECT doc_id, page_no FROM v_rows) p)""",
+  SELECT doc_id, page_no FROM blocks UNION ALL SELECT doc_id, page_no FROM v_rows
+  UNION ALL SELECT invoice_id, 0 FROM v_invoices UNION ALL SELECT invoice_id, 2 FROM v_invoices WHERE invoice_id % 4 = 0) p)""",
 ) + """
 SELECT doc_id, CAST(length(text) AS INT) AS n_chars, md5(text) AS digest FROM (
 SELECT doc_id, string_agg(text, chr(10) ORDER BY page_no, part, a, r) AS text
@@ -814,10 +815,11 @@ FROM (SELECT doc_id || '-' || engine AS page_id, block_no, t AS text, (px - 1)::
                    regexp_replace(text, '^[\\s\\x0B\\x{85}\\pZ]+|[\\s\\x0B\\x{85}\\pZ]+$', '', 'g') AS t
             FROM readings) f WHERE t <> '') g"""
 _SQL["page_stats"] = f"WITH {_DOC_LINES}, {_READINGS}" + """
-SELECT doc_id, 0 AS page_no, engine, md5(string_agg(text, chr(10) ORDER BY block_no)) AS digest,
-       count(*) AS n_blocks, round_even(avg(conf), 4) AS avg_conf
-FROM readings GROUP BY doc_id, engine"""
-_SQL["pick_engine"] = f"WITH {_DOC_LINES}, {_READINGS}" + f"""
+SELECT d.doc_id, 0 AS page_no, e.engine, md5(coalesce(string_agg(r.text, chr(10) ORDER BY block_no), '')) AS digest,
+       count(block_no) AS n_blocks, coalesce(round_even(avg(conf), 4), 0) AS avg_conf
+FROM documents d CROSS JOIN (VALUES ('paddleocr'), ('tesseract')) e(engine)
+LEFT JOIN readings r ON r.doc_id = d.doc_id AND r.engine = e.engine GROUP BY d.doc_id, e.engine"""
+_PICKED = f"""
 SELECT doc_id, 0 AS page_no, engine, CASE WHEN engine IS NULL THEN '{fixed.NO_TEXT_ERROR}' END AS error
 FROM (SELECT d.doc_id, CASE WHEN p IS NULL AND t IS NULL THEN NULL WHEN p IS NULL THEN 'tesseract'
              WHEN p < {fixed.MIN_READING_SCORE} AND t > p THEN 'tesseract' ELSE 'paddleocr' END AS engine
@@ -826,6 +828,11 @@ FROM (SELECT d.doc_id, CASE WHEN p IS NULL AND t IS NULL THEN NULL WHEN p IS NUL
                  GROUP BY doc_id) a USING (doc_id)
       LEFT JOIN (SELECT doc_id, avg(conf) AS t FROM readings WHERE engine = 'tesseract'
                  GROUP BY doc_id) b USING (doc_id)) e"""
+_SQL["pick_engine"] = f"WITH {_DOC_LINES}, {_READINGS}" + _PICKED
+_SQL["page_table"] = f"WITH {_DOC_LINES}, {_READINGS}, picked AS ({_PICKED})" + """
+SELECT doc_id, 0 AS page_no, 600 AS width, 800 AS height, n_chars >= 200 AS text_layer, engine,
+       coalesce((SELECT count(*) FROM readings r WHERE r.doc_id = d.doc_id AND r.engine = p.engine), 0) AS n_blocks
+FROM documents d JOIN picked p USING (doc_id)"""
 _SQL["pages_projection"] = f"WITH {_DOC_LINES}, {_READINGS}" + """
 SELECT doc_id, string_agg(DISTINCT engine, ',' ORDER BY engine) AS engine, count(DISTINCT page_no) AS n_pages
 FROM (SELECT DISTINCT doc_id, engine, block_no // 10 AS page_no FROM readings) p GROUP BY doc_id"""
