@@ -134,4 +134,37 @@ ranked AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
-ORACLE_SQL = {"op3_top_inner_products": TOP_SQL, "op4_stupid_backoff": BACKOFF_SQL}
+NEAR_VECTORS_SQL = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+    WHERE vec_id IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+      AND len([x FOR x IN embedding IF x <> 0]) > 0),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b
+    ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.9),
+reached AS (
+    SELECT vec_id AS a, vec_id AS b FROM embeddings
+    UNION SELECT r.a, l.b FROM reached AS r JOIN links AS l ON r.b = l.a),
+named AS (SELECT a AS vec_id, min(b) AS component_id FROM reached GROUP BY a)
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE a = e.vec_id) AS n_links, component_id,
+       e.vec_id = component_id AS kept
+FROM embeddings AS e JOIN named USING (vec_id)
+"""
+
+REPEATS_SQL = """
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+windows AS (
+    SELECT doc_id, p, row_number() OVER (PARTITION BY array_to_string(w[p:p + 19], ' ') ORDER BY doc_id, p) AS turn
+    FROM words, unnest(range(1, len(w) - 18)) AS t(p) WHERE len(w) >= 20),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS i FROM windows WHERE turn > 1),
+kept AS (
+    SELECT doc_id, i, w[i] AS word FROM words, unnest(range(1, len(w) + 1)) AS t(i)
+    WHERE NOT EXISTS (FROM gone AS g WHERE g.doc_id = words.doc_id AND g.i = t.i)),
+texts AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept_text FROM kept GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept_text, '')) AS kept_sha256
+FROM words LEFT JOIN texts USING (doc_id)
+"""
+
+ORACLE_SQL = {"op1_spherical_caps": NEAR_VECTORS_SQL, "op6_substring_dedup": REPEATS_SQL,
+              "op3_top_inner_products": TOP_SQL, "op4_stupid_backoff": BACKOFF_SQL}
