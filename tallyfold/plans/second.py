@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import checks, records
 from . import bindings as b
 from .catalog import query
-from .oracle import _SQL, _with
+from .oracle import _AMOUNTS, _SQL, _SUMS, _total_checks, _with
 
 CURRENCIES = ("EUR", "GBP", "CHF")
 NEEDED = {"DE": ("supplier_name", "invoice_number", "invoice_date", "iban"), "NL": ("supplier_name", "iban"),
@@ -208,6 +208,17 @@ def seeded_error_recall(v):
     return records.error_recall(seeded, found)
 
 
+_SQL["seeded_error_recall"] = _with(("v_totals", "v_line_items"), _AMOUNTS, _SUMS, """seeded AS (
+SELECT * REPLACE (CASE WHEN seeded = 'total' THEN total + 1 ELSE total END AS total,
+  CASE WHEN seeded = 'total_vat' THEN total_vat + 1 ELSE total_vat END AS total_vat,
+  CASE WHEN seeded = 'subtotal' THEN subtotal + 1 ELSE subtotal END AS subtotal)
+FROM (SELECT *, CASE invoice_id % 10 WHEN 0 THEN 'total' WHEN 1 THEN 'total_vat' WHEN 2 THEN 'subtotal' END AS seeded
+      FROM v_totals WHERE subtotal IS NOT NULL AND total IS NOT NULL AND total_vat IS NOT NULL) s)""") + f"""
+SELECT seeded, count(*) AS n, count(*) FILTER (invoice_id IN (
+  SELECT invoice_id FROM ({_total_checks('seeded')}) c WHERE NOT ok)) AS caught
+FROM seeded WHERE seeded IS NOT NULL GROUP BY seeded"""
+
+
 @query
 def confidence_histogram(v):
     return records.confidence_histogram(v.stored_fields())
