@@ -20,7 +20,7 @@ def _with_text(docs: DataFrame, text) -> list:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go whose language cannot be told: null texts and those without letters."""
+    """Documents go whose language cannot be told: null texts and those without letters, also where no row has a label."""
     return languages.determined(docs, languages.learn(docs.where(~languages.held_out())))
 
 

@@ -122,8 +122,14 @@ def identify(docs: DataFrame, profiles: pd.DataFrame, size: int = PROFILE) -> Da
 
 
 def determined(docs: DataFrame, profiles: pd.DataFrame, size: int = PROFILE) -> DataFrame:
-    """The rows of docs, with all their columns, whose language can be told."""
+    """The rows of docs, with all their columns, whose language can be told.
+
+    Without profiles nothing speaks against a text: only null texts and those without letters go.
+    """
     judge = _judge(profiles, size)
+    if not len(profiles):
+        def judge(text):
+            return (None if text and ngrams(text).any() else UNDETERMINED), 0.0
 
     def run(batches):
         for batch in batches:

@@ -318,6 +318,13 @@ def test_without_labels_all_is_undetermined(spark):
     assert languages.identify(docs, languages.learn(docs)).first().lang_pred == "und"
 
 
+def test_without_labels_the_pipeline_keeps_texts(spark, tmp_path):
+    rows = [(1, "Ein Satz ohne Sprache.", None), (2, None, None), (3, "12 34", None), (4, "Noch ein anderer Text", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("n_chars", F.length("text").cast("long"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {1, 4}
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_empty_tables(spark, tmp_path, name):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
