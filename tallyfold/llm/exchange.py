@@ -24,6 +24,8 @@ SLICE_BYTES = 500_000
 #: Odd multipliers of the polynomial hashes, and their inverses modulo 2^64.
 OF_BYTES, OF_WORDS = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 INVERSES = pow(OF_BYTES, -1, 1 << 64), pow(OF_WORDS, -1, 1 << 64)
+#: Another multiplier of words, for a second hash.
+AGAIN = 0xD6E8FEB86659FD93
 
 
 def in_chunks(docs: DataFrame, carried: list, chunk_bytes: int = None) -> tuple[DataFrame, int]:
@@ -53,7 +55,7 @@ def in_chunks(docs: DataFrame, carried: list, chunk_bytes: int = None) -> tuple[
     return docs.withColumn("chunk", chunk_of(F.col("doc_id").cast("long"))).withColumn("text", packed("text")), total
 
 
-@functools.lru_cache(4)
+@functools.lru_cache(6)
 def _powers(base: int, size: int) -> np.ndarray:
     found = np.full(size, base, np.uint64)
     found[0] = 1
@@ -112,11 +114,11 @@ def word_hashes(texts: list, lower: bool) -> tuple[np.ndarray, np.ndarray]:
 class Sequences:
     """Hashes of runs of words, from prefix sums."""
 
-    def __init__(self, words: np.ndarray):
+    def __init__(self, words: np.ndarray, base: int = OF_WORDS):
         self.n = len(words)
         self.sums = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(words * powers(OF_WORDS, self.n), out=self.sums[1:])
-        self.back = powers(INVERSES[1], self.n + 1)
+        np.cumsum(words * powers(base, self.n), out=self.sums[1:])
+        self.back = powers(pow(base, -1, 1 << 64), self.n + 1)
 
     def of(self, first: int, last: int, starts: int) -> np.ndarray:
         """For each position p < starts, the hash of words p + first to p + last - 1."""

@@ -1,7 +1,7 @@
 """Repeated passages, found in prefix-partitioned suffix trees.
 
 Every word of a text begins a suffix. A suffix's key lists hashes of its first words at growing depth
-(a tenth, a quarter, half and all of the window), the shallow ones in the high bits: keys that agree
+(a tenth, a quarter and all of the window), the shallow ones in the high bits: keys that agree
 in their leading bits are suffixes with a common prefix, and sorted keys are the leaves of the suffix
 tree in order, cut at the depth of the window, below which nothing is asked. One pass counts short
 prefixes; a prefix with more suffixes than a task may hold is extended by further bits, light
@@ -10,7 +10,8 @@ depth with more than one leaf are repeats of at least the window's length; all l
 in the order of documents and places, are marked. Documents join marked windows into maximal spans.
 
 Within a chunk of documents equal suffixes are one leaf, so frequent passages do not crowd a group.
-Equality is that of 64 bits, of which 40 cover the whole window.
+Equality is that of 48 bits of the key and 32 of a second hash beside it, all of which cover the whole
+window; so windows that share a prefix are told apart by 80 bits, and crowded prefixes are cut by 48.
 
 Cases: a null text has no words; a text shorter than the window keeps all; a null id comes before all
 others, rows of the same id are ordered by text; repeated rows repeat their text and lose it; texts
@@ -26,28 +27,44 @@ from pyspark.sql import functions as F
 
 from tallyfold.llm import exchange
 
-#: Bits of the short prefixes that are counted.
-COUNTED = 16
+#: Bits of the short prefixes that are counted, and bits of the second hash.
+COUNTED, SECOND = 16, 32
 
 
 def suffix_keys(sequences: exchange.Sequences, window: int) -> np.ndarray:
     """The key of each position from which a whole window of words follows."""
     starts = max(0, sequences.n - window + 1)
-    depths = [0, max(1, window // 10), max(1, window // 4), max(1, window // 2)]
+    depths = [0, max(1, window // 10), max(1, window // 4)]
     keys = np.zeros(starts, np.uint64)
     for first, last in zip(depths, depths[1:]):
         keys = keys << np.uint64(8) | sequences.of(min(first, last - 1), last, starts) >> np.uint64(56)
-    return keys << np.uint64(40) | sequences.of(0, window, starts) >> np.uint64(24)
+    return keys << np.uint64(48) | sequences.of(0, window, starts) >> np.uint64(16)
+
+
+def second_hashes(words: np.ndarray, window: int) -> np.ndarray:
+    """Of each window `SECOND` bits of a hash of its own."""
+    starts = max(0, len(words) - window + 1)
+    return exchange.Sequences(words, exchange.AGAIN).of(0, window, starts) >> np.uint64(64 - SECOND)
+
+
+def distinct(keys: np.ndarray, second: np.ndarray):
+    """The order of (key, second), ties by place, and where in it another pair begins."""
+    order = np.argsort(keys, kind="stable")
+    same = keys[order[1:]] == keys[order[:-1]]
+    if (same & (second[order[1:]] != second[order[:-1]])).any():
+        order = np.lexsort((second, keys))
+        same = (keys[order[1:]] == keys[order[:-1]]) & (second[order[1:]] == second[order[:-1]])
+    return order, np.append(True, ~same)[:len(keys)]
 
 
 def _keys(texts: list, window: int):
-    """Keys of all windows, whether each lies within a document, and the documents' word counts."""
+    """Keys of all windows, whether each lies within a document, the documents' word counts, and all words' hashes."""
     words, counts = exchange.word_hashes(texts, lower=False)
     keys = suffix_keys(exchange.Sequences(words), window)
     within = np.ones(len(keys), bool)
     for end in np.cumsum(counts)[:-1]:
         within[max(0, end - window + 1):end] = False
-    return keys, within, counts
+    return keys, within, counts, words
 
 
 def prefix_cuts(docs: DataFrame, window: int) -> np.ndarray:
@@ -57,7 +74,7 @@ def prefix_cuts(docs: DataFrame, window: int) -> np.ndarray:
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 texts = [x or "" for x in batch["text"].slice(start, 1000).to_pylist()]
-                keys, within, _ = _keys(texts, window)
+                keys, within, _, _ = _keys(texts, window)
                 prefix, n = np.unique(keys[within] >> np.uint64(64 - COUNTED), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(prefix.astype(np.int64)), pa.array(n)], ["prefix", "n"])
 
@@ -89,18 +106,23 @@ def remove_repeats(docs: DataFrame, window: int = 20, carried=("doc_id",), keep_
     chunks, _ = exchange.in_chunks(docs, list(carried))
 
     def keys_of(texts):
-        keys, within, _ = _keys(texts, window)
-        return np.unique(keys[within]), None
+        keys, within, _, words = _keys(texts, window)
+        keys, second = keys[within], second_hashes(words, window)[within]
+        order, new = distinct(keys, second)
+        return keys[order[new]], second[order[new]]
 
-    def repeated(keys, _):
-        return np.append(False, keys[1:] == keys[:-1])[:len(keys)], True
+    def repeated(keys, second):
+        order, new = distinct(keys, second)
+        found = np.empty(len(keys), bool)
+        found[order] = ~new
+        return found, True
 
     def apply(texts, earlier):
-        keys, within, counts = _keys(texts, window)
+        keys, within, counts, words = _keys(texts, window)
         at = np.flatnonzero(within)
-        _, first, back = np.unique(keys[at], return_index=True, return_inverse=True)
-        marked = earlier[back].astype(bool)
-        marked |= first[back] != np.arange(len(at))
+        order, new = distinct(keys[at], second_hashes(words, window)[at])
+        marked = np.empty(len(at), bool)
+        marked[order] = earlier[np.cumsum(new) - 1].astype(bool) | ~new
         change = np.zeros(counts.sum() + 1, np.int64)
         np.add.at(change, at[marked], 1)
         np.add.at(change, at[marked] + window, -1)

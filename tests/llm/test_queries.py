@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyfold.llm import backoff, caps, exchange, innerproducts, languages, packing, queries, secrets, sentencepieces, sharding, simhash
+from tallyfold.llm import backoff, caps, exchange, innerproducts, languages, packing, queries, secrets, sentencepieces, sharding, simhash, substrings
 from tallyfold.llm.common import components, local_components
 
 SMALL = "/root/testdata/sf0.001"
@@ -198,6 +198,20 @@ def test_substrings_are_removed_once(spark, folder, docs):
     assert sum(e[2] for e in expected) > 30_000
 
 
+def test_windows_that_share_bits_are_no_repeats(spark):
+    """The two windows agreed in all 64 bits of the former keys."""
+    head = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{head} x768533"), (2, f"{head} x1087012"), (3, f"{head} x1087012")]
+    found = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.n_removed for r in found.select("carried.doc_id", "n_removed").collect()} == {1: 0, 2: 0, 3: 20}
+
+
+def test_equal_keys_are_told_apart_by_the_second_hash():
+    keys, second = np.array([5, 5, 3, 5, 3], np.uint64), np.array([1, 2, 7, 1, 7], np.uint64)
+    order, new = substrings.distinct(keys, second)
+    assert order.tolist() == [2, 4, 0, 3, 1] and new.tolist() == [True, False, True, False, True]
+
+
 def test_sentencepiece_equals_the_library(spark, folder, docs):
     import sentencepiece
 
