@@ -3,15 +3,18 @@
 Base spans are the matches of three fixed patterns. The method adds spans: over every token of at
 least `WINDOW` characters a window slides; its character counts change by the entering and the
 leaving character, and with them the sum of c * log2(c), from which the Shannon entropy follows. Each
-class of characters (hexadecimal, base64) has its own limit; the span reaches from the first window
-at or above it to the end of the last. Tokens on the allow-list add nothing, nor do spans within a
-base span. Base spans always stay.
+class of characters (hexadecimal, base64, letters only) has its own limit; the span reaches from the
+first window at or above it to the end of the last. Tokens are the longest runs of base64 characters,
+and besides those of hexadecimal digits, wherever they stand, so that no prefix changes the class;
+an equals sign ends a token. Tokens on the allow-list add nothing, nor do spans within a base span.
+Base spans always stay.
 
 Cases: a null text counts as empty; an empty one has no spans; texts are read whole; places count
 code points; a text with the same secret twice has two spans; repeated rows are scanned each; other
 columns are not read.
 """
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -26,13 +29,19 @@ ASSIGNED = 12
 
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
 WINDOW = 20
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"
+HEX_TOKEN = r"(?<![0-9a-fA-F])[0-9a-fA-F]{20,}"
 #: Entropy limits in bits a character; the most that a window of 20 can have is 4 and 4.32.
-LIMITS = {"entropy_hex": 3.0, "entropy_base64": 3.7}
-#: Tokens that look random and are none: words, numbers and dates, identifiers of the UUID form,
-#: runs of one or two characters, well-known samples, parts of addresses and paths.
+LIMITS = {"entropy_hex": 3.0, "entropy_base64": 3.7, "letters": 3.3}
+#: Tokens of letters are words, unless two pairs of letters that words hardly have, or two small
+#: letters alone among capitals, stand close together.
+LETTERS = r"^[A-Za-z_/=+-]+$"
+_RARE = (r"(?:[jq][b-df-hj-np-tv-z]|v[b-df-hj-kmnp-qtv-xz]|x[bdfgj-nrsvwxz]|hh|[bfghkmpwyz]q|[cfghkmpwyz]j|[bcdfghkmpwz]x"
+         r"|[cpwy]v|c[bdfgmnpwz]|p[bcdgkmwz]|w[bcfgmpz]|[fgk]z|[hkg]c)")
+UNLIKE_WORDS = (rf"(?i){_RARE}.{{0,40}}{_RARE}", r"[A-Z][a-z](?=[A-Z]).{0,12}[A-Z][a-z](?=[A-Z])")
+#: Tokens that look random and are none: numbers and dates, identifiers of the UUID form, runs of one
+#: or two characters, well-known samples.
 ALLOWED = (
-    r"^[A-Za-z_/=+-]+$",
     r"^[0-9_/=+-]+$",
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
     r"^(.{1,2})\1+$",
@@ -70,7 +79,8 @@ def _random_span(token: Column) -> Column:
     """The part of a token's span that windows at or above the entropy limit cover; null if there are none."""
     word = token["word"]
     hexadecimal = word.rlike("^[0-9a-fA-F]+$")
-    limit = F.when(hexadecimal, LIMITS["entropy_hex"]).otherwise(LIMITS["entropy_base64"])
+    limit = F.when(hexadecimal, LIMITS["entropy_hex"]).when(word.rlike(LETTERS), LIMITS["letters"]).otherwise(
+        LIMITS["entropy_base64"])
     weights = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(WINDOW + 1)])
 
     def changed(state, code, by):
@@ -120,10 +130,17 @@ def scan(docs: DataFrame, carried=("doc_id",)) -> DataFrame:
     rows = rows.select(
         "carried", "text",
         F.array_sort(F.concat(_matches(text, ASSIGN, 0, ASSIGNED), _matches(text, ACCESS, 1), _matches(text, HEX, 2))).alias("base"),
-        _matches(text, TOKEN, -1).alias("tokens"))
-    suspect = F.filter("tokens", lambda t: ~F.reduce(
-        F.array(*[t["word"].rlike(p) for p in ALLOWED]), F.lit(False), lambda a, b: a | b))
-    rows = rows.withColumn("tokens", suspect)
+        _matches(text, TOKEN, -1).alias("tokens"), _matches(text, HEX_TOKEN, -1).alias("hex_tokens"))
+    # Those of hexadecimal digits only are among the others.
+    tokens = F.concat(F.filter("tokens", lambda t: ~t["word"].rlike("^[0-9a-fA-F]+$")), "hex_tokens")
+
+    def allowed(token):
+        found = [token["word"].rlike(p) for p in ALLOWED]
+        unlike = [token["word"].rlike(p) for p in UNLIKE_WORDS]
+        words = token["word"].rlike(LETTERS) & ~functools.reduce(Column.__or__, unlike)
+        return functools.reduce(Column.__or__, found, words)
+
+    rows = rows.withColumn("tokens", F.filter(tokens, lambda t: ~allowed(t)))
     rows = rows.withColumn("more", F.filter(F.transform("tokens", _random_span), lambda s: s.isNotNull()))
     fresh = F.filter("more", lambda s: ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
     rows = rows.withColumn("spans", F.array_sort(F.concat("base", fresh)))

@@ -259,6 +259,28 @@ def test_secrets_have_their_places(spark, folder, docs):
     assert clean == "key [secret] and [secret] and Donaudampfschifffahrtsgesellschaft"
 
 
+def test_secrets_behind_prefixes_and_of_letters(spark):
+    rng = random.Random(11)
+    upper, mixed = "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    cases = [(p, "".join(rng.choice(a) for _ in range(n))) for a, n, p in
+             [(upper, 32, "id="), (upper, 40, "key/"), (upper, 32, "SIGNING_KEY="), (upper, 32, "x_"), (mixed, 40, "k: "),
+              (mixed.lower(), 40, "k: ")] for _ in range(40)]
+    rows = [(k, f"so {p}{s} ist es") for k, (p, s) in enumerate(cases)]
+    found = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).select("carried.doc_id", "text", "spans").collect()
+    kept = collections.defaultdict(list)
+    for r in found:
+        prefix, secret = cases[r.doc_id]
+        at = r.text.index(secret)
+        hidden = {x for s in r.spans for x in range(s.start, s.end)}
+        kept[prefix, len(secret), secret.islower()].append(sum(x not in hidden for x in range(at, at + len(secret))))
+    for k, v in kept.items():
+        assert sum(n >= 8 for n in v) <= 2, (k, v)
+    words = ["Rindfleischetikettierungsaufgabe", "the-quick-brown-fox-jumps-over", "usr/share/doc/packages/readme",
+             "XMLHttpRequestFactoryBuilder", "internationalizationframework", "getElementsByTagNameAndClass", "Weltkulturerbestaetten"]
+    plain = secrets.scan(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")).first()
+    assert plain.spans == []
+
+
 def test_entropy_of_windows(spark):
     """The incremental counts give the entropy of every window."""
     rng = random.Random(5)
