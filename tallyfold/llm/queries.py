@@ -3,7 +3,10 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallyfold.llm import backoff, caps, innerproducts, languages, packing, secrets, sentencepieces, sharding, simhash, substrings
+from tallyfold.llm import (
+    backoff, caps, collocations, innerproducts, languages, packing, quality, secrets, sentencepieces, sharding, simhash,
+    substrings, whitening)
+from tallyfold.llm.common import written
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -74,6 +77,24 @@ def language_id(spark, sf_dir):
     return found.select("doc_id", languages.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def collocation_mining(spark, sf_dir):
+    return collocations.mine(table(spark, sf_dir, "documents"), least=30, best=2000, share=80)
+
+
+def embedding_whitening(spark, sf_dir):
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), 8)
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+def quality_classifier(spark, sf_dir):
+    rows = written(quality.described(table(spark, sf_dir, "documents")))
+    labels = table(spark, sf_dir, "labels")
+    model = quality.learn(quality.labelled(rows, labels, "quality", ~quality.held_out()))
+    found = quality.scores(rows, model)
+    return found.select("doc_id", quality.held_out().alias("held_out"), "score",
+                        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 QUERIES = {
     "op1_spherical_caps": near_vectors,
     "op2_balanced_shards": balanced_shards,
@@ -85,6 +106,9 @@ QUERIES = {
     "op8_secret_scan": secret_scan,
     "op9_best_fit_packing": best_fit_packing,
     "op10_language_id": language_id,
+    "op11_collocations": collocation_mining,
+    "op12_whitening": embedding_whitening,
+    "op13_quality_classifier": quality_classifier,
 }
 #: Words are those of whole texts, A to Z lower-cased; counts are over all documents.
 BACKOFF_SQL = """
@@ -166,5 +190,37 @@ SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(c
 FROM words LEFT JOIN texts USING (doc_id)
 """
 
-ORACLE_SQL = {"op1_spherical_caps": NEAR_VECTORS_SQL, "op6_substring_dedup": REPEATS_SQL,
+COLLOCATIONS_SQL = """
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.,;:!?\\x0A-\\x0D]')) AS piece
+    FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+found AS (
+    SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, m, count(*) AS f
+    FROM words, unnest(range(1, 5)) AS s(m), unnest(range(1, len(w) - m + 2)) AS t(i)
+    GROUP BY ALL HAVING count(*) >= 30),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+split AS (SELECT lang, phrase, m, f AS a, string_split(phrase, ' ') AS w FROM found WHERE m > 1),
+cuts AS (
+    SELECT s.lang, s.phrase, s.a, k, h.f AS l, r.f AS r,
+           ((2000000::HUGEINT * s.a) // (h.f::HUGEINT + r.f))::BIGINT AS score
+    FROM split AS s, unnest(range(1, s.m)) AS t(k)
+    JOIN found AS h ON h.lang = s.lang AND h.phrase = array_to_string(s.w[1:k], ' ')
+    JOIN found AS r ON r.lang = s.lang AND r.phrase = array_to_string(s.w[k + 1:s.m], ' ')),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_phrases AS (
+    SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, max(a) AS longer
+    FROM split, unnest(range(2, m)) AS s(k), unnest(range(1, m - k + 2)) AS t(i) GROUP BY ALL),
+kept AS (
+    SELECT c.* FROM lowest AS c LEFT JOIN inner_phrases AS i USING (lang, phrase)
+    WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+       phrase, a, l, r, n, score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
+ORACLE_SQL = {"op11_collocations": COLLOCATIONS_SQL,
+              "op1_spherical_caps": NEAR_VECTORS_SQL, "op6_substring_dedup": REPEATS_SQL,
               "op3_top_inner_products": TOP_SQL, "op4_stupid_backoff": BACKOFF_SQL}
