@@ -19,7 +19,7 @@ paired, so that no task gets a crowded filter. A pair is counted in the first of
 shares. A task gives the number of links of each entry and links that span what is connected.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing and
-are components of their own; so do vectors of another length than most; rows without an id take no
+are components of their own; vectors link with those of their own length; rows without an id take no
 part in links and have no component; rows of one id are rows of their own; other columns are not read.
 """
 
@@ -99,15 +99,29 @@ def _unit(column, width: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row, the smallest number that both sorted rows hold (-1: filling)."""
-    both = np.sort(np.concatenate([a, b], 1), 1)
-    same = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] >= 0)
-    return both[np.arange(len(both)), same.argmax(1)]
-
-
-def _verified(filters, x, name, side, crossing, limit):
-    """Pairs of positions in one filter's block pair at or above the limit, counted here."""
+def _met_before(row, name, a, b) -> np.ndarray:
+    """Which pairs (a, b) of positions share one of the filters given as (row, name)."""
+    rows = np.unique(np.concatenate([a, b]))
+    place = np.searchsorted(rows, row)
+    own = (place < len(rows)) & (rows[np.minimum(place, len(rows) - 1)] == row)
+    place, name = place[own], name[own]
+    _, name, times = np.unique(name, return_inverse=True, return_counts=True)
+    common = times > 1
+    place, name = place[common[name]], (np.cumsum(common) - 1)[name[common[name]]]
+    met = np.zeros((len(rows), len(rows)), bool)
+    for start in range(0, int(common.sum()), 4096):
+        part = (name >= start) & (name < start + 4096)
+        holds = np.zeros((len(rows), 4096), np.float32)
+        holds[place[part], name[part] - start] = 1
+        met |= holds @ holds.T > 0
+    return met[np.searchsorted(rows, a), np.searchsorted(rows, b)]
+
+
+def _verified(row, name, here, x, side, crossing, limit):
+    """Pairs of positions in one filter's block pair at or above the limit, counted here.
+
+    (row, name) are the filters that each position passes; a pair is counted in its first.
+    """
     if crossing:
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         a, b = np.nonzero(x[left] @ x[right].T >= limit)
@@ -115,8 +129,8 @@ def _verified(filters, x, name, side, crossing, limit):
     else:
         a, b = np.nonzero(np.triu(x @ x.T >= limit, 1))
     if len(a):
-        first = np.concatenate([_first_shared(filters[a[k:k + 20_000]], filters[b[k:k + 20_000]])
-                                for k in range(0, len(a), 20_000)]) == name
+        below = name < here
+        first = ~_met_before(row[below], name[below], a, b)
         a, b = a[first], b[first]
     return a, b
 
@@ -181,11 +195,8 @@ def links(vectors: DataFrame, width: int, count: int, limit: float) -> DataFrame
             left, right = [], []
             for lo, hi in runs:
                 own = slice(lo, hi)
-                longest = sizes[own].max()
-                place = np.arange(longest)[None, :]
-                filled = place < sizes[own][:, None]
-                padded = np.where(filled, flat[np.minimum(starts[own][:, None] + place, len(flat) - 1)], -1)
-                a, b = _verified(padded, x[own], names[lo], side[own], crossing[lo], limit)
+                row = np.repeat(np.arange(hi - lo), sizes[own])
+                a, b = _verified(row, flat[starts[lo]:starts[lo] + sizes[own].sum()], names[lo], x[own], side[own], crossing[lo], limit)
                 left.append(a + lo)
                 right.append(b + lo)
             a, b = np.concatenate(left), np.concatenate(right)
@@ -206,11 +217,14 @@ def near_duplicates(embeddings: DataFrame, limit: float = 0.9) -> DataFrame:
     x = F.col("x")
     fine = (F.col("vec_id").isNotNull() & (F.size("x") > 0) & F.exists("x", lambda v: v != 0)
             & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
-    widths = rows.where(fine).groupBy(F.size("x").alias("w")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(1).collect()
-    width = widths[0].w if widths else 0
-    rows = cut(rows.select("vec_id", F.when(fine & (F.size("x") == width), F.col("x")).alias("x")))
+    rows = cut(rows.select("vec_id", F.when(fine, F.col("x")).alias("x")))
     classes = cut(rows.where("x IS NOT NULL").groupBy("x").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")))
-    found = cut(links(classes.select("id", "weight", "x"), width, classes.count(), limit)) if width else None
+    found = None
+    # Vectors of each length have filters of their own.
+    for r in classes.groupBy(F.size("x").alias("width")).agg(F.count("*").alias("n")).where("n > 1").orderBy("width").collect():
+        own = classes.where(F.size("x") == r["width"]).select("id", "weight", "x")
+        one = cut(links(own, r["width"], r["n"], limit))
+        found = one if found is None else found.union(one)
     if found is None:
         named = classes.select("x", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     else:

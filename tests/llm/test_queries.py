@@ -99,6 +99,25 @@ def test_caps_find_all_links(spark, folder):
         assert r.kept == (None if r.vec_id is None else r.vec_id == r.component_id)
 
 
+def test_caps_link_vectors_of_every_length_and_large_clusters(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for width, clusters, size in ((24, 30, 12), (5, 6, 10), (24, 1, 400)):
+        for _ in range(clusters):
+            centre = rng.normal(size=width)
+            rows += [(len(rows) + k, (centre + 0.04 * rng.normal(size=width)).tolist()) for k in range(size)]
+    rows.append((len(rows), [1.0]))
+    found = {r.vec_id: r for r in caps.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    for width in (24, 5, 1):
+        ids = np.array([i for i, v in rows if len(v) == width])
+        x = np.array([v for _, v in rows if len(v) == width])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        a, b = np.nonzero(np.triu(x @ x.T >= 0.9, 1))
+        n = np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
+        component = ids[local_components(len(ids), a, b)]
+        assert [(found[i].n_links, found[i].component_id) for i in ids.tolist()] == list(zip(n.tolist(), component.tolist()))
+
+
 def test_shards_are_even_and_keep_groups(spark, folder, docs):
     found = rows_of(spark, folder, "op2")
     same([(r.doc_id, r["size"], r.text_crc32) for r in found],
@@ -365,6 +384,7 @@ def test_without_labels_the_pipeline_keeps_texts(spark, tmp_path):
 def test_empty_tables(spark, tmp_path, name):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert queries.QUERIES[name](spark, str(tmp_path)).collect() == []
 
 
