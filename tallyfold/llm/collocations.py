@@ -33,8 +33,11 @@ from tallyfold.llm.common import written
 
 LONGEST = 4
 #: Bits of a bitmap, 4 MB whatever the corpus; phrases of a shard; bytes of text and hashes handled at once.
-BITMAP, SHARD, STRETCH, HELD = 25, 500_000, 2 << 20, 4_000_000
+BITMAP, SHARD, STRETCH, HELD = 25, 250_000, 2 << 20, 4_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Words of more bytes are hashed one by one; masks of the first 0 to 8 letters.
+LONG_WORD = 256
+_LETTERS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def _classes() -> tuple[np.ndarray, np.ndarray]:
@@ -102,20 +105,24 @@ def _words(data, ends, langs, lang_of):
 
 
 def _hashes(words, langs, lang_at) -> np.ndarray:
-    """A hash of each position's word and language: sums of letters by powers of an odd number, then mixed."""
+    """A hash of each position's word and language: eight letters of all words at a time."""
     offsets = np.frombuffer(words.buffers()[1], np.int64)
-    letters = np.frombuffer(words.buffers()[2], np.uint8)
-    h = np.empty(len(words), np.uint64)
-    powers = np.cumprod(np.full(int(np.diff(offsets).max()), _MIX))
-    at = 0
-    while at < len(words):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + STRETCH, "right")) - 1)
-        own = offsets[at:to] - offsets[at]
-        place = np.arange(offsets[to] - offsets[at]) - np.repeat(own, np.diff(offsets[at:to + 1]))
-        h[at:to] = np.add.reduceat((letters[offsets[at]:offsets[to]] + np.uint64(1)) * powers[place], own)
-        at = to
+    letters = np.append(np.frombuffer(words.buffers()[2], np.uint8), np.zeros(8, np.uint8))
+    eights = np.ndarray(len(letters) - 7, "<u8", letters, strides=(1,))
+    at, sizes = offsets[:-1].copy(), np.diff(offsets)
+    long = np.flatnonzero(sizes > LONG_WORD)
+    h = sizes.astype(np.uint64)
+    live = np.flatnonzero(sizes <= LONG_WORD)
+    while len(live):
+        left = sizes[live]
+        h[live] = _mixed(h[live] ^ (eights[at[live]] & _LETTERS[np.minimum(left, 8)]))
+        at[live] += 8
+        sizes[live] -= 8
+        live = live[left > 8]
+    for i in long:
+        h[i] = xxhash.xxh64_intdigest(words[int(i)].as_py())
     by = np.array([xxhash.xxh64_intdigest(x, 1) for x in langs.to_pylist()], np.uint64)
-    return _mixed(_mixed(h) ^ by[lang_at])
+    return _mixed(h ^ by[lang_at])
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -183,9 +190,9 @@ def _bitmap(hashes: DataFrame) -> np.ndarray:
     slot = F.shiftrightunsigned("h", 64 - BITMAP)
     words = hashes.groupBy(F.shiftright(slot, 6).alias("w")).agg(
         F.bit_or(F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(h, {64 - BITMAP}) & 63 AS INT))")).alias("bits"))
-    found = words.toPandas()
+    found = words.toArrow()
     bitmap = np.zeros(1 << (BITMAP - 6), np.int64)
-    bitmap[found["w"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    bitmap[found["w"].to_numpy()] = found["bits"].to_numpy()
     return bitmap.view(np.uint8)
 
 
@@ -216,40 +223,34 @@ def candidates(docs: DataFrame, tables: list, bitmaps: list) -> DataFrame:
 class Trie:
     """A double-array trie: from state s by word c to base[s] + c, if check there names s.
 
-    Places 0 to len(langs) - 1 are the languages' roots. number[t] is the phrase that ends in t, else -1.
+    Places 0 to len(langs) - 1 are the languages' roots, the last place is one that no state leads to.
+    number[t] is the phrase that ends in t, else -1.
     """
 
-    def __init__(self, langs: list, phrases: list):
-        self.langs = pa.array(sorted(set(langs)), pa.string())
-        place = {x: i for i, x in enumerate(self.langs.to_pylist())}
-        split = [p.split(b" ") for p in phrases]
-        self.words = pa.array(sorted({w for p in split for w in p}), pa.large_binary())
-        code = {w: i for i, w in enumerate(self.words.to_pylist())}
-        width, roots = len(code), len(place)
-        sizes = np.array([len(p) for p in split])
-        coded = np.full((len(split), LONGEST), -1, np.int64)
-        for i, p in enumerate(split):
-            coded[i, :len(p)] = [code[w] for w in p]
-        total = roots + sum(len(p) for p in split)
-        self.base = np.zeros(3 * total + 2 * width + 1, np.int64)
-        self.check = np.full(len(self.base), -1, np.int64)
-        self.number = np.full(len(self.base), -1, np.int64)
-        self.check[:roots] = len(self.base)
-        state = np.array([place[x] for x in langs], np.int64)
+    def __init__(self, langs: pa.Array, phrases: pa.Array):
+        coded = langs.dictionary_encode()
+        self.langs, state = coded.dictionary, coded.indices.to_numpy()
+        split = pc.split_pattern(phrases.cast(pa.large_binary()), b" ")
+        sizes = np.diff(split.offsets.to_numpy())
+        words = split.flatten().dictionary_encode()
+        self.words = words.dictionary
+        codes = np.full((len(sizes), LONGEST), -1, np.int64)
+        codes[np.arange(LONGEST) < sizes[:, None]] = words.indices.to_numpy()
+        room = len(self.langs) + 2 * int(sizes.sum()) + 2 * len(self.words) + 1
+        self.base, self.check, self.number = (np.full(room, x, np.int32) for x in (0, -1, -1))
+        self.check[:len(self.langs)] = np.iinfo(np.int32).max
+        state = state.astype(np.int64)
         rng = np.random.default_rng(11)
         for level in range(LONGEST):
             live = np.flatnonzero(sizes > level)
             if not len(live):
                 break
-            pairs, inverse = np.unique(np.stack([state[live], coded[live, level]]), axis=1, return_inverse=True)
-            self._place(pairs[0], pairs[1], rng)
-            target = self.base[pairs[0]] + pairs[1]
-            state[live] = target[inverse.reshape(-1)]
+            pairs, inverse = np.unique(state[live] << 32 | codes[live, level], return_inverse=True)
+            parents, own = pairs >> 32, pairs & 0xFFFFFFFF
+            self._place(parents, own, rng)
+            state[live] = (self.base[parents] + own)[inverse]
             ends = live[sizes[live] == level + 1]
             self.number[state[ends]] = ends
-        # Past the end there is one place that no state leads to.
-        self.check[-1] = -1
-        self.base, self.check, self.number = (x.astype(np.int32) for x in (self.base, self.check, self.number))
 
     def _place(self, parents, codes, rng):
         """Gives every parent a base at which all its children's places are free: the largest families first."""
@@ -280,9 +281,8 @@ class Trie:
         self.check[free] = parents[alone]
 
     def _grow(self, more: int):
-        self.base = np.append(self.base, np.zeros(more, np.int64))
-        self.check = np.append(self.check, np.full(more, -1))
-        self.number = np.append(self.number, np.full(more, -1))
+        for name, x in (("base", 0), ("check", -1), ("number", -1)):
+            setattr(self, name, np.append(getattr(self, name), np.full(more, x, np.int32)))
 
     def _step(self, state, code):
         last = len(self.check) - 1
@@ -309,14 +309,18 @@ class Trie:
 def counted(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(lang, phrase, size, f): how often each phrase of found occurs in docs."""
     shards = max(1, -(-found.count() // SHARD))
-    found = found.withColumn("shard", F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)))
+    shard = F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards))
+    # Written, the numbers stand; the tasks count by them.
+    found = written(found.select("lang", "phrase", "size", shard.alias("shard"), F.monotonically_increasing_id().alias("id")))
     total = None
-    for shard in range(shards):
-        own = found.where(F.col("shard") == shard).toPandas()
+    for k in range(shards):
+        own = found.where(F.col("shard") == k).select("lang", "phrase", "id").toArrow().combine_chunks()
         if not len(own):
             continue
-        trie = docs.sparkSession.sparkContext.broadcast(Trie(own["lang"].tolist(), [bytes(p) for p in own["phrase"]]))
-        langs, phrases = own["lang"].to_numpy(), own["phrase"].to_numpy()
+        lang, phrase = (own[c].chunk(0) for c in ("lang", "phrase"))
+        trie = Trie(lang, phrase)
+        trie.number = np.where(trie.number >= 0, own["id"].to_numpy()[trie.number], -1)
+        trie = docs.sparkSession.sparkContext.broadcast(trie)
 
         def run(batches, trie=trie):
             bins = None
@@ -327,20 +331,14 @@ def counted(docs: DataFrame, found: DataFrame) -> DataFrame:
             if bins is not None:
                 number = trie.value.number
                 at = np.flatnonzero((number >= 0) & (bins > 0))
-                yield pa.RecordBatch.from_pydict({"number": pa.array(number[at], pa.int32()), "n": pa.array(bins[at])})
-
-        sums = docs.mapInArrow(run, "number int, n long").groupBy("number").agg(F.sum("n").alias("f")).toPandas()
-        # At most a shard's phrases; they leave the driver at once for the shared folder.
-        at = sums["number"].to_numpy()
-        rows = pa.Table.from_pydict({
-            "lang": pa.array(langs[at], pa.string()), "phrase": pa.array([bytes(p).decode("utf-8", "replace") for p in phrases[at]]),
-            "f": pa.array(sums["f"].to_numpy(), pa.int64())})
-        part = written(docs.sparkSession.createDataFrame(rows))
-        total = part if total is None else total.union(part)
+                yield pa.RecordBatch.from_pydict({"id": pa.array(number[at], pa.int64()), "n": pa.array(bins[at])})
+
+        sums = written(docs.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("f")))
         trie.destroy()
+        total = sums if total is None else total.union(sums)
     if total is None:
-        return docs.sparkSession.createDataFrame([], "lang string, phrase string, f long, size int")
-    return total.withColumn("size", F.size(F.split("phrase", " ")))
+        total = found.select("id", F.lit(0).cast("long").alias("f"))
+    return found.join(total, "id").select("lang", F.col("phrase").cast("string").alias("phrase"), "size", "f")
 
 
 def mine(docs: DataFrame, least: int = 30, best: int = 2000, share: int = 80) -> DataFrame:

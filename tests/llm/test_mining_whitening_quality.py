@@ -104,7 +104,7 @@ def test_trie_counts_what_it_holds():
     rng = random.Random(5)
     words = [f"w{i}".encode() for i in range(40)]
     phrases = sorted({(rng.choice("ab"), b" ".join(rng.choice(words) for _ in range(rng.randint(1, 4)))) for _ in range(4000)})
-    trie = collocations.Trie([x for x, _ in phrases], [p for _, p in phrases])
+    trie = collocations.Trie(pa.array([x for x, _ in phrases]), pa.array([p for _, p in phrases]))
     texts = [" ".join(rng.choice(words).decode() for _ in range(3000)) for _ in range(4)]
     batch = pa.RecordBatch.from_pydict({"text": texts, "lang": ["a", "b", "a", "c"]})
     bins = sum(trie.bins(s) for s in collocations.stretches(batch))
