@@ -254,9 +254,13 @@ def reason_codes(fields: DataFrame, low: float = 0.8) -> DataFrame:
 
 
 def reusable(files: DataFrame, results: DataFrame, version: str) -> DataFrame:
-    """Files and the earlier result of the same bytes by the same model, where there is one."""
-    newest = results.where(F.col("model") == version).groupBy("sha256").agg(F.max("result_id").alias("result_id"))
-    return attach(files, newest, ["sha256"])
+    """Files and their tenant's earlier result of the same bytes by the same model, where there is one.
+
+    Results never cross tenants, however equal the bytes.
+    """
+    own = ["org_id", "sha256"]
+    newest = results.where(F.col("model") == version).groupBy(*own).agg(F.max("result_id").alias("result_id"))
+    return attach(files, newest, own)
 
 
 def account_changes(sheets: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import checks, records
+from ..operators import checks, records, recompute, scoring, versions
+from ..session import shared_folder
 from . import bindings as b
 from .catalog import query
-from .oracle import _AMOUNTS, _SQL, _SUMS, _total_checks, _with
+from .oracle import _AMOUNTS, _DECIDES, _SCORED, _SQL, _SUMS, _all_checks, _total_checks, _with
 
 CURRENCIES = ("EUR", "GBP", "CHF")
 NEEDED = {"DE": ("supplier_name", "invoice_number", "invoice_date", "iban"), "NL": ("supplier_name", "iban"),
@@ -298,14 +299,15 @@ SELECT * FROM (SELECT invoice_id, field, concat_ws(',', CASE WHEN confidence = 0
 
 @query
 def cached_results(v):
-    docs = v["documents"].select("doc_id", F.sha2("text", 256).alias("sha256"))
-    results = docs.select("sha256", F.col("doc_id").alias("result_id"), F.when(
+    docs = v["documents"].select("doc_id", (F.col("doc_id") % 3).alias("org_id"), F.sha2("text", 256).alias("sha256"))
+    results = docs.select("org_id", "sha256", F.col("doc_id").alias("result_id"), F.when(
         F.col("doc_id") % 4 == 0, "m2").otherwise("m1").alias("model"))
     return records.reusable(docs, results, "m2")
 
 
 _SQL["cached_results"] = """
-SELECT doc_id, sha256(text) AS sha256, max(CASE WHEN doc_id % 4 = 0 THEN doc_id END) OVER (PARTITION BY text) AS result_id
+SELECT doc_id, doc_id % 3 AS org_id, sha256(text) AS sha256,
+       max(CASE WHEN doc_id % 4 = 0 THEN doc_id END) OVER (PARTITION BY text, doc_id % 3) AS result_id
 FROM documents"""
 
 
@@ -331,3 +333,48 @@ _SQL["audit_log_view"] = _with(("v_jobs",)) + """
 SELECT org_id, job_id AS event_id, 'stage.' || stage AS action FROM v_jobs
 WHERE stage = 'extract' AND created_at >= TIMESTAMP '2024-01-02'"""
 
+
+
+# Corrections arrive in two lots, before and after this time.
+_LOT = "2024-01-16 00:00:00"
+
+
+@query
+def recomputed_invoices(v):
+    store = versions.Versions(v.spark, shared_folder(v.spark, "versions"), span=1000)
+    reading = scoring.reading_confidence(v.blocks())
+    invoices = v["v_invoices"].select("invoice_id", "org_id", "status").join(reading, "invoice_id", "left")
+    recompute.begin(store, invoices, v.stored_fields(), v.lines(numbered=True), v["v_orgs"])
+    later = F.col("created_at") >= F.lit(_LOT).cast("timestamp")
+    for version, lot in enumerate((~later, later), 1):
+        recompute.recompute(store, v["v_corrections"].where(lot), v["v_orgs"], version)
+    return store.newest("invoices").select(
+        "invoice_id", "status", "score", "min_money_conf", F.col("_version").cast("int").alias("version"))
+
+
+_NEWEST_SQL = """newest AS (SELECT invoice_id, field, arg_max(new_value, (created_at, correction_id)) AS new_value,
+  max(CASE WHEN created_at >= TIMESTAMP '{lot}' THEN 2 ELSE 1 END) AS version
+  FROM v_corrections WHERE invoice_id IN (SELECT invoice_id FROM v_invoices) GROUP BY ALL)""".format(lot=_LOT)
+_SQL["recomputed_invoices"] = _with(
+    ("v_field_sheet", "v_corrections", "v_line_items", "v_sheets", "v_orgs", "v_invoices"), b.stored_fields_sql(), _NEWEST_SQL,
+    """c_fields AS (SELECT coalesce(f.invoice_id, n.invoice_id) AS invoice_id, coalesce(f.field, n.field) AS field,
+  coalesce(new_value, value) AS value, CASE WHEN new_value IS NULL THEN numeric
+    WHEN coalesce(f.field, n.field) = 'total' THEN CAST(replace(new_value, 'new ', '') AS DOUBLE) END AS numeric,
+  CASE WHEN new_value IS NULL THEN confidence ELSE 1 END AS confidence
+  FROM v_fields f FULL JOIN newest n ON f.invoice_id = n.invoice_id AND f.field = n.field)""",
+    """p_invoices AS (SELECT i.invoice_id,
+CAST(max(CASE WHEN field = 'subtotal' THEN numeric END) AS DECIMAL(18,4)) AS subtotal,
+CAST(max(CASE WHEN field = 'total_vat' THEN numeric END) AS DECIMAL(18,4)) AS total_vat,
+CAST(NULL AS DECIMAL(18,4)) AS shipping, CAST(NULL AS DECIMAL(18,4)) AS other,
+CAST(max(CASE WHEN field = 'total' THEN numeric END) AS DECIMAL(18,4)) AS total,
+max(CASE WHEN field = 'iban' THEN value END) AS iban, max(CASE WHEN field = 'supplier_vat' THEN value END) AS supplier_vat
+FROM v_invoices i LEFT JOIN c_fields c ON c.invoice_id = i.invoice_id GROUP BY i.invoice_id)""",
+    _AMOUNTS, _SUMS, _all_checks(True).replace("v_checked", "p_invoices"),
+    f"""judged_fields AS (SELECT f.*, i.org_id, c.status AS validator_status FROM c_fields f JOIN v_invoices i USING (invoice_id)
+LEFT JOIN all_checks c ON c.invoice_id = f.invoice_id AND c.check_name = {_DECIDES})""",
+    _SCORED,
+    "gate AS (" + _SQL["document_gate"].split(_SCORED)[1] + ")",
+    "lots AS (SELECT invoice_id, max(version) AS version FROM newest GROUP BY invoice_id)",
+) + """
+SELECT invoice_id, status, score, min_money_conf, CAST(coalesce(version, 0) AS INT) AS version
+FROM gate LEFT JOIN lots USING (invoice_id)"""
