@@ -2,11 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import checks, records, recompute, scoring, versions
+from ..operators import checks, records, recompute, scoring, search, versions
 from ..session import shared_folder
 from . import bindings as b
-from .catalog import query
-from .oracle import _AMOUNTS, _DECIDES, _SCORED, _SQL, _SUMS, _all_checks, _total_checks, _with
+from .catalog import COUNTRIES, _deciding_checks, query
+from .oracle import (
+    _AMOUNTS, _DECIDES, _FIELD_CTES, _FIELD_VIEWS, _SCORED, _SQL, _SUMS, _all_checks, _parsed_search, _total_checks, _with)
 
 CURRENCIES = ("EUR", "GBP", "CHF")
 NEEDED = {"DE": ("supplier_name", "invoice_number", "invoice_date", "iban"), "NL": ("supplier_name", "iban"),
@@ -378,3 +379,73 @@ LEFT JOIN all_checks c ON c.invoice_id = f.invoice_id AND c.check_name = {_DECID
 ) + """
 SELECT invoice_id, status, score, min_money_conf, CAST(coalesce(version, 0) AS INT) AS version
 FROM gate LEFT JOIN lots USING (invoice_id)"""
+
+
+@query
+def search_indexed(v):
+    store = shared_folder(v.spark, "index")
+    checks.apply_to_fields(v.stored_fields(), _deciding_checks(v)).drop("validator_detail").write.parquet(f"{store}/fields")
+    judged = v.spark.read.parquet(f"{store}/fields")
+    parsed = search.parse_search(v["v_saved_searches"], COUNTRIES, b.FIELD_NAMES).withColumns({
+        "max_confidence": F.when(F.col("query_id") % 4 == 1, 0.9),
+        "validation_status": F.when(F.col("query_id") % 7 == 3, "fail").when(F.col("query_id") % 7 == 4, "pass"),
+        "text_query": F.when(F.col("query_id") % 5 == 2, "kg 1").otherwise(F.col("text_query"))})
+    index = search.index_fields(judged, store)
+    found = search.search_fields(judged, parsed, index=index)
+    return found.select("query_id", "rank", "invoice_id", "field", F.col("value.value").alias("value"), "confidence", "validator_status")
+
+
+_SQL["search_indexed"] = _with(
+    _FIELD_VIEWS + ("v_saved_searches",), *_FIELD_CTES, f"""asked AS (SELECT * REPLACE (
+  CASE WHEN query_id % 5 = 2 THEN 'kg 1' ELSE text_query END AS text_query),
+  CASE WHEN query_id % 4 = 1 THEN 0.9::DOUBLE END AS max_confidence,
+  CASE query_id % 7 WHEN 3 THEN 'fail' WHEN 4 THEN 'pass' END AS validation_status
+  FROM ({_parsed_search('v_saved_searches')}) p)""") + _SQL["search_fields"][
+    _SQL["search_fields"].rindex("\nSELECT query_id, CAST(rank"):].replace("FROM v_fields f", "FROM judged_fields f").replace(
+    "value, confidence", "value, confidence, validator_status").replace(
+    "  AND (status IS NULL", "  AND (max_confidence IS NULL OR confidence <= max_confidence)\n"
+    "  AND (validation_status IS NULL OR validator_status = validation_status)\n  AND (status IS NULL")
+
+b.VIEWS["v_invoice_searches"] = """
+SELECT CAST(n_nationkey AS BIGINT) AS query_id, CAST(n_nationkey AS BIGINT) AS org_id,
+       CASE n_nationkey % 5 WHEN 0 THEN 'gizmo' WHEN 1 THEN '-01' WHEN 2 THEN 'Handels GMBH' WHEN 3 THEN 'xy' END AS q,
+       CASE WHEN n_nationkey % 3 = 1 THEN 'requires_review' END AS status,
+       CASE WHEN n_nationkey % 11 = 4 THEN 'nordwind kg 18' END AS supplier,
+       CASE WHEN n_nationkey % 13 = 9 THEN 'PT1235993' END AS vat,
+       CASE WHEN n_nationkey % 4 = 3 THEN 'EUR' END AS currency,
+       CASE WHEN n_nationkey % 6 = 4 THEN 'DE' END AS country,
+       CASE WHEN n_nationkey % 4 = 0 THEN CAST(900 AS DOUBLE) * n_nationkey END AS min_total,
+       CASE WHEN n_nationkey % 8 = 4 THEN CAST(90000 AS DOUBLE) END AS max_total,
+       CASE WHEN n_nationkey % 7 = 6 THEN CAST('1995-02-10' AS DATE) END AS from_day,
+       CASE WHEN n_nationkey % 9 >= 6 THEN CAST('1997-03-20' AS DATE) END AS to_day,
+       CASE WHEN n_nationkey % 2 = 1 THEN CAST('1997-01-31' AS DATE) END AS after_day, CAST(7000 AS BIGINT) AS after_id
+FROM {nation}"""
+
+
+@query
+def invoice_search(v):
+    days = v["v_invoices"].select("invoice_id", "status", "deleted", F.col("created_on").alias("day"))
+    sheets = v["v_field_sheet"].join(days, "invoice_id").select(
+        "invoice_id", "org_id", "status", "supplier_name", "supplier_vat", "invoice_number", "currency",
+        F.substring("supplier_vat", 1, 2).alias("country"), (F.col("total_cents") / 100).cast("double").alias("total"), "day", "deleted")
+    lines = v.lines().select("invoice_id", "description")
+    index = search.index_invoices(sheets, lines, shared_folder(v.spark, "index"))
+    found = search.search_invoices(sheets, lines, v["v_invoice_searches"], index)
+    return found.withColumn("day", F.col("day").cast("string"))
+
+
+_SQL["invoice_search"] = _with(("v_field_sheet", "v_invoices", "v_line_values", "v_invoice_searches"), """
+said AS (SELECT DISTINCT query_id, invoice_id FROM v_line_values l JOIN v_invoice_searches q ON contains(lower(description), lower(q)))""") + """
+SELECT query_id, CAST(rank AS INT) AS rank, invoice_id, CAST(day AS VARCHAR) AS day, total FROM (
+SELECT q.query_id, f.invoice_id, created_on AS day, CAST(total_cents AS DOUBLE) / 100 AS total,
+       row_number() OVER (PARTITION BY q.query_id ORDER BY created_on DESC, f.invoice_id DESC) AS rank
+FROM v_invoice_searches q JOIN v_field_sheet f ON f.org_id = q.org_id JOIN v_invoices i ON i.invoice_id = f.invoice_id
+LEFT JOIN said s ON s.query_id = q.query_id AND s.invoice_id = f.invoice_id
+WHERE NOT deleted AND (q.q IS NULL OR contains(lower(invoice_number), lower(q.q)) OR contains(lower(supplier_name), lower(q.q)) OR s.invoice_id IS NOT NULL)
+  AND (q.status IS NULL OR i.status = q.status) AND (supplier IS NULL OR lower(supplier_name) = lower(supplier))
+  AND (q.vat IS NULL OR supplier_vat = q.vat) AND (q.currency IS NULL OR f.currency = q.currency)
+  AND (country IS NULL OR substr(supplier_vat, 1, 2) = country)
+  AND (min_total IS NULL OR CAST(total_cents AS DOUBLE) / 100 >= min_total)
+  AND (max_total IS NULL OR CAST(total_cents AS DOUBLE) / 100 <= max_total)
+  AND (from_day IS NULL OR created_on >= from_day) AND (to_day IS NULL OR created_on <= to_day)
+  AND (after_day IS NULL OR created_on < after_day OR (created_on = after_day AND f.invoice_id < after_id))) h WHERE rank <= 50"""
