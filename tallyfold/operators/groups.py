@@ -52,3 +52,20 @@ def index(
         *[F.col(f"a.{c}") for c in df.columns],
         (F.col("_local") + F.col("_before")).cast("bigint").alias(out),
     )
+
+
+def previous(df: DataFrame, keys: list, order: list, along: str, value: Column, out: str) -> DataFrame:
+    """The value of the row before, within each group in the given order; null for the first.
+
+    ``order`` begins with the number ``along``, whose range is cut into pieces as in ``index``. Each
+    piece looks back on its own; the first row of a piece takes the last value of the pieces before,
+    of which there are at most ``PIECES`` a group.
+    """
+    cut = df.withColumn("_piece", piece_of(df, along)).withColumn("_value", F.struct(value.alias("v")))
+    local = F.lag("_value").over(Window.partitionBy(*keys, "_piece").orderBy(*order))
+    ends = cut.groupBy(*keys, "_piece").agg(F.max_by("_value", F.struct(*order)).alias("_end"))
+    ahead = Window.partitionBy(*keys).orderBy("_piece")
+    ends = ends.select(*keys, "_piece", F.lag("_end").over(ahead).alias("_before"))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*keys, "_piece")]
+    met = cut.withColumn("_local", local).alias("a").join(ends.alias("b"), same)
+    return met.select(*[F.col(f"a.{c}") for c in df.columns], F.coalesce("_local", "_before")["v"].alias(out))

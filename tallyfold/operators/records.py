@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import comparison_key, compact_code
-from .groups import attach
+from .groups import attach, previous
 
 
 def supplier_master(sheets: DataFrame) -> DataFrame:
@@ -58,9 +58,27 @@ def usage(events: DataFrame, day: Column) -> DataFrame:
     )
 
 
-def quota(events: DataFrame, plans: DataFrame, month: Column) -> DataFrame:
-    """Pages used per tenant and month against the plan; no plan, no limit."""
-    used = events.groupBy("org_id", month.alias("month")).agg(F.count(F.lit(1)).alias("used"))
+def usage_breakdown(pages: DataFrame, day: Column) -> DataFrame:
+    """Invoices, pages and about how many suppliers per tenant, by every combination of day, supplier and source.
+
+    Pages: ``org_id, supplier, source, invoice_id, page_no``, in whatever number of rows a page. The
+    distinct counts are exact; ``suppliers`` comes from sketches that Spark merges level by level.
+    """
+    once = pages.select("org_id", day.alias("day"), "supplier", "source", "invoice_id", "page_no").distinct()
+    whole = once.groupBy("org_id", "day", "supplier", "source", "invoice_id").agg(F.count(F.lit(1)).alias("_pages"))
+    found = whole.where("org_id IS NOT NULL").cube("org_id", "day", "supplier", "source").agg(
+        F.grouping("org_id").alias("_all"), F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("invoices"),
+        F.sum("_pages").alias("pages"), F.hll_sketch_estimate(F.hll_sketch_agg("supplier")).alias("suppliers"))
+    return found.where("_all = 0").drop("_all")
+
+
+def quota(pages: DataFrame, plans: DataFrame) -> DataFrame:
+    """Distinct pages used per tenant and month against the plan; no plan, no limit.
+
+    Pages: ``org_id, month, invoice_id, page_no``; a page read twice counts once.
+    """
+    once = pages.select("org_id", "month", "invoice_id", "page_no").distinct()
+    used = once.groupBy("org_id", "month").agg(F.count(F.lit(1)).alias("used"))
     return used.join(plans.select("org_id", "pages_month"), "org_id", "left").withColumn(
         "over", F.coalesce(F.col("used") > F.col("pages_month"), F.lit(False))
     )
@@ -274,6 +292,22 @@ def account_changes(sheets: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_invoices"))
 
 
+def account_velocity(sheets: DataFrame, days: int = 90) -> DataFrame:
+    """Per tenant's supplier and day with a change of account: changes that day and within the last ``days``.
+
+    A supplier with very many invoices is followed in pieces; only its days meet, one row each.
+    """
+    keys = ["org_id", "normalized_name"]
+    own = sheets.where(F.col("iban").isNotNull() & F.col("created_on").isNotNull()).select(
+        "org_id", comparison_key(F.col("supplier_name")).alias("normalized_name"), "invoice_id", "iban",
+        F.unix_date("created_on").cast("long").alias("_day"))
+    followed = previous(own, keys, ["_day", "invoice_id"], "_day", F.col("iban"), "_before")
+    daily = followed.groupBy(*keys, "_day").agg(F.count(F.when(F.col("_before") != F.col("iban"), 1)).alias("changes"))
+    back = Window.partitionBy(*keys).orderBy("_day").rangeBetween(1 - days, 0)
+    return daily.withColumn("recent", F.sum("changes").over(back)).where("changes > 0").select(
+        *keys, F.date_from_unix_date(F.col("_day").cast("int")).alias("day"), "changes", "recent")
+
+
 def audit_view(events: DataFrame, action: str = None, since: str = None) -> DataFrame:
     """Audit rows of an action and after a day, newest first within the tenant."""
     kept = events

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import checks, records, recompute, scoring, search, versions
+from ..operators import checks, metrics, records, recompute, retention as upkeep, scoring, search, versions
 from ..session import shared_folder
 from . import bindings as b
 from .catalog import COUNTRIES, _deciding_checks, query
@@ -78,15 +78,41 @@ SELECT org_id, CAST(CAST(created_at AS DATE) AS VARCHAR) AS day, stage, count(*)
 FROM v_jobs GROUP BY ROLLUP (org_id, CAST(CAST(created_at AS DATE) AS VARCHAR), stage)"""
 
 
+def _pages(v):
+    """The printed pages, one row per block."""
+    days = v["v_invoices"].select("invoice_id", "created_on")
+    return v.blocks().select(F.col("doc_id").alias("invoice_id"), "org_id", "page_no").join(days, "invoice_id")
+
+
+@query
+def usage_breakdown(v):
+    sheets = v["v_field_sheet"].select("invoice_id", F.col("supplier_name").alias("supplier"), F.col("currency").alias("source"))
+    found = records.usage_breakdown(_pages(v).join(sheets, "invoice_id"), F.date_format("created_on", "yyyy"))
+    near = F.abs(F.col("suppliers") - F.col("_suppliers")) <= 0.1 * F.col("_suppliers")
+    exact = _pages(v).join(sheets, "invoice_id").groupBy("org_id").agg(F.countDistinct("supplier").alias("_suppliers"))
+    return found.join(exact, "org_id").withColumn(
+        "close", F.when(F.col("level") == 7, near)).drop("suppliers", "_suppliers")
+
+
+_SQL["usage_breakdown"] = _with(("v_sheets", "v_invoices", "v_field_sheet"), b.blocks_sql()) + """
+SELECT org_id, day, supplier, source, level, invoices, pages, CASE WHEN level = 7 THEN true END AS close FROM (
+SELECT i.org_id, strftime(created_on, '%Y') AS day, supplier_name AS supplier, currency AS source,
+       CAST(GROUPING(i.org_id, strftime(created_on, '%Y'), supplier_name, currency) AS INT) AS level,
+       count(DISTINCT i.invoice_id) AS invoices, count(DISTINCT (i.invoice_id, page_no)) AS pages
+FROM blocks JOIN v_invoices i ON i.invoice_id = doc_id JOIN v_field_sheet f ON f.invoice_id = i.invoice_id
+GROUP BY CUBE (i.org_id, strftime(created_on, '%Y'), supplier_name, currency)) u WHERE level < 8"""
+
+
 @query
 def plan_quota(v):
     plans = v["v_orgs"].where("org_id % 7 <> 6").select("org_id", (F.col("org_id") % 3 * 40 + 10).alias("pages_month"))
-    return records.quota(v["v_jobs"], plans, F.date_format("created_at", "yyyy-MM"))
+    return records.quota(_pages(v).withColumn("month", F.date_format("created_on", "yyyy-MM")), plans)
 
 
-_SQL["plan_quota"] = _with(("v_jobs", "v_orgs")) + """
+_SQL["plan_quota"] = _with(("v_sheets", "v_invoices", "v_orgs"), b.blocks_sql()) + """
 SELECT org_id, month, used, pages_month, coalesce(used > pages_month, false) AS over
-FROM (SELECT org_id, strftime(created_at, '%Y-%m') AS month, count(*) AS used FROM v_jobs GROUP BY ALL) u
+FROM (SELECT i.org_id, strftime(created_on, '%Y-%m') AS month, count(DISTINCT (invoice_id, page_no)) AS used
+      FROM blocks JOIN v_invoices i ON invoice_id = doc_id GROUP BY ALL) u
 LEFT JOIN (SELECT org_id, org_id % 3 * 40 + 10 AS pages_month FROM v_orgs WHERE org_id % 7 <> 6) p USING (org_id)"""
 
 
@@ -449,3 +475,128 @@ WHERE NOT deleted AND (q.q IS NULL OR contains(lower(invoice_number), lower(q.q)
   AND (max_total IS NULL OR CAST(total_cents AS DOUBLE) / 100 <= max_total)
   AND (from_day IS NULL OR created_on >= from_day) AND (to_day IS NULL OR created_on <= to_day)
   AND (after_day IS NULL OR created_on < after_day OR (created_on = after_day AND f.invoice_id < after_id))) h WHERE rank <= 50"""
+
+
+_SHARES = {"p50": 0.5, "p95": 0.95}
+
+
+@query
+def stage_durations(v):
+    durations = metrics.stage_durations(v["v_jobs"])
+    store = shared_folder(v.spark, "sketches")
+    metrics.duration_sketches(durations).write.parquet(store)
+    merged = metrics.merged_quantiles(v.spark.read.parquet(store), ["stage"], _SHARES)
+    return metrics.rank_checked(durations, merged, ["stage"], _SHARES)
+
+
+_SQL["stage_durations"] = _with(("v_jobs",)) + """
+SELECT stage, count(*) AS n, true AS p50_close, true AS p95_close FROM (
+SELECT stage, status, lag(status) OVER (PARTITION BY invoice_id, stage ORDER BY created_at, job_id) AS before FROM v_jobs) j
+WHERE status <> 'running' AND before = 'running' GROUP BY stage"""
+
+
+@query
+def stage_times(v):
+    return metrics.stage_durations(v["v_jobs"]).withColumn("day", F.col("day").cast("string")).withColumn(
+        "seconds", F.round("seconds", 3))
+
+
+_SQL["stage_times"] = _with(("v_jobs",)) + """
+SELECT invoice_id, stage, status, CAST(CAST(created_at AS DATE) AS VARCHAR) AS day,
+       round((epoch_us(created_at) - epoch_us(began)) / 1000000, 3) AS seconds FROM (
+SELECT *, lag(status) OVER w AS before, lag(created_at) OVER w AS began FROM v_jobs
+WINDOW w AS (PARTITION BY invoice_id, stage ORDER BY created_at, job_id)) j
+WHERE status <> 'running' AND before = 'running'"""
+
+
+@query
+def daily_metrics(v):
+    invoices = v["v_invoices"].select("invoice_id", "status", F.col("created_on").cast("string").alias("day"))
+    return metrics.daily_metrics(invoices, v.stored_fields(), v["v_jobs"].select("invoice_id", "tokens"), F.lit(0.001))
+
+
+_SQL["daily_metrics"] = _with(("v_invoices", "v_field_sheet", "v_jobs"), b.stored_fields_sql()) + """
+SELECT day, n_invoices, n_straight, n_fields, n_llm, tokens, n_straight / n_invoices AS straight_rate,
+       n_llm / nullif(n_fields, 0) AS llm_share, tokens * 0.001::DOUBLE / 1000 / n_invoices AS cost_per_invoice FROM (
+SELECT CAST(created_on AS VARCHAR) AS day, count(*) AS n_invoices, count(*) FILTER (status = 'completed') AS n_straight,
+       CAST(coalesce(sum(n), 0) AS BIGINT) AS n_fields, CAST(coalesce(sum(m), 0) AS BIGINT) AS n_llm, CAST(coalesce(sum(t), 0) AS BIGINT) AS tokens
+FROM v_invoices LEFT JOIN (SELECT invoice_id, count(*) AS n, count(*) FILTER (method = 'llm') AS m FROM v_fields GROUP BY 1) f USING (invoice_id)
+LEFT JOIN (SELECT invoice_id, sum(tokens) AS t FROM v_jobs GROUP BY 1) j USING (invoice_id) GROUP BY 1) d"""
+
+
+def _reported(v, spoilt: int):
+    stored = v.stored_fields().select("invoice_id", "field", F.col("value.value").alias("value"))
+    got = stored.where(F.col("invoice_id") % 9 != 0).withColumn("value", F.when(
+        F.col("invoice_id") % spoilt == 0, F.concat("value", F.lit("?"))).otherwise(F.col("value")))
+    about = v["v_field_sheet"].select("invoice_id", F.substring("supplier_vat", 1, 2).alias("country"), "currency")
+    return metrics.evaluation_report(stored.where(F.col("invoice_id") % 13 != 0), got, about, ["country", "currency"])
+
+
+def _report_sql(spoilt: int) -> str:
+    sets = "GROUPING SETS ((field), (field, country), (field, currency))"
+    return f"""SELECT CASE WHEN GROUPING(country) = 0 THEN 'country' WHEN GROUPING(currency) = 0 THEN 'currency' ELSE '' END AS "by",
+CASE WHEN GROUPING(country) = 0 THEN country WHEN GROUPING(currency) = 0 THEN currency END AS "of", field,
+count(*) FILTER (e AND g AND same) AS tp, count(*) FILTER (g AND NOT (e AND same)) AS fp,
+count(*) FILTER (e AND NOT (g AND same)) AS fn, count(*) FILTER (e) AS n
+FROM (SELECT f.invoice_id, field, substr(supplier_vat, 1, 2) AS country, s.currency, f.invoice_id % 13 <> 0 AS e,
+             f.invoice_id % 9 <> 0 AS g, f.invoice_id % {spoilt} <> 0 AS same
+      FROM v_fields f JOIN v_field_sheet s ON s.invoice_id = f.invoice_id) x WHERE e OR g GROUP BY {sets}"""
+
+
+@query
+def evaluation_report(v):
+    return _reported(v, 11)
+
+
+_SQL["evaluation_report"] = _with(("v_field_sheet",), b.stored_fields_sql(), f"report AS ({_report_sql(11)})") + """
+SELECT "by", "of", field, tp, fp, fn, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall,
+       2 * tp / nullif(2 * tp + fp + fn, 0) AS f1, tp / nullif(n, 0) AS exact FROM report"""
+
+
+@query
+def evaluation_regressions(v):
+    store = shared_folder(v.spark, "baseline")
+    _reported(v, 400).write.parquet(store)
+    return metrics.regressions(_reported(v, 120), v.spark.read.parquet(store))
+
+
+_SQL["evaluation_regressions"] = _with(
+    ("v_field_sheet",), b.stored_fields_sql(), f"baseline AS ({_report_sql(400)})", f"report AS ({_report_sql(120)})") + """
+SELECT "by", "of", field, f1_before, f1_now FROM (
+SELECT b."by", b."of", b.field, 2 * b.tp / nullif(2 * b.tp + b.fp + b.fn, 0) AS f1_before,
+       coalesce(2 * a.tp / nullif(2 * a.tp + a.fp + a.fn, 0), 0) AS f1_now
+FROM baseline b LEFT JOIN report a ON a."by" = b."by" AND a."of" IS NOT DISTINCT FROM b."of" AND a.field = b.field) r
+WHERE f1_before - f1_now > 0.005"""
+
+
+@query
+def account_velocity(v):
+    moved = F.when(F.col("invoice_id") % 17 == 3, F.reverse("iban")).otherwise(F.col("iban"))
+    return records.account_velocity(_sheet(v).withColumn("iban", moved)).withColumn("day", F.col("day").cast("string"))
+
+
+_SQL["account_velocity"] = _with(TOGETHER, _SHEET) + f"""
+SELECT org_id, normalized_name, CAST(day AS VARCHAR) AS day, changes, CAST(recent AS BIGINT) AS recent FROM (
+SELECT org_id, normalized_name, day, changes, sum(changes) OVER (PARTITION BY org_id, normalized_name ORDER BY day
+       RANGE BETWEEN INTERVAL 89 DAY PRECEDING AND CURRENT ROW) AS recent FROM (
+SELECT org_id, normalized_name, created_on AS day, count(*) FILTER (before <> iban) AS changes FROM (
+SELECT org_id, {_KEY} AS normalized_name, created_on, account AS iban, lag(account) OVER (
+  PARTITION BY org_id, {_KEY} ORDER BY created_on, invoice_id) AS before
+FROM (SELECT *, CASE WHEN invoice_id % 17 = 3 THEN reverse(iban) ELSE iban END AS account FROM sheet) s WHERE iban IS NOT NULL) l GROUP BY ALL) d) r
+WHERE changes > 0"""
+
+
+@query
+def retention_applied(v):
+    store = shared_folder(v.spark, "retention")
+    v["v_invoices"].withColumn("month", F.date_format("created_on", "yyyy-MM")).repartition("month").write.partitionBy("month").parquet(f"{store}/invoices")
+    old = F.col("created_on") < F.lit("1996-05-20").cast("date")
+    gone = upkeep.apply_retention(v.spark, f"{store}/invoices", "month", "invoice_id", old & (F.col("status") == "completed"), f"{store}/audit", "1")
+    kept = v.spark.read.parquet(f"{store}/invoices").select("org_id", F.col("invoice_id").cast("string").alias("resource_id"), F.lit("kept").alias("action"))
+    return kept.unionByName(gone.select(F.lit(None).cast("long").alias("org_id"), "resource_id", "action"))
+
+
+_SQL["retention_applied"] = _with(("v_invoices",)) + """
+SELECT CASE WHEN gone THEN NULL ELSE org_id END AS org_id, CAST(invoice_id AS VARCHAR) AS resource_id,
+       CASE WHEN gone THEN 'expired' ELSE 'kept' END AS action
+FROM (SELECT *, created_on < DATE '1996-05-20' AND status = 'completed' AS gone FROM v_invoices) i"""
