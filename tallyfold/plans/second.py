@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import checks, metrics, records, recompute, retention as upkeep, scoring, search, versions
+from .. import fixed_values as fixed
+from ..operators import checks, metrics, records, recompute, resent, retention as upkeep, rules, scoring, search, versions
 from ..session import shared_folder
 from . import bindings as b
 from .catalog import COUNTRIES, _deciding_checks, query
@@ -416,6 +417,9 @@ def search_indexed(v):
         "max_confidence": F.when(F.col("query_id") % 4 == 1, 0.9),
         "validation_status": F.when(F.col("query_id") % 7 == 3, "fail").when(F.col("query_id") % 7 == 4, "pass"),
         "text_query": F.when(F.col("query_id") % 5 == 2, "kg 1").otherwise(F.col("text_query"))})
+    # The searches are read several times; as a stored table they are taken apart once.
+    parsed.write.parquet(f"{store}/searches")
+    parsed = v.spark.read.parquet(f"{store}/searches")
     index = search.index_fields(judged, store)
     found = search.search_fields(judged, parsed, index=index)
     return found.select("query_id", "rank", "invoice_id", "field", F.col("value.value").alias("value"), "confidence", "validator_status")
@@ -600,3 +604,38 @@ _SQL["retention_applied"] = _with(("v_invoices",)) + """
 SELECT CASE WHEN gone THEN NULL ELSE org_id END AS org_id, CAST(invoice_id AS VARCHAR) AS resource_id,
        CASE WHEN gone THEN 'expired' ELSE 'kept' END AS action
 FROM (SELECT *, created_on < DATE '1996-05-20' AND status = 'completed' AS gone FROM v_invoices) i"""
+
+
+@query
+def doc_type_by_rules(v):
+    listed = [(i, kind, word) for i, (kind, word) in enumerate(
+        (kind, word) for kind, words in fixed.DOCUMENT_TYPE_WORDS.items() for word in words)]
+    table = v.spark.createDataFrame(listed, "rule_id int, doc_type string, keyword string")
+    return rules.classify(v["documents"], table).withColumn("keywords", F.array_join("keywords", ","))
+
+
+_SQL["doc_type_by_rules"] = _SQL["doc_type"]
+
+# Every fifth invoice comes a second time, a little off.
+b.VIEWS["v_resent"] = """
+SELECT f.invoice_id, f.org_id, supplier_name, total_cents, created_on AS day FROM {v_field_sheet} f JOIN {v_invoices} i ON i.invoice_id = f.invoice_id
+UNION ALL SELECT f.invoice_id + 10000000, f.org_id, upper(supplier_name), total_cents + f.invoice_id % 4,
+       date_add(created_on, CAST(f.invoice_id % 3 AS INT)) FROM {v_field_sheet} f JOIN {v_invoices} i ON i.invoice_id = f.invoice_id
+WHERE f.invoice_id % 5 = 0"""
+
+
+@query
+def near_duplicate_invoices(v):
+    found = resent.near_duplicates(v["v_resent"], cents=2, days=1)
+    return found.withColumn("near", F.array_join(F.transform("near", lambda i: i.cast("string")), ","))
+
+
+_SQL["near_duplicate_invoices"] = _with(("v_resent",), f"""
+named AS (SELECT invoice_id, org_id, {_KEY} AS name, total_cents, CAST(day AS DATE) AS day FROM v_resent
+  WHERE supplier_name IS NOT NULL AND total_cents IS NOT NULL AND day IS NOT NULL)""", """
+classes AS (SELECT org_id, name, total_cents, day, min(invoice_id) AS class_id, count(*) AS class_size FROM named GROUP BY ALL)""") + """
+SELECT n.invoice_id, c.class_id, c.class_size, coalesce((
+  SELECT string_agg(o.class_id::VARCHAR, ',' ORDER BY o.class_id) FROM classes o
+  WHERE o.org_id = c.org_id AND o.name = c.name AND o.class_id <> c.class_id
+    AND abs(o.total_cents - c.total_cents) <= 2 AND abs(o.day - c.day) <= 1), '') AS near
+FROM named n JOIN classes c ON n.org_id = c.org_id AND n.name = c.name AND n.total_cents = c.total_cents AND n.day = c.day"""
