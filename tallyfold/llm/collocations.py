@@ -34,6 +34,8 @@ from tallyfold.llm.common import written
 LONGEST = 4
 #: Bits of a bitmap, 4 MB whatever the corpus; phrases of a shard; bytes of text and hashes handled at once.
 BITMAP, SHARD, STRETCH, HELD = 25, 250_000, 2 << 20, 4_000_000
+#: Pieces in which a language's phrases are ranked first.
+PIECES = 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Words of more bytes are hashed one by one; masks of the first 0 to 8 letters.
 LONG_WORD = 256
@@ -347,7 +349,8 @@ def mine(docs: DataFrame, least: int = 30, best: int = 2000, share: int = 80) ->
     A candidate goes if a longer one that contains it has at least `share` percent of its occurrences.
     """
     docs = docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang"))
-    counts = written(counted(docs, candidates(docs, *frequent(docs, least))).where(F.col("f") >= least))
+    found = written(candidates(docs, *frequent(docs, least)))
+    counts = written(counted(docs, found).where(F.col("f") >= least))
     totals = _word_totals(docs)
     phrases = counts.where("size > 1").withColumn("words", F.split("phrase", " "))
 
@@ -368,8 +371,11 @@ def mine(docs: DataFrame, least: int = 30, best: int = 2000, share: int = 80) ->
     kept = scored.join(inner, ["lang", "phrase"], "left").where(
         F.expr(f"longer IS NULL OR 100BD * longer < {share}BD * a"))
 
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best)
+    # The best of each piece of a language first, so that the last ranking has a bounded number of rows a language.
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    kept = kept.withColumn("piece", F.pmod(F.xxhash64("phrase"), F.lit(PIECES)))
+    kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "piece").orderBy(*order))).where(F.col("rank") <= best)
+    ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= best)
     return ranked.join(totals, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
