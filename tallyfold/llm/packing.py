@@ -65,7 +65,11 @@ class Ids:
     def of(self, text: str) -> bytes:
         if not PLAIN.fullmatch(text) or any(token in text for token in self.special):
             return self.encoded(text)
-        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        try:
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        except ValueError:
+            # It splits with a stack that runs of about a million blanks or line ends exceed.
+            return self.encoded(text)
 
 
 @functools.lru_cache(1)

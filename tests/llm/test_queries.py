@@ -425,3 +425,14 @@ def test_pipeline_equals_brute_force(spark, folder, docs):
     for r in corpus_pipeline.run(spark, folder).collect():
         found[r.doc_id] += r.length
     assert found == expected
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", "\r\n", "\t", "a", "7", "!", "é", "word "])
+def test_packing_of_very_long_runs(spark, unit):
+    text = "vorn " + unit * (2_000_000 // len(unit)) + " end"
+    ids = packing._ids(queries.BYTE_TOKENIZER)
+    expected = ids.encoded(text) + b"\0" * 4
+    docs = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    found = packing.pieces(docs, queries.BYTE_TOKENIZER).where("doc_id = 1").orderBy("piece").collect()
+    assert sum(r.length for r in found) == len(expected) // 4
+    assert [r.ids_crc32 for r in found] == [zlib.crc32(expected[4 * r.start:4 * (r.start + r.length)]) for r in found]
