@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from tallyfold.llm.common import kind
 
 UNDETERMINED = "und"
+#: What stands for a border of a word; no letter has this code.
+BORDER = 1
 #: n-grams in a language's profile and in a document's.
 PROFILE = 400
 #: Labelled documents that each language is learned from, on average, and languages learned, the most
@@ -35,13 +37,16 @@ def _letters() -> np.ndarray:
 
 
 def ngrams(text: str) -> np.ndarray:
-    """Codes of the 1- to 3-grams, 21 bits a character; 0 stands for a border of a word."""
+    """Codes of the 1- to 3-grams, 21 bits a character; 1 stands for a border of a word.
+
+    The border is not 0, so that a letter that begins a word has another code than the letter alone.
+    """
     c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), np.uint32)
-    c = np.where(_letters()[c], c, 0)
-    c = c[np.append(True, (c[1:] != 0) | (c[:-1] != 0))].astype(np.uint64)
+    c = np.where(_letters()[c], c, BORDER)
+    c = c[np.append(True, (c[1:] != BORDER) | (c[:-1] != BORDER))].astype(np.uint64)
     pairs = c[:-1] << np.uint64(21) | c[1:]
-    triples = (pairs[:-1] << np.uint64(21) | c[2:])[c[1:-1] != 0]
-    return np.concatenate([c[c != 0], pairs, triples])
+    triples = (pairs[:-1] << np.uint64(21) | c[2:])[c[1:-1] != BORDER]
+    return np.concatenate([c[c != BORDER], pairs, triples])
 
 
 def profile(text: str, size: int) -> np.ndarray:
@@ -82,7 +87,7 @@ def _judge(profiles: pd.DataFrame, size: int):
     """A function from a text to its language and score."""
     langs = sorted(profiles["lang"].unique())
     grams = np.unique(profiles["gram"].to_numpy().astype(np.uint64))
-    ranks = np.full((len(grams) + 1, len(langs)), -1, np.int64)
+    ranks = np.full((len(grams) + 1, len(langs)), -1, np.int16)
     for k, lang in enumerate(langs):
         own = profiles[profiles["lang"] == lang]
         ranks[np.searchsorted(grams, own["gram"].to_numpy().astype(np.uint64)), k] = own["rank"]

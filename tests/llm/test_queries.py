@@ -143,6 +143,42 @@ def test_a_group_larger_than_a_shard_fills_few(spark):
     assert found.where("text <> 'same'").groupBy("text").agg(F.countDistinct("shard").alias("n")).where("n > 1").count() <= 1
 
 
+def test_quotas_equal_moving_one_by_one():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        n = int(rng.integers(2, 6))
+        asked = {(a, b): int(rng.integers(1, 9)) for a in range(n) for b in range(n) if a != b and rng.random() < 0.6}
+        room = rng.integers(0, 5, n).tolist()
+        given, left, open_ = collections.Counter(), list(room), collections.Counter(asked)
+        for a, b in asked:
+            while a < b and open_[a, b] and open_[b, a]:
+                for pair in ((a, b), (b, a)):
+                    given[pair] += 1
+                    open_[pair] -= 1
+        for a, b in sorted(asked, key=lambda pair: (-asked[pair], pair)):
+            while open_[a, b] and left[b]:
+                given[a, b] += 1
+                open_[a, b] -= 1
+                left[b] -= 1
+        assert sharding.quotas(asked, room) == dict(given)
+
+
+def test_propagation_cuts_fewer_links_than_a_deal(spark):
+    rows = [(i, f"copy {i % 60}" if i < 720 else f"single {i}") for i in range(1220)]
+    found = sharding.shards(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()
+
+    def cut_links(shard_of):
+        groups = collections.defaultdict(collections.Counter)
+        for i, text in rows[:720]:
+            groups[text][shard_of[i]] += 1
+        return sum((sum(g.values()) ** 2 - sum(n * n for n in g.values())) // 2 for g in groups.values())
+
+    own = cut_links({r.doc_id: r.shard for r in found})
+    dealt = cut_links({i: zlib.crc32(str(i).encode()) % 8 for i, _ in rows})
+    print("links cut:", own, "dealt:", dealt)
+    assert own <= 0.1 * dealt
+
+
 def test_inner_products_are_exact(spark, folder):
     table = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").collect()
     good = {r.vec_id: np.floor(64 * np.array(r.embedding, float)).astype(int) for r in table
@@ -368,6 +404,44 @@ def test_language_of_held_out_rows(spark, folder, docs):
     assert all(of[i] == "und" for i in (10_001, 10_002, 10_003, 10_006)) and of[10_005] != "und"
 
 
+def ranked_grams(counts):
+    """Grams by falling frequency, then by length and code points; a border is the code point 1."""
+    order = sorted(counts, key=lambda g: (-counts[g], len(g), g))[:languages.PROFILE]
+    return {g: k for k, g in enumerate(order)}
+
+
+def grams_of(text):
+    found = collections.Counter()
+    for word in "".join(c if c.isalpha() else " " for c in (text or "").lower()).split(" "):
+        whole = f"\x01{word}\x01"
+        for n in (1, 2, 3) if word else ():
+            found.update(whole[i:i + n] for i in range(len(whole) - n + 1) if whole[i:i + n] != "\x01")
+    return found
+
+
+def test_language_distances_equal_brute_force(spark, folder):
+    rows = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang").collect()
+    learned = collections.defaultdict(collections.Counter)
+    for r in rows:
+        if r.lang and r.text is not None and r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            learned[r.lang].update(grams_of(r.text))
+    profiles = {lang: ranked_grams(counts) for lang, counts in sorted(learned.items())}
+    size, expected = languages.PROFILE, collections.Counter()
+    for r in rows:
+        own = ranked_grams(grams_of(r.text))
+        apart = sorted((sum(min(size, abs(p[g] - k)) if g in p else size for g, k in own.items()), lang)
+                       for lang, p in profiles.items())
+        lang, score = (apart[0][1], 1 - apart[0][0] / apart[1][0]) if own else ("und", 0.0)
+        expected[r.doc_id, lang, round(score, 9)] += 1
+    found = rows_of(spark, folder, "op10")
+    assert len(profiles) > 2
+    assert collections.Counter((r.doc_id, r.lang_pred, round(r.score, 9)) for r in found) == expected
+
+
+def test_a_letter_at_a_border_is_another_gram():
+    assert len(set(languages.ngrams("b ab").tolist())) == len(grams_of("b ab"))
+
+
 def test_without_labels_all_is_undetermined(spark):
     docs = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     assert languages.identify(docs, languages.learn(docs)).first().lang_pred == "und"
@@ -388,6 +462,17 @@ def test_empty_tables(spark, tmp_path, name):
     assert queries.QUERIES[name](spark, str(tmp_path)).collect() == []
 
 
+def test_of_rows_that_repeat_an_id_a_fixed_one_stays(spark):
+    texts = [f"ganz {'andere ' * k}Worte Nummer {k}" for k in range(12)]
+    rows = [(1, t, "x", 5) for t in texts] + [(2, "eins zwei drei vier", "y", 1), (2, "eins zwei drei vier", "x", 1)]
+    least = min(texts, key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, source string, n long").repartition(3)
+        found = corpus_pipeline.simhash_near_dedup(spark, docs, None)
+        assert found.columns == docs.columns
+        assert sorted(map(tuple, found.collect())) == [(1, least, "x", 5), (2, "eins zwei drei vier", "x", 1)]
+
+
 def test_empty_pipeline(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
