@@ -27,14 +27,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of the smallest id stays.
 
-    Rows that repeat an id are one document; rows without an id stay.
+    Rows that repeat an id are one document: the row stays whose text has the smallest SHA-256 (ties: the
+    smallest row as JSON), whatever the order of the rows. Rows without an id stay.
     """
     found = written(simhash.near_duplicates(docs)).where("doc_id IS NOT NULL")
     removed = found.where("doc_id <> component_id").select("doc_id").distinct()
     repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
     once = docs.join(removed.union(repeated), "doc_id", "left_anti")
-    first = docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.select(docs.columns).union(first.select(docs.columns))
+    whole = F.struct(*docs.columns)
+    order = F.struct(F.sha2(F.coalesce("text", F.lit("")), 256), F.to_json(whole))
+    first = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(whole, order).alias("_first"))
+    return once.select(docs.columns).union(first.select("_first.*"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
