@@ -356,3 +356,17 @@ SEARCH_STOP_WORDS = (
 SEARCH_STOP_STARTS = ("€", "$", "£", ">", "<")
 SEARCH_LIMIT = 100
 LISTING_LIMIT = 100
+
+# Which date a failed rule is about, which field a duplicate is found by.
+DATE_OF_CHECK = {"date_not_ahead": "invoice_date", "date_in_range": "invoice_date", "due_after_date": "due_date"}
+FIELD_OF_DUPLICATE = {"number": "invoice_number", "total": "total"}
+# Signs and codes of currencies in print.
+CURRENCY_TOKEN = "[A-Za-z]+|[€$£]"
+CURRENCY_MARKS = {"€": "EUR", "$": "USD", "£": "GBP", "EUR": "EUR", "USD": "USD", "GBP": "GBP", "CHF": "CHF"}
+# Roles that see personal fields in full.
+TRUSTED_ROLES = ("owner", "admin", "member")
+PERSONAL_FIELDS = ("supplier_name", "iban")
+# Classes of seeded mistakes and the checks that are to find them.
+MISTAKES = ("drift", "vat_code", "iban_code", "swapped", "missing")
+CHECKS_OF_MISTAKE = {"drift": ("subtotal",), "vat_code": ("vat_format",), "iban_code": ("iban",),
+                     "swapped": ("subtotal", "grand_total"), "missing": ("missing_iban",)}

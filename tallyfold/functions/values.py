@@ -176,7 +176,7 @@ def envelope(kind, value: Column, numeric: Column = None, iso: Column = None) ->
 def mod97(code: Column) -> Column:
     """Remainder of the ISO 13616 number, folded digit by digit so that it never gets long."""
     plain = F.upper(F.regexp_replace(code, "[^A-Za-z0-9]", ""))
-    turned = F.concat(F.substring(plain, 5, 1000), F.substring(plain, 1, 4))
+    turned = F.concat(F.substring(plain, 5, F.length(plain)), F.substring(plain, 1, 4))
 
     def step(rest, char):
         return F.when(

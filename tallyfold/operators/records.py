@@ -259,18 +259,6 @@ def masked(sheets: DataFrame) -> DataFrame:
         "iban": iban, "supplier_name": F.concat(F.substring("supplier_name", 1, 1), F.lit("***"))})
 
 
-def reason_codes(fields: DataFrame, low: float = 0.8) -> DataFrame:
-    """Why a field needs a look; fields without a reason are left out."""
-    codes = F.array_compact(F.array(
-        F.when(F.col("confidence") == 0, "NO_CONFIDENCE"),
-        F.when((F.col("confidence") > 0) & (F.col("confidence") < low), "LOW_CONFIDENCE"),
-        F.when(F.col("validator_status") == "fail", "CHECK_FAILED"),
-        F.when(F.col("validator_status") == "warn", "RULE_MODEL_DISAGREE"),
-        F.when(F.col("method") == "llm", "MODEL_ONLY")))
-    return fields.withColumn("codes", codes).where(F.size("codes") > 0).select(
-        "invoice_id", "field", F.array_join("codes", ",").alias("codes"))
-
-
 def reusable(files: DataFrame, results: DataFrame, version: str) -> DataFrame:
     """Files and their tenant's earlier result of the same bytes by the same model, where there is one.
 

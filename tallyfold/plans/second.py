@@ -3,12 +3,14 @@
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fixed
-from ..operators import checks, metrics, records, recompute, resent, retention as upkeep, rules, scoring, search, versions
+from ..operators import (
+    answers, checks, fields, metrics, records, recompute, resent, retention as upkeep, review, rules, scoring, search, versions)
 from ..session import shared_folder
 from . import bindings as b
 from .catalog import COUNTRIES, _deciding_checks, query
 from .oracle import (
-    _AMOUNTS, _DECIDES, _FIELD_CTES, _FIELD_VIEWS, _SCORED, _SQL, _SUMS, _all_checks, _parsed_search, _total_checks, _with)
+    _ALL_CTES, _AMOUNTS, _DECIDES, _FIELD_CTES, _FIELD_VIEWS, _FOUND, _MERGED, _MODEL_CTES, _SCORED, _SQL, _SUMS,
+    _all_checks, _iban, _parsed_search, _total_checks, _vat, _with)
 
 CURRENCIES = ("EUR", "GBP", "CHF")
 NEEDED = {"DE": ("supplier_name", "invoice_number", "invoice_date", "iban"), "NL": ("supplier_name", "iban"),
@@ -160,9 +162,10 @@ def mandatory_fields(v):
     return records.missing_fields(v["v_field_sheet"].select("invoice_id", _country().alias("country"), given.alias("given")), rules)
 
 
-_SQL["mandatory_fields"] = _with(("v_field_sheet",)) + " UNION ALL ".join(
+_MISSING = " UNION ALL ".join(
     f"SELECT invoice_id, '{field}' AS field FROM v_field_sheet WHERE upper(supplier_vat[1:2]) = '{country}' AND {field} IS NULL"
     for country, names in NEEDED.items() for field in names)
+_SQL["mandatory_fields"] = _with(("v_field_sheet",)) + _MISSING
 
 
 @query
@@ -205,13 +208,13 @@ def duplicate_candidates(v):
     return records.duplicate_candidates(_sheet(v))
 
 
-_SQL["duplicate_candidates"] = _with(("v_field_sheet",)) + f"""
-SELECT * FROM (
+_DUPLICATES = f"""SELECT * FROM (
 SELECT invoice_id, 'number' AS rule, min(invoice_id) OVER (PARTITION BY org_id, {_KEY}, invoice_number) AS first_id
 FROM v_field_sheet WHERE invoice_number IS NOT NULL
 UNION ALL
 SELECT invoice_id, 'total', min(invoice_id) OVER (PARTITION BY org_id, {_KEY}, invoice_date, total_cents)
 FROM v_field_sheet WHERE invoice_date IS NOT NULL AND total_cents IS NOT NULL) d WHERE invoice_id > first_id"""
+_SQL["duplicate_candidates"] = _with(("v_field_sheet",)) + _DUPLICATES
 
 
 @query
@@ -312,17 +315,131 @@ SELECT invoice_id, substr(supplier_name, 1, 1) || '***' AS supplier_name,
        substr(iban, 1, 4) || '****' || right(iban, 2) AS iban, total_cents FROM v_field_sheet"""
 
 
-@query
-def reason_codes(v):
-    status = F.when(F.col("invoice_id") % 6 == 0, "fail").when(F.col("invoice_id") % 6 == 1, "warn")
-    return records.reason_codes(v.stored_fields().withColumn("validator_status", status))
+def _sanity(v):
+    return records.sanity_checks(_sheet(v), CURRENCIES)
 
 
-_SQL["reason_codes"] = _with(("v_field_sheet",), b.stored_fields_sql()) + """
-SELECT * FROM (SELECT invoice_id, field, concat_ws(',', CASE WHEN confidence = 0 THEN 'NO_CONFIDENCE' END,
-  CASE WHEN confidence > 0 AND confidence < 0.8 THEN 'LOW_CONFIDENCE' END,
-  CASE WHEN invoice_id % 6 = 0 THEN 'CHECK_FAILED' END, CASE WHEN invoice_id % 6 = 1 THEN 'RULE_MODEL_DISAGREE' END,
-  CASE WHEN method = 'llm' THEN 'MODEL_ONLY' END) AS codes FROM v_fields) c WHERE codes <> ''"""
+@query
+def reason_codes(v):
+    stored, printed = v.stored_fields(), v.blocks()
+    accepted = answers.accept(answers.parse_answers(v["v_answers"]))
+    merged = answers.merge_candidates(fields.find_fields(printed), answers.model_candidates(accepted, printed))
+    return review.reason_codes(
+        review.reasons_of_reading(stored, scoring.reading_confidence(printed)), review.reasons_of_models(stored),
+        review.reasons_of_merge(merged.withColumnRenamed("doc_id", "invoice_id")), review.reasons_of_checks(_deciding_checks(v)),
+        review.reasons_of_dates(_sanity(v)), review.reasons_of_missing(mandatory_fields(v)),
+        review.reasons_of_duplicates(records.duplicate_candidates(_sheet(v))), review.reasons_of_tables(v.lines()))
+
+
+_SQL["reason_codes"] = _with(
+    ("v_answers", *_FIELD_VIEWS, "v_invoices", "v_line_values"), b.blocks_sql(), *_ALL_CTES, _FOUND, *_MODEL_CTES, _MERGED, *_FIELD_CTES, _SHEET,
+    "reading AS (SELECT doc_id AS invoice_id, avg(coalesce(conf, 1)) AS p FROM blocks GROUP BY doc_id)",
+    f"missing AS ({_MISSING})",
+    "both_days AS (SELECT *, CAST(invoice_date AS DATE) AS d, CAST(due_date AS DATE) AS due FROM sheet)",
+) + f"""
+SELECT invoice_id, field, string_agg(code, ',' ORDER BY code) AS codes FROM (
+SELECT f.invoice_id, field, 'LOW_OCR_CONF' AS code FROM v_fields f JOIN reading r ON r.invoice_id = f.invoice_id AND p < 0.85
+UNION SELECT invoice_id, field, 'PROVIDER_LOW' FROM v_fields WHERE method = 'llm' AND confidence < 0.8
+UNION SELECT doc_id, field, 'RULE_LLM_DISAGREE' FROM merged WHERE verdict IN ('kept', 'taken')
+UNION SELECT invoice_id, 'total_vat', 'VAT_MISMATCH' FROM all_checks WHERE check_name = 'vat_total' AND status = 'fail'
+UNION SELECT invoice_id, field, 'MISSING_MANDATORY' FROM missing
+UNION SELECT invoice_id, 'invoice_date', 'DATE_SANITY' FROM both_days WHERE d > created_on + 14 OR abs(d - created_on) > 3650
+UNION SELECT invoice_id, 'due_date', 'DATE_SANITY' FROM both_days WHERE due < d
+UNION SELECT invoice_id, CASE rule WHEN 'number' THEN 'invoice_number' ELSE 'total' END, 'DUPLICATE_CANDIDATE'
+FROM ({_DUPLICATES}) u
+UNION SELECT invoice_id, 'line_items', 'TABLE_STRUCTURE_LOW' FROM v_line_values GROUP BY invoice_id
+HAVING count(*) FILTER (quantity IS NULL OR unit_price IS NULL OR description IS NULL) > 0.5 * count(*)) c
+GROUP BY invoice_id, field"""
+
+
+@query
+def currency_consistency(v):
+    return review.currency_consistency(
+        v["v_field_sheet"].select("invoice_id", "currency"), v.blocks().select(F.col("doc_id").alias("invoice_id"), "text"))
+
+
+_SQL["currency_consistency"] = _with(("v_sheets", "v_field_sheet"), b.blocks_sql(), """
+marks AS (SELECT doc_id AS invoice_id, unnest(regexp_extract_all(text, '[A-Za-z]+|[€$£]')) AS mark FROM blocks)""", """
+printed AS (SELECT DISTINCT invoice_id, CASE mark WHEN '€' THEN 'EUR' WHEN '$' THEN 'USD' WHEN '£' THEN 'GBP' ELSE mark END AS code
+FROM marks WHERE mark IN ('€', '$', '£', 'EUR', 'USD', 'GBP', 'CHF'))""") + """
+SELECT invoice_id, 'currency_consistent' AS check_name, CASE WHEN bool_and(code = upper(currency)) THEN 'pass' ELSE 'warn' END AS status,
+       string_agg(code, ',' ORDER BY code) AS printed
+FROM printed JOIN v_field_sheet USING (invoice_id) WHERE currency IS NOT NULL GROUP BY invoice_id"""
+
+b.VIEWS["v_readers"] = """
+SELECT org_id, CASE org_id % 4 WHEN 0 THEN 'owner' WHEN 1 THEN 'viewer' WHEN 2 THEN 'member' END AS role
+FROM {v_orgs} WHERE org_id % 7 <> 5"""
+
+
+@query
+def fields_by_role(v):
+    return review.visible_to(v.stored_fields(), v["v_readers"]).select(
+        "invoice_id", "field", F.col("value.value").alias("value"), "source_text")
+
+
+_SQL["fields_by_role"] = _with(("v_field_sheet", "v_readers"), b.stored_fields_sql()) + """
+SELECT invoice_id, field, CASE WHEN seen THEN value WHEN field <> 'iban' THEN substr(value, 1, 1) || '***'
+         WHEN length(value) > 6 THEN substr(value, 1, 4) || '****' || right(value, 2) ELSE '****' END AS value,
+       CASE WHEN seen THEN source_text END AS source_text
+FROM (SELECT f.*, field NOT IN ('supplier_name', 'iban') OR coalesce(role IN ('owner', 'admin', 'member'), false) AS seen
+      FROM v_fields f LEFT JOIN v_readers r ON r.org_id = f.org_id) s"""
+
+
+def _judged(v, invoices):
+    return checks.total_checks(invoices, v.lines(), ("subtotal", "vat_total", "grand_total")).unionByName(
+        checks.code_checks(invoices, only_present=False))
+
+
+@query
+def mistake_recall(v):
+    whole = v["v_checked"].where("subtotal IS NOT NULL AND total IS NOT NULL AND total_vat IS NOT NULL")
+    seeded = review.seed_mistakes(review.sound(whole, _judged(v, whole)))
+    failed = _judged(v, seeded).where("status = 'fail'").select("invoice_id", F.col("check_name").alias("name"))
+    needed = v.spark.createDataFrame([(c, "iban") for c in fixed.VAT_SHAPES], "country string, field string")
+    given = F.array_compact(F.array(F.when(F.col("iban").isNotNull(), "iban")))
+    missing = records.missing_fields(seeded.select("invoice_id", _country().alias("country"), given.alias("given")), needed)
+    return review.mistake_recall(seeded, failed.union(missing.select("invoice_id", F.concat(F.lit("missing_"), "field"))))
+
+
+_SQL["mistake_recall"] = _with(("v_checked", "v_line_items"), _AMOUNTS, _SUMS, f"""sound AS (
+SELECT * FROM v_checked WHERE subtotal IS NOT NULL AND total IS NOT NULL AND total_vat IS NOT NULL AND invoice_id NOT IN (
+  SELECT invoice_id FROM ({_total_checks('v_checked')}) t WHERE NOT ok
+  UNION ALL SELECT invoice_id FROM ({_iban('v_checked', 'invoice_id')}) i WHERE status <> 'pass'
+  UNION ALL SELECT invoice_id FROM ({_vat('v_checked', 'invoice_id', 'supplier_vat')}) x WHERE status <> 'pass'))""", """seeded AS (
+SELECT * REPLACE (
+  CASE mistake WHEN 'drift' THEN subtotal + 1 WHEN 'swapped' THEN total ELSE subtotal END AS subtotal,
+  CASE mistake WHEN 'swapped' THEN subtotal ELSE total END AS total,
+  CASE mistake WHEN 'vat_code' THEN left(supplier_vat, length(supplier_vat) - 1) ELSE supplier_vat END AS supplier_vat,
+  CASE mistake WHEN 'iban_code' THEN left(iban, length(iban) - 1) || CAST((CAST(right(iban, 1) AS INT) + 1) % 10 AS VARCHAR)
+    WHEN 'missing' THEN NULL ELSE iban END AS iban)
+FROM (SELECT *, CASE invoice_id % 10 WHEN 0 THEN 'drift' WHEN 1 THEN 'vat_code' WHEN 2 THEN 'iban_code' WHEN 3 THEN 'swapped'
+        WHEN 4 THEN 'missing' END AS mistake FROM sound) m
+  WHERE mistake IS NOT NULL AND (mistake <> 'swapped' OR subtotal IS DISTINCT FROM total))""", f"""hits AS (
+SELECT invoice_id, check_name AS name FROM ({_total_checks('seeded')}) t WHERE NOT ok
+UNION ALL SELECT invoice_id, 'iban' FROM ({_iban('seeded', 'invoice_id')}) i WHERE status = 'fail'
+UNION ALL SELECT invoice_id, 'vat_format' FROM ({_vat('seeded', 'invoice_id', 'supplier_vat')}) x WHERE status = 'fail'
+UNION ALL SELECT invoice_id, 'missing_iban' FROM seeded WHERE iban IS NULL AND upper(supplier_vat[1:2]) IN {tuple(fixed.VAT_SHAPES)})""") + """
+SELECT mistake, count(*) AS n, count(*) FILTER (hit) AS caught, count(*) FILTER (hit) / count(*) AS recall FROM (
+SELECT s.mistake, EXISTS (FROM hits h WHERE h.invoice_id = s.invoice_id AND (
+  (mistake = 'drift' AND name = 'subtotal') OR (mistake = 'vat_code' AND name = 'vat_format') OR (mistake = 'iban_code' AND name = 'iban')
+  OR (mistake = 'swapped' AND name IN ('subtotal', 'grand_total')) OR (mistake = 'missing' AND name = 'missing_iban'))) AS hit
+FROM seeded s) r GROUP BY mistake"""
+
+
+@query
+def correct_examples(v):
+    about = v["v_field_sheet"].select("invoice_id", F.col("supplier_name").alias("supplier"), _country().alias("country"), "currency")
+    return review.correct_examples(v.stored_fields(), v["v_corrections"], about, ["supplier", "country", "currency"])
+
+
+_SQL["correct_examples"] = _with(("v_field_sheet", "v_corrections"), b.stored_fields_sql()) + """
+SELECT supplier, country, currency, field, CAST(rank AS INT) AS rank, invoice_id, value, confidence FROM (
+SELECT supplier_name AS supplier, upper(supplier_vat[1:2]) AS country, currency, field, f.invoice_id, value, confidence, row_number() OVER (
+  PARTITION BY supplier_name, upper(supplier_vat[1:2]), currency, field ORDER BY confidence DESC, f.invoice_id) AS rank
+FROM v_fields f JOIN v_field_sheet s ON s.invoice_id = f.invoice_id
+LEFT JOIN (SELECT invoice_id, field AS f2, arg_max(new_value, (created_at, correction_id)) AS new_value FROM v_corrections GROUP BY ALL) c
+  ON c.invoice_id = f.invoice_id AND c.f2 = field
+WHERE new_value IS NULL OR new_value = value) r WHERE rank <= 3"""
 
 
 @query
