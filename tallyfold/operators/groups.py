@@ -20,12 +20,21 @@ def attach(df: DataFrame, per_key: DataFrame, keys: list) -> DataFrame:
 def piece_of(measured: DataFrame, along: str) -> Column:
     """The piece that a value of ``along`` is in: between which quantiles of all rows it lies.
 
-    The quantiles, at most ``PIECES`` numbers, are found by an aggregation that runs at once.
+    The quantiles, at most ``PIECES`` numbers, are found by an aggregation that runs at once. A value
+    is compared with seven of them, halving what is left, in generated code.
     """
     shares = [k / PIECES for k in range(1, PIECES)]
     found = measured.agg(F.percentile_approx(F.col(along).cast("double"), shares, 20 * PIECES).alias("cuts"))
-    cuts = F.array(*[F.lit(c) for c in sorted(set(found.first().cuts or []))]).cast("array<double>")
-    return F.coalesce(F.size(F.filter(cuts, lambda c: c < F.col(along).cast("double"))), F.lit(0))
+    cuts = sorted(set(found.first().cuts or []))
+    value = F.col(along).cast("double")
+
+    def between(low, high):
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(value > cuts[middle], between(middle + 1, high)).otherwise(between(low, middle))
+
+    return between(0, len(cuts))
 
 
 def index(
