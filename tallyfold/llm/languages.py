@@ -24,6 +24,8 @@ from tallyfold.llm.common import kind
 UNDETERMINED = "und"
 #: What stands for a border of a word; no letter has this code.
 BORDER = 1
+#: Characters whose n-grams are counted at a time, whatever the length of the text.
+PIECE = 1 << 18
 #: n-grams in a language's profile and in a document's.
 PROFILE = 400
 #: Labelled documents that each language is learned from, on average, and languages learned, the most
@@ -36,22 +38,41 @@ def _letters() -> np.ndarray:
     return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
-def ngrams(text: str) -> np.ndarray:
-    """Codes of the 1- to 3-grams, 21 bits a character; 1 stands for a border of a word.
+def ngrams(text: str):
+    """Codes of the 1- to 3-grams, 21 bits a character, in pieces of the text; 1 stands for a border of a word.
 
     The border is not 0, so that a letter that begins a word has another code than the letter alone.
     """
     c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), np.uint32)
-    c = np.where(_letters()[c], c, BORDER)
-    c = c[np.append(True, (c[1:] != BORDER) | (c[:-1] != BORDER))].astype(np.uint64)
-    pairs = c[:-1] << np.uint64(21) | c[1:]
-    triples = (pairs[:-1] << np.uint64(21) | c[2:])[c[1:-1] != BORDER]
-    return np.concatenate([c[c != BORDER], pairs, triples])
+    c = np.where(_letters()[c], c, np.uint32(BORDER))
+    c = c[np.append(True, (c[1:] != BORDER) | (c[:-1] != BORDER))]
+    for start in range(0, len(c), PIECE):
+        # Two characters more, for the n-grams that begin in this piece and end in the next.
+        d = c[start:start + PIECE + 2].astype(np.uint64)
+        pairs = d[:-1] << np.uint64(21) | d[1:]
+        triples = pairs[:-1] << np.uint64(21) | d[2:]
+        single = d[:PIECE]
+        yield np.concatenate([single[single != BORDER], pairs[:PIECE], triples[d[1:-1] != BORDER]])
+
+
+def merged(counted: list):
+    """The sums of counts (codes, counts), by rising code."""
+    if len(counted) == 1:
+        return counted[0]
+    codes, at = np.unique(np.concatenate([codes for codes, _ in counted]), return_inverse=True)
+    sums = np.zeros(len(codes), np.int64)
+    np.add.at(sums, at, np.concatenate([counts for _, counts in counted]))
+    return codes, sums
+
+
+def counts_of(text: str):
+    """The text's distinct n-grams by rising code, and how often each occurs."""
+    return merged([np.unique(piece, return_counts=True) for piece in ngrams(text)])
 
 
 def profile(text: str, size: int) -> np.ndarray:
     """The text's most frequent n-grams by falling frequency, ties by code."""
-    codes, counts = np.unique(ngrams(text), return_counts=True)
+    codes, counts = counts_of(text)
     return codes[np.argsort(-counts, kind="stable")[:size]]
 
 
@@ -72,8 +93,7 @@ def learn(docs: DataFrame, label: str = "lang", size: int = PROFILE, sample: int
         for batch in batches:
             texts, langs = batch["text"].to_pylist(), np.array(batch["lang"].to_pylist(), object)
             for lang in sorted(set(langs)):
-                own = [ngrams(texts[i]) for i in np.flatnonzero(langs == lang)]
-                codes, counts = np.unique(np.concatenate(own), return_counts=True)
+                codes, counts = merged([counts_of(texts[i]) for i in np.flatnonzero(langs == lang)])
                 yield pa.RecordBatch.from_pydict({
                     "lang": pa.array([lang] * len(codes), pa.string()), "gram": pa.array(codes.astype(np.int64)),
                     "n": pa.array(counts.astype(np.int64))})
@@ -134,7 +154,7 @@ def determined(docs: DataFrame, profiles: pd.DataFrame, size: int = PROFILE) ->
     judge = _judge(profiles, size)
     if not len(profiles):
         def judge(text):
-            return (None if text and ngrams(text).any() else UNDETERMINED), 0.0
+            return (None if text and len(counts_of(text)[0]) else UNDETERMINED), 0.0
 
     def run(batches):
         for batch in batches:

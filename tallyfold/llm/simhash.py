@@ -29,31 +29,35 @@ BITS, SEGMENTS, DISTANCE = 64, 16, 3
 SEGMENT_BITS = BITS // SEGMENTS
 #: Fingerprints in a block; a task compares two blocks at a time.
 BLOCK = 1024
+#: Shingles of a text that are hashed at a time.
+PIECE = 1 << 15
 
 
-def shingle_hashes(text: str, width: int) -> np.ndarray:
-    """XXH64 of every shingle of lower-cased words."""
+def shingle_hashes(text: str, width: int):
+    """XXH64 of every shingle of lower-cased words, in pieces of the text."""
     from xxhash import xxh64_intdigest
 
     words = text.encode("utf-8", "replace").lower().split()
     if len(words) <= width:
-        return np.array([xxh64_intdigest(b" ".join(words), SEED)] if words else [], np.uint64)
+        yield np.array([xxh64_intdigest(b" ".join(words), SEED)] if words else [], np.uint64)
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.append(0, ends[:-1] + 1)
-    n = len(words) - width + 1
-    return np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in
-                     zip(starts[:n].tolist(), ends[width - 1:].tolist(), strict=True)], np.uint64)
+    ends = ends[width - 1:]
+    del words
+    for at in range(0, len(ends), PIECE):
+        places = zip(starts[at:at + PIECE].tolist(), ends[at:at + PIECE].tolist())
+        yield np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in places], np.uint64)
 
 
 def fingerprint(text: str, width: int) -> int:
     """A bit is 1 if it is set in over half the hashes."""
-    hashes = shingle_hashes(text or "", width)
-    if not len(hashes):
-        return 0
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    most = 2 * bits.sum(0, dtype=np.int64) > len(hashes)
-    return int(np.packbits(most, bitorder="little").view("<i8")[0])
+    n, ones = 0, np.zeros(BITS, np.int64)
+    for hashes in shingle_hashes(text or "", width):
+        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        n, ones = n + len(hashes), ones + bits.sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:

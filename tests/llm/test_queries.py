@@ -439,7 +439,16 @@ def test_language_distances_equal_brute_force(spark, folder):
 
 
 def test_a_letter_at_a_border_is_another_gram():
-    assert len(set(languages.ngrams("b ab").tolist())) == len(grams_of("b ab"))
+    assert len(languages.counts_of("b ab")[0]) == len(grams_of("b ab"))
+
+
+@pytest.mark.parametrize("piece", [1, 2, 3, 7, 1000])
+def test_counts_do_not_depend_on_the_pieces(monkeypatch, piece):
+    monkeypatch.setattr(languages, "PIECE", piece)
+    for text in ("", " ", "a", "ab", "Ein Satz, 12 und  noch einer: äöü", "x y z " * 9):
+        codes, counts = languages.counts_of(text)
+        expected = {sum(ord(c) << 21 * k for k, c in enumerate(reversed(g))): n for g, n in grams_of(text).items()}
+        assert dict(zip(codes.tolist(), counts.tolist(), strict=True)) == expected
 
 
 def test_without_labels_all_is_undetermined(spark):
