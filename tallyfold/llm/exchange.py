@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import kind
+from tallyfold.llm.common import kind, tidied
 
 #: Bytes of text in a chunk, on average, and keys in a part: what a task holds at a time.
 CHUNK_BYTES, PART_KEYS = 6_000_000, 2_000_000
@@ -55,15 +55,20 @@ def in_chunks(docs: DataFrame, carried: list, chunk_bytes: int = None) -> tuple[
     return docs.withColumn("chunk", chunk_of(F.col("doc_id").cast("long"))).withColumn("text", packed("text")), total
 
 
-@functools.lru_cache(6)
-def _powers(base: int, size: int) -> np.ndarray:
+def powers(base: int, size: int) -> np.ndarray:
+    """base to the power 0, 1, ... modulo 2^64."""
     found = np.full(size, base, np.uint64)
-    found[0] = 1
+    found[:1] = 1
     return np.cumprod(found, dtype=np.uint64)
 
 
-def powers(base: int, size: int) -> np.ndarray:
-    return _powers(base, 1 << max(20, (size - 1).bit_length()))[:size]
+#: Kept for slices of usual size only, whatever the longest text.
+_kept_powers = functools.lru_cache(2)(powers)
+
+
+def _byte_powers(base: int, size: int) -> np.ndarray:
+    usual = 2 * SLICE_BYTES
+    return _kept_powers(base, usual)[:size] if size <= usual else powers(base, size)
 
 
 @functools.lru_cache(1)
@@ -87,8 +92,8 @@ def _hash_words(words: list) -> np.ndarray:
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
     sums = np.zeros(len(joined) + 1, np.uint64)
-    np.cumsum(_byte_values()[joined] * powers(OF_BYTES, len(joined)), out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * powers(INVERSES[0], len(joined) + 1)[starts] + lengths.astype(np.uint64))
+    np.cumsum(_byte_values()[joined] * _byte_powers(OF_BYTES, len(joined)), out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * _byte_powers(INVERSES[0], len(joined) + 1)[starts] + lengths.astype(np.uint64))
 
 
 def word_hashes(texts: list, lower: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -193,8 +198,10 @@ def ask(chunks: DataFrame, keys_of, cuts: np.ndarray, answer) -> DataFrame:
             "answers": pa.array([pack(values[a:b]) for a, b in zip(ends, ends[1:])], pa.binary())})
 
     # All columns go along, so that with_answers() reads the same shuffled chunks again.
-    sent = chunks.groupBy("chunk").applyInArrow(send, "chunk long, part long, n long, keys binary, counts binary")
-    return sent.groupBy("part").applyInArrow(reply, "chunk long, part long, n long, answers binary")
+    sent = chunks.groupBy("chunk").applyInArrow(
+        lambda chunk: tidied(send, chunk), "chunk long, part long, n long, keys binary, counts binary")
+    return sent.groupBy("part").applyInArrow(
+        lambda part: tidied(reply, part), "chunk long, part long, n long, answers binary")
 
 
 def ordered(chunk: pa.Table) -> pa.Table:
@@ -220,4 +227,4 @@ def with_answers(chunks: DataFrame, answers: DataFrame, apply, columns: str, bit
         return pa.table([chunk["carried"], *made], names=["carried", *names])
 
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        run, f"carried {kind(chunks, 'carried')}, {columns}")
+        lambda chunk, replies: tidied(run, chunk, replies), f"carried {kind(chunks, 'carried')}, {columns}")
