@@ -75,7 +75,8 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable by the links (a, b), for every linked node.
 
     Large and small stars in turn (a logarithmic number of rounds); the links shrink to one per
-    node. Each round is checkpointed. Links to itself and null ends count as none.
+    node. Each round is checkpointed. Links to itself and null ends count as none. The minima come out
+    of a shuffle of their own, so that adaptive execution can split the join of a node of many links.
     """
     links = cut(links.where("a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -83,10 +84,10 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = both.join(least.hint("rebalance"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        small = large.join(least.hint("rebalance"), "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(
             small.select("a", F.col("m").alias("b")))
         links = cut(small.where("a <> b").distinct())
