@@ -530,3 +530,18 @@ def test_packing_of_very_long_runs(spark, unit):
     found = packing.pieces(docs, queries.BYTE_TOKENIZER).where("doc_id = 1").orderBy("piece").collect()
     assert sum(r.length for r in found) == len(expected) // 4
     assert [r.ids_crc32 for r in found] == [zlib.crc32(expected[4 * r.start:4 * (r.start + r.length)]) for r in found]
+
+
+@pytest.mark.parametrize("size", [10, 2 * exchange.SLICE_BYTES - 1, 2 * exchange.SLICE_BYTES + 1])
+def test_powers_of_every_size(size):
+    found = exchange._byte_powers(exchange.OF_BYTES, size)
+    assert len(found) == size
+    for k in (0, 1, 2, size // 2, size - 1):
+        assert int(found[k]) == pow(exchange.OF_BYTES, k, 1 << 64)
+
+
+def test_a_word_has_one_hash_in_texts_of_every_length():
+    words = ["a", "wort", "ü" * 40, "x" * 3_000_000, "wort"]
+    alone = [exchange.word_hashes([word], False)[0][0] for word in words]
+    together, counts = exchange.word_hashes([" ".join(words), "", "wort"], False)
+    assert together.tolist() == [*alone, alone[1]] and counts.tolist() == [5, 0, 1]
