@@ -606,9 +606,8 @@ def export_json(v):
 
 
 def _stream(v, name):
-    return v.spark.readStream.schema(v[name].schema).option(
-        "pathGlobFilter", f"{name}.parquet"
-    ).parquet(v.folder)
+    """A table as it arrives, one file or a folder of files: a pattern may name either."""
+    return v.spark.readStream.schema(v[name].schema).parquet(f"{v.folder}/{name}.parque[t]")
 
 
 @query
