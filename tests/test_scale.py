@@ -12,3 +12,23 @@ def test_streamed_table_of_several_files(spark, tmp_path):
     documents.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     found = catalog.QUERIES["stream_new_files"](spark, str(tmp_path))
     assert found.count() == 15
+
+
+def _cells(spark, rows):
+    return spark.createDataFrame(
+        [(1, 0, 0, r, c, t) for r, cells in enumerate(rows) for c, t in cells],
+        "doc_id long, page_no int, table_no int, row_no int, col_no int, text string")
+
+
+def test_line_items_read_stored_rows(spark):
+    head = list(enumerate(["Pos", "Beschreibung", "Menge", "Brutto"]))
+    cells = _cells(spark, [head, [(0, "1"), (1, "Nagel"), (2, "2"), (3, "3,00")], [(0, "2"), (3, "4,00")]])
+    items = lines.line_items(cells)
+    assert items.inputFiles() and all("tallyfold-items" in f for f in items.inputFiles())
+    assert [(r.position, r.description, r.gross) for r in items.orderBy("position").collect()] == [(1, "Nagel", 3.0), (2, "", 4.0)]
+
+
+def test_rows_with_and_without_gaps(spark):
+    cells = _cells(spark, [[(0, " a "), (1, "b")], [(0, "c"), (3, "d")], [(2, "e")], [(0, " "), (4, "")]])
+    rows = {r.row_no: r.texts for r in lines.table_rows(cells).collect()}
+    assert rows == {0: ["a", "b"], 1: ["c", "", "", "d"], 2: ["", "", "e"]}
