@@ -32,3 +32,13 @@ def test_rows_with_and_without_gaps(spark):
     cells = _cells(spark, [[(0, " a "), (1, "b")], [(0, "c"), (3, "d")], [(2, "e")], [(0, " "), (4, "")]])
     rows = {r.row_no: r.texts for r in lines.table_rows(cells).collect()}
     assert rows == {0: ["a", "b"], 1: ["c", "", "", "d"], 2: ["", "", "e"]}
+
+
+def test_amounts_are_only_read_beside_a_word(spark):
+    blocks = spark.createDataFrame(
+        [(1, 0, 0, "12,00 or 13,00"), (1, 0, 1, "Total 14,00 and 15,00"), (1, 0, 2, None), (1, 0, 3, "Subtotal none")],
+        "doc_id long, page_no int, block_no int, text string").withColumns({c: F.lit(0.0) for c in ("x0", "y0", "x1", "y1")})
+    found = fields.find_wide(blocks, ("money",))
+    assert "isnotnull(_sum" in found._jdf.queryExecution().optimizedPlan().toString()
+    row = found.first()
+    assert row.total.value.numeric == 15.0 and row.subtotal is None and row.total_vat is None
