@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import answers, checks, pipeline, records, scoring
+from .groups import stored
 from .versions import KEY, Versions
 
 _FIELD = ("invoice_id", "field", "value", "confidence", "method", "source_text", "validator_status", "validator_detail", "status")
@@ -46,8 +47,9 @@ def settle(store: Versions, invoices: DataFrame, fields: DataFrame, lines: DataF
 
 def begin(store: Versions, invoices: DataFrame, fields: DataFrame, lines: DataFrame, orgs: DataFrame) -> None:
     """Version 0: all invoices as they were first processed. Lines never change and are kept once."""
-    store.write("lines", lines, 0)
-    settle(store, invoices, fields, lines, orgs, 0)
+    invoices = stored(invoices, "invoices")
+    store.lay_out(invoices)
+    settle(store, invoices, fields, store.write("lines", lines, 0), orgs, 0)
     store.commit(invoices.where("false"), 0)
 
 
@@ -57,10 +59,11 @@ def recompute(store: Versions, corrections: DataFrame, orgs: DataFrame, version:
     Corrections: ``invoice_id, field, new_value, created_at, correction_id``, those since the last
     version. Corrections of unknown invoices and null ids change nothing; failed invoices stay failed.
     """
-    asked = corrections.where(F.col(KEY).isNotNull())
-    invoices = store.newest("invoices", asked).select(KEY, "org_id", "status", "reading")
-    known = asked.join(invoices.select(KEY), KEY, "left_semi")
+    corrections = corrections.where(F.col(KEY).isNotNull())
+    asked = stored(corrections.select(KEY).distinct(), "asked")
+    invoices = stored(store.newest("invoices", asked).select(KEY, "org_id", "status", "reading"), "invoices")
+    known = corrections.join(invoices.select(KEY), KEY, "left_semi")
     fields = corrected(store.newest("fields", asked), known)
-    lines = store.rows("lines", asked).drop("_version")
+    lines = stored(store.rows("lines", asked).drop("_version"), "lines")
     settle(store, invoices, fields, lines, orgs, version)
     store.commit(store.rows("invoices").where(F.col("_version") == version), version)

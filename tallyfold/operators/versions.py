@@ -6,28 +6,48 @@ its tables are there; a run that failed is repeated under the same number. A cha
 therefore reads and writes their ranges only, whatever the size of the tables.
 """
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .groups import attach
 
 KEY = "invoice_id"
-_REPLACED = "_replaced"
+_REPLACED, _LAYOUT = "_replaced", "_layout"
+# Folders of a table, about; doublings of a range that are tried for it.
+FOLDERS, DOUBLINGS = 256, 40
 
 
 class Versions:
-    """Tables of invoices (a column ``invoice_id`` each) below ``folder``; ``span`` ids make a range."""
+    """Tables of invoices (a column ``invoice_id`` each) below ``folder``; ``span`` ids make a range, or more if laid out so."""
 
     def __init__(self, spark: SparkSession, folder: str, span: int = 1_000_000):
         self.spark, self.folder, self.span = spark, folder, span
+        self._doubled = self._stored_layout()
+
+    def _stored_layout(self) -> int:
+        """How often the span was doubled for this store; not at all before it is laid out."""
+        try:
+            found = self.spark.read.schema("doubled int").parquet(f"{self.folder}/{_LAYOUT}").first()
+        except AnalysisException:
+            found = None
+        return found.doubled if found else 0
+
+    def lay_out(self, invoices: DataFrame) -> None:
+        """Doubles the span of a new store until ``invoices`` are in at most about ``FOLDERS`` ranges."""
+        narrow = F.floor(F.col(KEY) / F.lit(self.span)).cast("long")
+        ranges = invoices.select(narrow.alias("r")).distinct()
+        counts = ranges.agg(*[F.approx_count_distinct(F.shiftright("r", k)) for k in range(DOUBLINGS)]).first()
+        self._doubled = next((k for k, n in enumerate(counts) if n <= FOLDERS), DOUBLINGS)
+        self.spark.range(1).select(F.lit(self._doubled).alias("doubled")).write.mode("overwrite").parquet(f"{self.folder}/{_LAYOUT}")
 
     def _range(self):
-        return F.floor(F.col(KEY) / F.lit(self.span)).cast("long")
+        return F.floor(F.col(KEY) / F.lit(self.span << self._doubled)).cast("long")
 
     def write(self, table: str, frame: DataFrame, version: int) -> DataFrame:
         """A table's rows of a version, as they stand there; they count from its commit on."""
         path = f"{self.folder}/{table}/_version={version}"
-        frame.withColumn("_range", self._range()).write.mode("overwrite").partitionBy("_range").parquet(path)
+        frame.withColumn("_range", self._range()).hint("rebalance", "_range").write.mode("overwrite").partitionBy("_range").parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
     def commit(self, replaced: DataFrame, version: int) -> None:

@@ -101,3 +101,17 @@ def test_corrected_fields_appear_change_and_go(spark):
     got = {(r.invoice_id, r.field): (r.value.numeric, r.value.iso, r.method, r.confidence) for r in found}
     assert got == {(1, "total"): (1234.5, None, "user", 1.0), (1, "due_date"): (None, "2024-02-14", "user", 1.0),
                    (2, "total"): (6.0, None, "rules", 0.95)}
+
+
+def test_many_ranges_share_few_folders_of_few_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(versions, "FOLDERS", 8)
+    rows = spark.range(400).select(F.col("id").alias("invoice_id"), (F.col("id") * 2).alias("x")).repartition(4)
+    made = Versions(spark, str(tmp_path / "wide"), span=10)
+    made.lay_out(rows)
+    made.write("t", rows, 0)
+    made.commit(rows.where("false"), 0)
+    files = glob.glob(f"{made.folder}/t/_version=0/_range=*/*.parquet")
+    assert {os.path.basename(os.path.dirname(f)) for f in files} == {f"_range={r}" for r in range(5)} and len(files) == 5
+    again = Versions(spark, made.folder, span=10)
+    found = again.newest("t", spark.createDataFrame([(7,), (399,)], "invoice_id long")).collect()
+    assert {(r.invoice_id, r.x) for r in found} == {(7, 14), (399, 798)}
