@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fixed
 from ..functions import kinds, values
 from ..operators import answers, checks, fields, lines, scoring, search, state
+from ..operators.groups import stored
 from ..session import shared_folder
 from ..sinks import export
 from ..sources import files, pages
@@ -102,9 +103,9 @@ def checks_present_only(v):
 
 @query
 def new_checks_only(v):
-    found = _plain(_all_checks(v, only_present=True))
-    stored = found.where(F.col("invoice_id") % 2 == 0)
-    return checks.not_stored_yet(found, stored)
+    # The checks are read as found and as stored; as a table they are worked out once.
+    found = stored(_plain(_all_checks(v, only_present=True)), "checks")
+    return checks.not_stored_yet(found, found.where(F.col("invoice_id") % 2 == 0))
 
 
 def _deciding_checks(v):

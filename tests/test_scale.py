@@ -42,3 +42,9 @@ def test_amounts_are_only_read_beside_a_word(spark):
     assert "isnotnull(_sum" in found._jdf.queryExecution().optimizedPlan().toString()
     row = found.first()
     assert row.total.value.numeric == 15.0 and row.subtotal is None and row.total_vat is None
+
+
+def test_checks_are_worked_out_once_to_be_stored(spark):
+    found = catalog.QUERIES["new_checks_only"](spark, "/root/testdata/sf0.001")
+    files = found.inputFiles()
+    assert files and all("tallyfold-checks" in f for f in files)
