@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from tallyfold.operators import fields, lines
+from tallyfold.operators import fields, groups, lines
 from tallyfold.plans import bindings, catalog
+from tallyfold.sources import pages
 
 
 def test_streamed_table_of_several_files(spark, tmp_path):
@@ -48,3 +49,65 @@ def test_checks_are_worked_out_once_to_be_stored(spark):
     found = catalog.QUERIES["new_checks_only"](spark, "/root/testdata/sf0.001")
     files = found.inputFiles()
     assert files and all("tallyfold-checks" in f for f in files)
+
+
+def _words(spark, pages_of):
+    """Words ``(page, top, x0)`` with all a line needs."""
+    rows = [(p, n, f"w{n}", float(t), float(x), x + 5.0, t + 8.0, 100.0, 1000.0) for n, (p, t, x) in enumerate(pages_of)]
+    return spark.createDataFrame(
+        rows, "page_id long, word_no long, text string, top double, x0 double, x1 double, bottom double, page_width double, page_height double")
+
+
+def _lines_by_hand(pages_of):
+    found, starts = {}, {}
+    for n, (p, t, x) in sorted(enumerate(pages_of), key=lambda w: w[1][1]):
+        if p not in starts or t - starts[p][-1] > 3:
+            starts.setdefault(p, []).append(t)
+        found.setdefault((p, len(starts[p]) - 1), []).append((x, n))
+    return {k: " ".join(f"w{n}" for _, n in sorted(v)) for k, v in found.items()}
+
+
+def test_words_travel_once_where_no_page_is_large(spark):
+    placed = [(p, (n * 37 % 60) * 1.5, n * 53 % 90) for p in range(400) for n in range(p % 7 + 1)]
+    found = pages.words_to_lines(_words(spark, placed))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 2
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.page_id, r.line_no): r.text for r in found.collect()} == _lines_by_hand(placed)
+
+
+def test_lines_of_a_large_page_among_small_ones(spark):
+    placed = [(p, (n * 37 % 60) * 1.5, n * 53 % 90) for p in range(400) for n in range(p % 7 + 1)]
+    placed += [(500, (n * 7919 % 3000) * 0.7, n % 91) for n in range(900)]
+    found = pages.words_to_lines(_words(spark, placed))
+    assert "piece" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.page_id, r.line_no): r.text for r in found.collect()} == _lines_by_hand(placed)
+
+
+def test_scanned_lines_of_small_and_large_pages(spark):
+    for large in (False, True):
+        sizes = {p: p % 7 + 1 for p in range(400)} | ({500: 900} if large else {})
+        words = spark.createDataFrame(
+            [(p, n, f" w{n}", 50, n // 64, n // 32 % 2, n // 8 % 4, n % 8 * 60, (n * 37 % 90) * 10, 50, 10, 600, 1000)
+             for p, size in sizes.items() for n in range(size)],
+            "page_id long, word_no int, text string, conf int, block_num int, par_num int, line_num int, left int, top int, "
+            "width int, height int, page_width int, page_height int")
+        found = pages.scanned_words_to_lines(words)
+        assert ("Join" in found._jdf.queryExecution().optimizedPlan().toString()) == large
+        want = {}
+        for p, size in sizes.items():
+            own = {}
+            for n in range(size):
+                own.setdefault((n // 64, n // 32 % 2, n // 8 % 4), []).append(n)
+            order = sorted(own.items(), key=lambda kv: (min(n * 37 % 90 for n in kv[1]), min(n % 8 for n in kv[1]), kv[0]))
+            want |= {(p, i): " ".join(f"w{n}" for n in ns) for i, (_, ns) in enumerate(order)}
+        assert {(r.page_id, r.reading_order): r.text for r in found.collect()} == want
+
+
+def test_small_groups_are_numbered_without_a_join(spark):
+    frame = spark.range(2000).selectExpr("id % 500 AS k", "(id * 7919) % 10007 AS v")
+    numbered = groups.index(frame, ["k"], ["v"], "i", along="v")
+    followed = groups.previous(frame, ["k"], ["v"], "v", F.col("v"), "before")
+    for found in (numbered, followed):
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert numbered.groupBy("k").agg(F.max("i").alias("m")).where("m <> 4").count() == 0
+    assert followed.where("before IS NULL").count() == 500 and followed.where("before >= v").count() == 0
