@@ -77,9 +77,12 @@ def evaluation_report(expected: DataFrame, got: DataFrame, about: DataFrame, by:
     """
     e = expected.select("invoice_id", "field", F.col("value").alias("_e"))
     g = got.select("invoice_id", "field", F.col("value").alias("_g"))
-    joined = attach(e.join(g, ["invoice_id", "field"], "full"), about, ["invoice_id"])
-    there, found = F.col("_e").isNotNull(), F.col("_g").isNotNull()
-    hit = F.coalesce(F.col("_e") == F.col("_g"), F.lit(False))
+    # What was told apart travels on to the attributes, the values do not.
+    told = e.join(g, ["invoice_id", "field"], "full").select(
+        "invoice_id", "field", F.col("_e").isNotNull().alias("_there"), F.col("_g").isNotNull().alias("_found"),
+        F.coalesce(F.col("_e") == F.col("_g"), F.lit(False)).alias("_hit"))
+    joined = attach(told, about, ["invoice_id"])
+    there, found, hit = F.col("_there"), F.col("_found"), F.col("_hit")
     groupings = [[F.col("field")], *[[F.col("field"), F.col(c)] for c in by]]
     sums = joined.groupingSets(groupings, F.col("field"), *[F.col(c) for c in by]).agg(
         *[F.grouping(c).alias(f"_no_{c}") for c in by],

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tallyfold.operators import fields, groups, lines
+from tallyfold.operators import fields, groups, lines, metrics
 from tallyfold.plans import bindings, catalog
 from tallyfold.sources import pages
 
@@ -111,3 +111,23 @@ def test_small_groups_are_numbered_without_a_join(spark):
         assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert numbered.groupBy("k").agg(F.max("i").alias("m")).where("m <> 4").count() == 0
     assert followed.where("before IS NULL").count() == 500 and followed.where("before >= v").count() == 0
+
+
+def test_printed_sums_and_accepted_answers_are_worked_out_once(spark):
+    for name, tables in (("answer_candidates", ("printed", "accepted")), ("merge_candidates", ("printed", "accepted")),
+                         ("override_header", ("printed",))):
+        files = catalog.QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles()
+        assert all(any(f"tallyfold-{t}" in f for f in files) for t in tables)
+
+
+def test_values_do_not_travel_to_the_attributes(spark):
+    rows = spark.createDataFrame([(1, "total", "1"), (1, "iban", "a"), (2, "total", "2")], "invoice_id long, field string, value string")
+    got = spark.createDataFrame([(1, "total", "1"), (2, "total", "3"), (3, "iban", "b")], "invoice_id long, field string, value string")
+    about = spark.createDataFrame([(1, "DE"), (2, "FR")], "invoice_id long, country string")
+    report = metrics.evaluation_report(rows, got, about, ["country"])
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert "_hit" in plan and not [x for x in plan.splitlines() if "LeftOuter" in x and "_e#" in x]
+    found = {(r.by, r.of, r.field): (r.tp, r.fp, r.fn, r.n) for r in report.collect()}
+    assert found == {
+        ("", None, "total"): (1, 1, 1, 2), ("", None, "iban"): (0, 1, 1, 1), ("country", "DE", "total"): (1, 0, 0, 1),
+        ("country", "FR", "total"): (0, 1, 1, 1), ("country", "DE", "iban"): (0, 0, 1, 1), ("country", None, "iban"): (0, 1, 0, 0)}
