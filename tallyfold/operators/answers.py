@@ -262,7 +262,8 @@ def document_text(blocks: DataFrame, cells: DataFrame, page_list: DataFrame = No
     Pages of the list (``doc_id, page_no``) without any content have their header alone.
 
     Texts are joined row by row, table by table, page by page, so that what meets
-    in one place is already short of everything but the result itself.
+    in one place is already short of everything but the result itself.  Blocks, cells and pages
+    that are dealt out by document alike are joined where they lie, without a further shuffle.
     """
     def joined(parts, *order):
         ordered = F.array_sort(F.collect_list(F.struct(*order, F.col(parts).alias("t"))))
@@ -277,12 +278,15 @@ def document_text(blocks: DataFrame, cells: DataFrame, page_list: DataFrame = No
         "doc_id", "page_no", (F.col("table_no") + 1).alias("part"),
         F.concat(F.lit("TABLE:\n"), "text").alias("text"),
     )
-    parts = printed.withColumn("part", F.lit(0)).unionByName(tables)
-    headed = parts.select("doc_id", "page_no", "part", "text")
-    every = headed.select("doc_id", "page_no")
+
+    def of_page(frame, part=None):
+        return frame.select("doc_id", "page_no", F.struct(part, F.col("text").alias("t")).alias("part"))
+
+    every = of_page(printed, F.lit(0).alias("part")).unionByName(of_page(tables, F.col("part")))
     if page_list is not None:
-        every = every.unionByName(page_list.select("doc_id", "page_no"))
+        every = every.unionByName(page_list.select("doc_id", "page_no", F.lit(None).alias("part")))
     header = F.concat(F.lit("--- PAGE "), F.col("page_no") + 1, F.lit(" ---"))
-    headers = every.distinct().select("doc_id", "page_no", F.lit(-1).alias("part"), header.alias("text"))
-    pages = headed.unionByName(headers).groupBy("doc_id", "page_no").agg(joined("text", "part"))
+    pages = every.groupBy("doc_id", "page_no").agg(F.collect_list("part").alias("parts")).select(
+        "doc_id", "page_no", F.array_join(F.array_sort(F.array_append(
+            "parts", F.struct(F.lit(-1).alias("part"), header.alias("t"))))["t"], "\n").alias("text"))
     return pages.groupBy("doc_id").agg(joined("text", "page_no"))

@@ -8,7 +8,7 @@ fixed formula.  The formulas are SQL that Spark and other engines read alike;
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.groups import stored
+from ..operators.groups import dealt, stored
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -508,7 +508,7 @@ class Views:
     """The views of one folder as DataFrames; each is built once per object."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self._built = spark, folder, {}
+        self.spark, self.folder, self._built, self._cells = spark, folder, {}, None
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._built:
@@ -529,8 +529,14 @@ class Views:
         """Line items; the position costs a shuffle and comes only when asked for."""
         return self["v_line_items" if numbered else "v_line_values"].drop(*LINE_ORDER)
 
-    def blocks(self) -> DataFrame:
-        """Printed lines: one row per text block."""
+    def together(self, frame: DataFrame) -> DataFrame:
+        """Rows of one document together, before blocks or cells are made of them; alike for all frames."""
+        if self._cells is None:
+            self._cells = CELLS * (self["lineitem"].count() + self["orders"].count())
+        return dealt(frame, ["doc_id"], self._cells)
+
+    def blocks(self, together: bool = False) -> DataFrame:
+        """Printed lines: one row per text block; together: those of one document."""
         printed = F.array(*[
             F.struct(
                 F.lit(1 if n == SHEET_LINES - 1 else 0).alias("page_no"),
@@ -541,20 +547,22 @@ class Views:
             )
             for n in range(SHEET_LINES)
         ])
+        sheets = self["v_sheets"].select("doc_id", "org_id", "conf", "left_edge", *[f"t{n}" for n in range(SHEET_LINES)])
         return (
-            self["v_sheets"]
+            (self.together(sheets) if together else sheets)
             .select("doc_id", "org_id", "conf", F.inline(printed))
             .where(F.col("text").isNotNull())
             .withColumns({"x1": F.lit(0.9), "y1": F.col("y0") + F.lit(0.05)})
         )
 
-    def cells(self) -> DataFrame:
-        """Table cells: one row per cell."""
+    def cells(self, together: bool = False) -> DataFrame:
+        """Table cells: one row per cell; together: those of one document."""
         row = F.array(*[
             F.struct(F.lit(c).alias("col_no"), F.col(f"c{c}").alias("text"))
             for c in range(CELLS)
         ])
-        return self["v_rows"].select("doc_id", "page_no", "table_no", "row_no", F.inline(row))
+        rows = self.together(self["v_rows"]) if together else self["v_rows"]
+        return rows.select("doc_id", "page_no", "table_no", "row_no", F.inline(row))
 
     def stored_fields(self) -> DataFrame:
         """Extracted fields as stored: one row per invoice and field that has a value."""

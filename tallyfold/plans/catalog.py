@@ -439,7 +439,7 @@ def route_cost(v):
 def document_text(v):
     every = v["v_invoices"].select(F.col("invoice_id").alias("doc_id"), F.explode(F.array(
         F.lit(0), F.when(F.col("invoice_id") % 4 == 0, 2))).alias("page_no")).where("page_no IS NOT NULL")
-    return answers.document_text(v.blocks(), v.cells(), every).select(
+    return answers.document_text(v.blocks(together=True), v.cells(together=True), v.together(every)).select(
         "doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest")
     )
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tallyfold.operators import fields, groups, lines, metrics
+from tallyfold.operators import answers, fields, groups, lines, metrics
 from tallyfold.plans import bindings, catalog
 from tallyfold.sources import pages
 
@@ -131,3 +131,21 @@ def test_values_do_not_travel_to_the_attributes(spark):
     assert found == {
         ("", None, "total"): (1, 1, 1), ("", None, "iban"): (0, 1, 1), ("country", "DE", "total"): (1, 0, 0),
         ("country", "FR", "total"): (0, 1, 1), ("country", "DE", "iban"): (0, 0, 1), ("country", None, "iban"): (0, 1, 0)}
+
+
+def test_text_of_documents_dealt_out_is_joined_where_it_lies(spark):
+    blocks = spark.createDataFrame(
+        [(1, 0, 1, "b"), (1, 0, 0, "a"), (1, 0, 2, None), (1, 1, 0, None), (2, 0, 0, "c"), (None, 0, 0, "d")],
+        "doc_id long, page_no int, block_no int, text string")
+    cells = _cells(spark, [[(0, "x"), (1, None), (2, "y")], [(0, None)], [(0, "z")]])
+    cells = cells.unionByName(cells.where("row_no = 2").withColumn("page_no", F.lit(None).cast("int")))
+    listed = spark.createDataFrame([(1, 0), (2, 1), (2, 1), (3, 0)], "doc_id long, page_no int")
+    frames = [groups.dealt(f, ["doc_id"], 3_000_000) for f in (blocks, cells, listed)]
+    text = answers.document_text(*frames)
+    want = {
+        1: "TABLE:\nz\n--- PAGE 1 ---\na\nb\nTABLE:\nx | y\n\nz\n--- PAGE 2 ---\n", 2: "--- PAGE 1 ---\nc\n--- PAGE 2 ---",
+        3: "--- PAGE 1 ---", None: "--- PAGE 1 ---\nd"}
+    assert {r.doc_id: r.text for r in text.collect()} == want
+    plan = text._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("Exchange hashpartitioning") == 3
+    assert {r.doc_id: r.text for r in answers.document_text(blocks, cells, listed).collect()} == want
