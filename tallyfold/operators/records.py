@@ -27,9 +27,21 @@ def newest_corrections(corrections: DataFrame) -> DataFrame:
     return corrections.groupBy("invoice_id", "field").agg(newest.alias("new_value"))
 
 
+def with_corrections(fields: DataFrame, corrections: DataFrame) -> DataFrame:
+    """Fields with the last ``new_value`` a user gave, if any.
+
+    The few corrections of an invoice come as one row, so that fields lying together by invoice stay where they are.
+    """
+    given = newest_corrections(corrections).where("field IS NOT NULL AND new_value IS NOT NULL")
+    entries = F.collect_list(F.struct("field", "new_value"))
+    by_invoice = given.groupBy("invoice_id").agg(F.map_from_entries(entries).alias("_given"))
+    return fields.join(by_invoice, "invoice_id", "left").withColumn(
+        "new_value", F.try_element_at("_given", F.col("field"))).drop("_given")
+
+
 def apply_corrections(fields: DataFrame, corrections: DataFrame) -> DataFrame:
     """Fields with corrected values: certain, by the user, to be validated again."""
-    joined = fields.join(newest_corrections(corrections), ["invoice_id", "field"], "left")
+    joined = with_corrections(fields, corrections)
     fixed = F.col("new_value").isNotNull()
     value = F.col("value").withField("value", F.coalesce("new_value", "value.value"))
     return joined.withColumns({

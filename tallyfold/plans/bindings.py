@@ -8,7 +8,7 @@ fixed formula.  The formulas are SQL that Spark and other engines read alike;
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.groups import dealt, stored
+from ..operators.groups import TASK_ROWS, stored
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -508,7 +508,7 @@ class Views:
     """The views of one folder as DataFrames; each is built once per object."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self._built, self._cells = spark, folder, {}, None
+        self.spark, self.folder, self._built, self._parts = spark, folder, {}, None
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._built:
@@ -529,11 +529,16 @@ class Views:
         """Line items; the position costs a shuffle and comes only when asked for."""
         return self["v_line_items" if numbered else "v_line_values"].drop(*LINE_ORDER)
 
-    def together(self, frame: DataFrame) -> DataFrame:
-        """Rows of one document together, before blocks or cells are made of them; alike for all frames."""
-        if self._cells is None:
-            self._cells = CELLS * (self["lineitem"].count() + self["orders"].count())
-        return dealt(frame, ["doc_id"], self._cells)
+    def together(self, frame: DataFrame, key: str = "doc_id") -> DataFrame:
+        """Rows of one document together, before blocks, cells or fields are made of them; alike for all frames.
+
+        What is made of a row is many times its length: the number of parts follows from the cells. With
+        fewer parts than other shuffles have, a join would deal all that is made out anew.
+        """
+        if self._parts is None:
+            cells = CELLS * (self["lineitem"].count() + self["orders"].count())
+            self._parts = max(-(-cells // TASK_ROWS), int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        return frame.repartition(self._parts, key)
 
     def blocks(self, together: bool = False) -> DataFrame:
         """Printed lines: one row per text block; together: those of one document."""
@@ -564,8 +569,8 @@ class Views:
         rows = self.together(self["v_rows"]) if together else self["v_rows"]
         return rows.select("doc_id", "page_no", "table_no", "row_no", F.inline(row))
 
-    def stored_fields(self) -> DataFrame:
-        """Extracted fields as stored: one row per invoice and field that has a value."""
+    def stored_fields(self, together: bool = False) -> DataFrame:
+        """Extracted fields as stored: one row per invoice and field that has a value; together: those of one invoice."""
         entries = []
         for turn, name in enumerate(FIELD_NAMES):
             p = {k: F.expr(v) for k, v in _field_parts(name, turn).items()}
@@ -577,8 +582,9 @@ class Views:
                 p["method"].alias("method"),
                 p["source_text"].alias("source_text"),
             ))
+        sheets = self["v_field_sheet"]
         return (
-            self["v_field_sheet"]
+            (self.together(sheets, "invoice_id") if together else sheets)
             .select("invoice_id", "org_id", F.inline(F.array(*entries)))
             .where(F.col("value.value").isNotNull())
             .withColumns({

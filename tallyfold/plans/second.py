@@ -60,7 +60,7 @@ FROM v_field_sheet GROUP BY org_id, {_KEY}"""
 
 @query
 def corrected_fields(v):
-    found = records.apply_corrections(v.stored_fields(), v["v_corrections"])
+    found = records.apply_corrections(v.stored_fields(together=True), v["v_corrections"])
     return found.select("invoice_id", "field", F.col("value.value").alias("value"), "method", "confidence")
 
 
@@ -430,7 +430,7 @@ FROM seeded s) r GROUP BY mistake"""
 @query
 def correct_examples(v):
     about = v["v_field_sheet"].select("invoice_id", F.col("supplier_name").alias("supplier"), _country().alias("country"), "currency")
-    return review.correct_examples(v.stored_fields(), v["v_corrections"], about, ["supplier", "country", "currency"])
+    return review.correct_examples(v.stored_fields(together=True), v["v_corrections"], stored(about, "about"), ["supplier", "country", "currency"])
 
 
 _SQL["correct_examples"] = _with(("v_field_sheet", "v_corrections"), b.stored_fields_sql()) + """

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tallyfold.operators import answers, fields, groups, lines, metrics
+from tallyfold.operators import answers, fields, groups, lines, metrics, records
 from tallyfold.plans import bindings, catalog
 from tallyfold.sources import pages
 
@@ -149,3 +149,26 @@ def test_text_of_documents_dealt_out_is_joined_where_it_lies(spark):
     plan = text._jdf.queryExecution().executedPlan().toString()
     assert plan.split("Initial Plan")[0].count("Exchange hashpartitioning") == 3
     assert {r.doc_id: r.text for r in answers.document_text(blocks, cells, listed).collect()} == want
+
+
+def _fields_of(spark, invoices, parts):
+    return spark.range(invoices).select(F.col("id").alias("invoice_id")).repartition(parts, "invoice_id").select(
+        "invoice_id", F.explode(F.array(F.lit("iban"), F.lit("total"))).alias("field")).select(
+        "*", F.struct(F.concat("field", F.col("invoice_id") % 3).alias("value")).alias("value"), F.lit("rules").alias("method"),
+        (F.col("invoice_id") * 37 % 100 / 100).alias("confidence"), F.lit(None).cast("string").alias("validator_status"))
+
+
+def _corrections(spark):
+    return spark.createDataFrame(
+        [(1, 1, "iban", "old", 1), (2, 1, "iban", "new", 2), (3, 2, "total", "total2", 1), (4, 2, "iban", None, 1), (5, 3, None, "x", 1),
+         (6, None, "iban", "y", 1), (7, 4, "iban", "a", 1), (8, 4, "iban", None, 2), (9, 5, "other", "z", 1)],
+        "correction_id long, invoice_id long, field string, new_value string, created_at int")
+
+
+def test_corrected_fields_stay_where_their_invoice_lies(spark):
+    found = records.apply_corrections(_fields_of(spark, 40, 8), _corrections(spark))
+    changed = {(r.invoice_id, r.field): (r.value.value, r.confidence) for r in found.where("method = 'user'").collect()}
+    assert found.count() == 80 and changed == {(1, "iban"): ("new", 1.0), (2, "total"): ("total2", 1.0)}
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "invoice_id" in plan and "hashpartitioning(invoice_id" in plan
+    assert not [x for x in plan.splitlines() if "Join" in x and "field" in x]
