@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tallyfold.operators import answers, fields, groups, lines, metrics, records
+from tallyfold.operators import answers, fields, groups, lines, metrics, records, review
 from tallyfold.plans import bindings, catalog
 from tallyfold.sources import pages
 
@@ -172,3 +172,20 @@ def test_corrected_fields_stay_where_their_invoice_lies(spark):
     plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "invoice_id" in plan and "hashpartitioning(invoice_id" in plan
     assert not [x for x in plan.splitlines() if "Join" in x and "field" in x]
+
+
+def test_examples_of_small_and_large_suppliers(spark):
+    for share in (200, 2):
+        about = spark.range(400).select(
+            F.col("id").alias("invoice_id"), F.when(F.col("id") % share == 1, "big").otherwise((F.col("id") % 190).cast("string")).alias("supplier"))
+        found = review.correct_examples(_fields_of(spark, 400, 8), _corrections(spark), about, ["supplier"])
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert ("_piece" in plan) == (share == 2) and "_fields" in plan
+        want = {}
+        for n in range(400):
+            key = "big" if n % share == 1 else str(n % 190)
+            for field in ("iban", "total"):
+                if (n, field) != (1, "iban"):
+                    want.setdefault((key, field), []).append((-(n * 37 % 100) / 100, n, f"{field}{n % 3}"))
+        want = {(k, f, i): (n, v) for (k, f), rows in want.items() for i, (_, n, v) in enumerate(sorted(rows)[:3], 1)}
+        assert {(r.supplier, r.field, r["rank"]): (r.invoice_id, r.value) for r in found.collect()} == want
