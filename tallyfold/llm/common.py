@@ -153,7 +153,8 @@ def paired_blocks(frame: DataFrame, group: str, item: str, rows: int) -> DataFra
     # Cut off, the sizes are dealt out anew for the join, so that a crowded group can be split there.
     sizes = cut(frame.groupBy(group).agg(F.count("*").alias("_n")).where("_n > 1"))
     blocks = F.ceil(F.col("_n") / F.lit(rows))
-    split = frame.join(sizes, group).withColumn("_blocks", blocks).withColumn(
+    # Never broadcast: Spark sizes a frame before its explode, and one of 10 MB can be hundreds on the driver.
+    split = frame.hint("merge").join(sizes, group).withColumn("_blocks", blocks).withColumn(
         "_own", F.pmod(F.xxhash64(item), F.col("_blocks")))
     split = split.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
     return split.select(

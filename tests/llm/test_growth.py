@@ -1,0 +1,22 @@
+"""What grows with the input must not grow on the driver, nor in the number of reads."""
+
+from pyspark.sql import functions as F
+
+from tallyfold.llm import simhash
+from tallyfold.llm.common import paired_blocks
+
+
+def test_no_exploded_frame_is_broadcast(spark):
+    keys = F.explode(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: i * 1000 + F.col("item") % 300)).alias("key")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        items = spark.range(3000).select(F.col("id").alias("item")).groupBy("item").agg(F.count("*").alias("n"))
+        spread = paired_blocks(items.select("item", keys), "key", "item", simhash.BLOCK)
+        assert spread.count() == 3000 * 32
+        assert "BroadcastHashJoin" not in spread._jdf.queryExecution().executedPlan().toString()
+        distinct = spark.range(2000).select(F.xxhash64("id").alias("fingerprint")).distinct()
+        plan = simhash.links(distinct)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
