@@ -7,13 +7,14 @@ and line ends. Counts are per language (null: `und`), over all documents.
    64-bit hashes, counted once within each task and added up by Spark. A phrase is looked at only if
    both phrases of one word less may be frequent, by a bitmap of a fixed size that holds the frequent
    hashes of the level before. Equal hashes of different phrases, and equal places in a bitmap, can only
-   add, so no phrase of `least` occurrences is lost. Their words are then read off the texts, joined by
-   the hash (`candidates`).
-2. Exact counts (`counted`). The candidates are split by a hash into shards of at most about SHARD
-   phrases. Each shard becomes a double-array trie over its own words, whose size is bounded with it,
-   and is broadcast. Every task holds one state per position of the text and advances all of them by one
-   word at a time, level by level; accepting states are binned and counted; Spark sums the tasks' bins.
-   A shard reads the texts once, so a corpus of k shards is read k times in this step.
+   add, so no phrase of `least` occurrences is lost. The longest phrase at each position that may be frequent
+   is then read off the texts; equal ones are added up, byte by byte (`windows`). They are not many more than
+   the candidates, which are what they begin with, joined by the hash (`candidates`).
+2. Exact counts (`counted`). The texts are not read again, however many candidates there are. Candidates and
+   windows are split into shards by a hash of their first word, about SHARD candidates each. A task makes
+   a double-array trie of a shard's candidates, whose size is bounded with it, holds one state per window and
+   advances all of them by one word at a time, level by level; accepting states are binned and counted.
+   Every occurrence of a candidate begins a window, since the bitmaps decide by the candidate's words alone.
 3. Scores, containment and the best of each language are joins of the counted phrases (`mine`).
 
 Cases: null and empty texts have no words; texts are read whole, in stretches that end between pieces;
@@ -29,11 +30,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import written
+from tallyfold.llm.common import tidied, written
 
 LONGEST = 4
 #: Bits of a bitmap, 4 MB whatever the corpus; phrases of a shard; bytes of text and hashes handled at once.
-BITMAP, SHARD, STRETCH, HELD = 25, 250_000, 2 << 20, 4_000_000
+BITMAP, SHARD, STRETCH, HELD = 25, 100_000, 2 << 20, 4_000_000
 #: Pieces in which a language's phrases are ranked first.
 PIECES = 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -198,24 +199,66 @@ def _bitmap(hashes: DataFrame) -> np.ndarray:
     return bitmap.view(np.uint8)
 
 
-def candidates(docs: DataFrame, tables: list, bitmaps: list) -> DataFrame:
-    """(lang, phrase, size): the distinct phrases behind the frequent hashes."""
+def windows(docs: DataFrame, bitmaps: list) -> DataFrame:
+    """(lang, phrase, n): the longest phrase at each position that may be frequent, and at how many it stands."""
 
     def run(batches):
         for batch in batches:
             for stretch in stretches(batch):
                 words, langs, lang_at, _ = stretch
+                longest = np.zeros(len(words), np.int8)
                 for k, (here, h) in enumerate(_levels(stretch, bitmaps[:-1]), 1):
-                    kept = _may_be(bitmaps[k - 1], h)
-                    h, first = np.unique(h[kept], return_index=True)
-                    here = here[kept][first]
-                    parts = [words.take(pa.array(here + j)) for j in range(k)]
-                    phrase = parts[0] if k == 1 else pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary()))
-                    yield pa.RecordBatch.from_pydict({
-                        "h": pa.array(h.view(np.int64)), "size": pa.array(np.full(len(h), k, np.int32)),
-                        "lang": langs.take(pa.array(lang_at[here])), "phrase": phrase.cast(pa.binary())})
-
-    found = docs.mapInArrow(run, "h long, size int, lang string, phrase binary").distinct()
+                    longest[here[_may_be(bitmaps[k - 1], h)]] = k
+                for k in range(1, LONGEST + 1):
+                    here = np.flatnonzero(longest == k)
+                    found = pa.table({"lang": lang_at[here], "phrase": _phrases(words, here, k)})
+                    found = found.group_by(["lang", "phrase"], use_threads=False).aggregate([([], "count_all")]).combine_chunks()
+                    if len(found):
+                        lang, phrase, n = (found[c].chunk(0) for c in ("lang", "phrase", "count_all"))
+                        yield pa.RecordBatch.from_pydict({"lang": langs.take(lang), "phrase": phrase.cast(pa.binary()), "n": n})
+
+    found = docs.mapInArrow(run, "lang string, phrase binary, n long")
+    return found.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+
+
+def _phrases(words, here: np.ndarray, k: int) -> pa.Array:
+    """The k words from each of these positions on."""
+    parts = [words.take(pa.array(here + j)) for j in range(k)]
+    return parts[0] if k == 1 else pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary()))
+
+
+def _split(phrases: pa.Array):
+    """The words of phrases as one array, where each phrase begins there, and how many words it has."""
+    split = pc.split_pattern(phrases.cast(pa.large_binary()), b" ")
+    offsets, words = split.offsets.to_numpy(), split.flatten()
+    at = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, words.offset * 8)
+    letters = np.frombuffer(words.buffers()[2] or b"", np.uint8)[at[0]:at[-1]]
+    words = pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(at - at[0]), pa.py_buffer(letters)])
+    return words, offsets[:-1] - offsets[0], np.diff(offsets)
+
+
+def candidates(held: DataFrame, tables: list) -> DataFrame:
+    """(lang, phrase, size): the distinct phrases behind the frequent hashes, which the windows begin with."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words, here, sizes = _split(batch["phrase"])
+            langs = batch["lang"].dictionary_encode()
+            lang_of = langs.indices.to_numpy()
+            single = _hashes(words, langs.dictionary, np.repeat(lang_of, sizes))
+            h = single[here]
+            for k in range(1, LONGEST + 1):
+                if k > 1:
+                    more = sizes >= k
+                    here, sizes, lang_of, h = here[more], sizes[more], lang_of[more], h[more]
+                    h = _mixed(h * np.uint64(3) + single[here + k - 1])
+                yield pa.RecordBatch.from_pydict({
+                    "h": pa.array(h.view(np.int64)), "size": pa.array(np.full(len(h), k, np.int32)),
+                    "lang": langs.dictionary.take(pa.array(lang_of)), "phrase": _phrases(words, here, k).cast(pa.binary())})
+
+    found = held.select("lang", "phrase").mapInArrow(run, "h long, size int, lang string, phrase binary").distinct()
     safe = tables[0].withColumn("size", F.lit(1))
     for k, table in enumerate(tables[1:], 2):
         safe = safe.union(table.withColumn("size", F.lit(k)))
@@ -292,55 +335,56 @@ class Trie:
         to = np.where((to >= 0) & (to < last) & (code >= 0), to, last)
         return to, self.check[to] == state
 
-    def bins(self, stretch) -> np.ndarray:
-        """How many positions of a stretch accept in each state."""
+    def bins(self, stretch, weight=None) -> np.ndarray:
+        """How many positions of a stretch accept in each state; weight: how often each position counts, if not once."""
         words, langs, lang_at, run = stretch
         code = pc.fill_null(pc.index_in(words, self.words), -1).to_numpy()
         root = pc.fill_null(pc.index_in(langs, self.langs), -1).to_numpy()[lang_at]
-        here = np.flatnonzero((code >= 0) & (root >= 0))
+        here = np.flatnonzero((code >= 0) & (root >= 0) & (True if weight is None else weight > 0))
         state, total = root[here], np.zeros(len(self.check), np.int64)
         for level in range(LONGEST):
             state, known = self._step(state, code[here + level])
             here, state = here[known], state[known]
-            total += np.bincount(state, minlength=len(total))
+            if weight is None:
+                total += np.bincount(state, minlength=len(total))
+            else:
+                np.add.at(total, state, weight[here])
             goes_on = run[here] > level + 1
             here, state = here[goes_on], state[goes_on]
         return total
 
 
-def counted(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(lang, phrase, size, f): how often each phrase of found occurs in docs."""
+def _counted_in_shard(found: pa.Table, held: pa.Table) -> pa.Table:
+    """(id, f) of a shard's candidates, counted in the shard's windows."""
+    none = pa.table({"id": pa.array([], pa.int64()), "f": pa.array([], pa.int64())})
+    if not len(found) or not len(held):
+        return none
+    found, held = found.combine_chunks(), held.combine_chunks()
+    trie = Trie(*(found[c].chunk(0) for c in ("lang", "phrase")))
+    words, first, sizes = _split(held["phrase"].chunk(0))
+    langs = held["lang"].chunk(0).dictionary_encode()
+    weight = np.zeros(len(words), np.int64)
+    weight[first] = held["n"].to_numpy()
+    bins = trie.bins((words, langs.dictionary, np.repeat(langs.indices.to_numpy(), sizes), np.repeat(sizes, sizes)), weight)
+    at = np.flatnonzero((trie.number >= 0) & (bins > 0))
+    return pa.table({"id": found["id"].to_numpy()[trie.number[at]], "f": bins[at]}) if len(at) else none
+
+
+def counted(held: DataFrame, found: DataFrame) -> DataFrame:
+    """(lang, phrase, size, f): how often each candidate begins a window."""
     shards = max(1, -(-found.count() // SHARD))
-    shard = F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards))
+    # Byte by byte, also where a text is no UTF-8.
+    shard = F.pmod(F.xxhash64("lang", F.substring_index(F.decode("phrase", "ISO-8859-1"), " ", 1)), F.lit(shards))
     # Written, the numbers stand; the tasks count by them.
-    found = written(found.select("lang", "phrase", "size", shard.alias("shard"), F.monotonically_increasing_id().alias("id")))
-    total = None
-    for k in range(shards):
-        own = found.where(F.col("shard") == k).select("lang", "phrase", "id").toArrow().combine_chunks()
-        if not len(own):
-            continue
-        lang, phrase = (own[c].chunk(0) for c in ("lang", "phrase"))
-        trie = Trie(lang, phrase)
-        trie.number = np.where(trie.number >= 0, own["id"].to_numpy()[trie.number], -1)
-        trie = docs.sparkSession.sparkContext.broadcast(trie)
-
-        def run(batches, trie=trie):
-            bins = None
-            for batch in batches:
-                for stretch in stretches(batch):
-                    now = trie.value.bins(stretch)
-                    bins = now if bins is None else bins + now
-            if bins is not None:
-                number = trie.value.number
-                at = np.flatnonzero((number >= 0) & (bins > 0))
-                yield pa.RecordBatch.from_pydict({"id": pa.array(number[at], pa.int64()), "n": pa.array(bins[at])})
+    found = written(found.select("lang", "phrase", "size", F.monotonically_increasing_id().alias("id")))
+    own = found.select(shard.alias("shard"), "lang", "phrase", "id").repartition(shards, "shard")
+    held = held.select(shard.alias("shard"), "lang", "phrase", "n").repartition(shards, "shard")
+
+    def run(own, held):
+        return tidied(_counted_in_shard, own, held)
 
-        sums = written(docs.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("f")))
-        trie.destroy()
-        total = sums if total is None else total.union(sums)
-    if total is None:
-        total = found.select("id", F.lit(0).cast("long").alias("f"))
-    return found.join(total, "id").select("lang", F.col("phrase").cast("string").alias("phrase"), "size", "f")
+    sums = own.groupBy("shard").cogroup(held.groupBy("shard")).applyInArrow(run, "id long, f long")
+    return found.join(sums, "id").select("lang", F.col("phrase").cast("string").alias("phrase"), "size", "f")
 
 
 def mine(docs: DataFrame, least: int = 30, best: int = 2000, share: int = 80) -> DataFrame:
@@ -349,8 +393,10 @@ def mine(docs: DataFrame, least: int = 30, best: int = 2000, share: int = 80) ->
     A candidate goes if a longer one that contains it has at least `share` percent of its occurrences.
     """
     docs = docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang"))
-    found = written(candidates(docs, *frequent(docs, least)))
-    counts = written(counted(docs, found).where(F.col("f") >= least))
+    tables, bitmaps = frequent(docs, least)
+    held = written(windows(docs, bitmaps))
+    found = written(candidates(held, tables))
+    counts = written(counted(held, found).where(F.col("f") >= least))
     totals = _word_totals(docs)
     phrases = counts.where("size > 1").withColumn("words", F.split("phrase", " "))
 
